@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sieveloom.llm import tiles
-from sieveloom.llm.common import documents, drop_stash, stash, without
+from sieveloom.llm.common import documents, stash, table, without
 from sieveloom.llm.components import components
 from sieveloom.llm.textarrays import TERMS, tokenize
 
@@ -130,3 +130,31 @@ def deduplicate(docs: DataFrame, radius: int = RADIUS, tile: int = TILE) -> Data
     repeated = stash(repeated)
     twice = kept.join(repeated.hint("shuffle_hash"), "doc_id", "left_semi").select(*docs.columns)
     return without(kept, repeated).unionByName(twice.dropDuplicates(["doc_id", "text"]))
+
+
+def query(spark, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def _oracle() -> str:
+    votes = ", ".join(f"sum((h{k} >> {i}) & 1) as v{k}_{i}" for k in (1, 2) for i in range(64))
+    word = lambda k: " + ".join(f"(case when 2 * v{k}_{i} > n then {1 << i}::hugeint else 0 end)" for i in range(64))
+    return f"""
+with recursive t as (
+  select doc_id, unnest(list_distinct(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+'))) as term from documents where doc_id is not null
+), h as (
+  select doc_id, ('0x' || substr(md5(term), 1, 16))::ubigint::hugeint as h1, ('0x' || substr(md5(term), 17, 16))::ubigint::hugeint as h2 from t
+), v as (
+  select doc_id, count(*) as n, {votes} from h group by doc_id
+), code as (
+  select doc_id, ({word(1)})::hugeint as c1, ({word(2)})::hugeint as c2 from v
+), pairs as (
+  select a.doc_id as x, b.doc_id as y from code a join code b on a.doc_id <> b.doc_id and bit_count(xor(a.c1, b.c1)) + bit_count(xor(a.c2, b.c2)) <= {RADIUS}
+), reach(node, other) as (
+  select x, y from pairs union select reach.node, pairs.y from reach join pairs on reach.other = pairs.x
+)
+select node as doc_id, least(node, min(other)) as group_id, node <= min(other) as is_kept from reach group by node
+"""
+
+
+ORACLE = _oracle()

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sieveloom.llm.common import documents, stash
+from sieveloom.llm.common import documents, stash, table
 from sieveloom.llm.textarrays import Tokens, rolling, sliding_max, sliding_min, string_buffers, tokenize
 
 LENGTH = 50
@@ -211,6 +211,10 @@ def remove_duplicates(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -
     return joined.mapInArrow(run, docs.schema)
 
 
+def query(spark, sf_dir: str) -> DataFrame:
+    return duplicate_spans(table(spark, sf_dir, "documents"))
+
+
 ORACLE = f"""
 with w as (
   select doc_id, list_filter(string_split_regex(text, '[\\t\\n\\x0b\\f\\r ]+'), lambda x: x <> '') as t from documents
