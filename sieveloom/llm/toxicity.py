@@ -90,7 +90,7 @@ def features(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
     out = []
     for t in tokenize(column, TERMS):
         if not len(t.hash):
-            out += [(np.zeros(0, np.int32), np.zeros(0, np.int32))] * t.n_docs
+            out += [(np.zeros(0, np.int32), np.zeros(0, np.uint16))] * t.n_docs
             continue
         doc, word, at, n = _distinct_words(t)
         w, f = _ngrams(t, at)
@@ -103,44 +103,56 @@ def features(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
             size = count[of]
             total = np.cumsum(size)
             i = np.arange(total[-1] if len(total) else 0) - np.repeat(total - size, size) + np.repeat(begin[of], size)
-            out.append(tuple(x.astype(np.int32) for x in np.unique(f[i], return_counts=True)))
+            feature, value = np.unique(f[i], return_counts=True)
+            out.append((feature.astype(np.int32), np.minimum(value, 65535).astype(np.uint16)))
     return out
 
 
-def train(rows: list[tuple[int, bytes, bytes]], epochs: int = 60, alpha: float = 1.0, ridge: float = 1e-5, rate: float = 0.05) -> tuple[np.ndarray, float]:
-    """Weights (the naive Bayes ratios included) and bias from (label, features, values)."""
-    y = np.array([r[0] for r in rows], np.float64)
-    if not len(rows) or y.min() == y.max():
+#: Rows are fitted in groups of about so many features, so that what is made on the way stays small.
+_CHUNK = 1 << 18
+
+
+def train(y: np.ndarray, f: np.ndarray, v: np.ndarray, size: np.ndarray, epochs: int = 60, alpha: float = 1.0, ridge: float = 1e-5, rate: float = 0.05) -> tuple[np.ndarray, float]:
+    """Weights (the naive Bayes ratios included) and bias from the rows' labels, and their features and values one after the other, ``size`` of them each."""
+    n = len(y)
+    if not n or y.min() == y.max():
         return np.zeros(DIMENSIONS, np.float32), -40.0
-    f = np.frombuffer(b"".join(r[1] for r in rows), np.int32)
-    v = np.frombuffer(b"".join(r[2] for r in rows), np.int32).astype(np.float32)
-    size = np.array([len(r[1]) // 4 for r in rows])
-    row = np.repeat(np.arange(len(rows), dtype=np.int32), size)
-    p = alpha + np.bincount(f, v * y[row], DIMENSIONS)
-    q = alpha + np.bincount(f, v * (1 - y[row]), DIMENSIONS)
+    stop = np.concatenate([[0], np.cumsum(size)])
+    parts, i = [], 0
+    while i < n:
+        j = max(i + 1, int(np.searchsorted(stop, stop[i] + _CHUNK, "right")) - 1)
+        parts.append((slice(i, j), slice(stop[i], stop[j]), np.repeat(np.arange(j - i, dtype=np.int32), size[i:j])))
+        i = j
+    p, q, rows = np.full(DIMENSIONS, alpha), np.full(DIMENSIONS, alpha), np.zeros(DIMENSIONS, np.int64)
+    for d, e, row in parts:
+        p += np.bincount(f[e], v[e] * y[d][row], DIMENSIONS)
+        q += np.bincount(f[e], v[e] * (1 - y[d][row]), DIMENSIONS)
+        rows += np.bincount(f[e], minlength=DIMENSIONS)
     ratio = (np.log(p / p.sum()) - np.log(q / q.sum())).astype(np.float32)
-    ratio[np.bincount(f, minlength=DIMENSIONS) < 2] = 0
-    used, f = np.unique(f, return_inverse=True)
-    f = f.astype(np.int32)
-    x = v * ratio[used][f]
-    x /= max(1e-9, float(np.sqrt(np.bincount(row, x * x, len(rows)).mean())))
-    scale = float(np.abs(x).max() / max(1e-9, np.abs(v * ratio[used][f]).max()))
-    w, b = np.zeros(len(used), np.float32), 0.0
+    ratio[rows < 2] = 0
+    x = v.astype(np.float32)
+    for _, e, _ in parts:
+        x[e] *= ratio[f[e]]
+    power = sum(float((np.bincount(row, x[e].astype(np.float64) ** 2)).sum()) for _, e, row in parts)
+    scale = 1 / max(1e-9, (power / n) ** 0.5)
+    x *= np.float32(scale)
+    w, b = np.zeros(DIMENSIONS, np.float32), 0.0
     weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))  # both classes count alike
     m, s, mb, sb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for k in range(1, epochs + 1):  # full-batch Adam: the same sample gives the same weights
-        z = np.bincount(row, x * w[f], len(rows)) + b
-        g = weight * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y)
-        gw = (np.bincount(f, x * g[row].astype(np.float32), len(used)) / len(rows) + ridge * w).astype(np.float32)
-        gb = float(g.mean())
+        total, gb = np.zeros(DIMENSIONS), 0.0
+        for d, e, row in parts:
+            z = np.bincount(row, x[e] * w[f[e]], d.stop - d.start) + b
+            g = weight[d] * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y[d])
+            total += np.bincount(f[e], x[e] * g.astype(np.float32)[row], DIMENSIONS)
+            gb += float(g.sum()) / n
+        gw = (total / n + ridge * w).astype(np.float32)
         m, s = 0.9 * m + 0.1 * gw, 0.99 * s + 0.01 * gw * gw
         mb, sb = 0.9 * mb + 0.1 * gb, 0.99 * sb + 0.01 * gb * gb
         step = rate * 10 if k < epochs * 2 // 3 else rate
         w = w - step * (m / (1 - 0.9**k)) / (np.sqrt(s / (1 - 0.99**k)) + 1e-8)
         b = b - step * (mb / (1 - 0.9**k)) / (np.sqrt(sb / (1 - 0.99**k)) + 1e-8)
-    out = np.zeros(DIMENSIONS, np.float32)
-    out[used] = w * ratio[used] * scale
-    return out, b
+    return w * ratio * np.float32(scale), b
 
 
 def sample(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
@@ -160,9 +172,18 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> tuple[n
             yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "toxic": b.column("toxic"), "f": pa.array([x[0].tobytes() for x in found], pa.binary()), "v": pa.array([x[1].tobytes() for x in found], pa.binary())})
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = sorted({r[0]: r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)}.values())[:max_rows]
-        w, bias = train([r[1:] for r in rows])
-        yield pa.RecordBatch.from_pydict({"w": pa.array([w.tobytes()], pa.binary()), "bias": pa.array([bias])})
+        ids, labels, f, v = [], [], [], []
+        for b in batches:
+            ids += b.column("doc_id").to_pylist()
+            labels += b.column("toxic").to_pylist()
+            f += [np.frombuffer(x.as_buffer(), np.int32).copy() for x in b.column("f")]
+            v += [np.frombuffer(x.as_buffer(), np.uint16).copy() for x in b.column("v")]
+        at = sorted({i: k for k, i in sorted(enumerate(ids), key=lambda x: (labels[x[0]], v[x[0]].tobytes()))}.items())
+        order = [k for _, k in at][:max_rows]
+        y, size = np.array([labels[k] for k in order], np.float64), np.array([len(f[k]) for k in order], np.int64)
+        f, v = np.concatenate([np.zeros(0, np.int32), *(f[k] for k in order)]), np.concatenate([np.zeros(0, np.uint16), *(v[k] for k in order)])
+        w, bias = train(y, f, v, size)
+        yield pa.RecordBatch.from_pydict({"w": pa.array([w.tobytes()], pa.binary()), "bias": pa.array([float(bias)])})
 
     found = sample(docs, labels, max_rows).select("doc_id", "toxic", "text").mapInArrow(extract, "doc_id bigint, toxic int, f binary, v binary")
     got = found.repartition(1).mapInArrow(learn, "w binary, bias double").first()
