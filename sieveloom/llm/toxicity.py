@@ -13,7 +13,7 @@ lowest), the documented bound of the training sample. Scoring reads all rows.
 A label row counts if it has a ``doc_id``, a 0 or 1 in ``toxic``, and a document
 with that id; repeated labels count once, as toxic if any of them says so. With no label of
 one of the two classes there is nothing to learn: every score is 0 and nothing is rejected.
-Null, empty and termless texts score 0. A document is rejected if its score is
+Null, empty and termless texts score 0; a text that shares no n-gram with two labelled ones scores below 0.5, as the bias is held under ``BIAS_LIMIT``. A document is rejected if its score is
 at least ``threshold``.
 """
 
@@ -33,6 +33,7 @@ DIMENSIONS = 1 << 18
 SIZES = (3, 4, 5, 6)
 MAX_ROWS = 8000
 THRESHOLD = 0.5
+BIAS_LIMIT = -0.1
 _Q = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -151,7 +152,8 @@ def train(y: np.ndarray, f: np.ndarray, v: np.ndarray, size: np.ndarray, epochs:
         mb, sb = 0.9 * mb + 0.1 * gb, 0.99 * sb + 0.01 * gb * gb
         step = rate * 10 if k < epochs * 2 // 3 else rate
         w = w - step * (m / (1 - 0.9**k)) / (np.sqrt(s / (1 - 0.99**k)) + 1e-8)
-        b = b - step * (mb / (1 - 0.9**k)) / (np.sqrt(sb / (1 - 0.99**k)) + 1e-8)
+        # without evidence a text isn't toxic, however few the clean labels
+        b = min(BIAS_LIMIT, b - step * (mb / (1 - 0.9**k)) / (np.sqrt(sb / (1 - 0.99**k)) + 1e-8))
     return w * ratio * np.float32(scale), b
 
 
