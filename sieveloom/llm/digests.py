@@ -189,16 +189,18 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def _oracle() -> str:
-    triplet = " union all ".join(f"select doc_id, ((b[p+{x}] * {p} + b[p+{y}] * {q} + b[p+{z}] * {r}) >> {_SHIFT}) & {BUCKETS - 1} as k from w" for x, y, z, p, q, r in TRIPLETS)
+    triplet = " union all ".join(f"select doc_id, ((b{x} * {p} + b{y} * {q} + b{z} * {r}) >> {_SHIFT}) & {BUCKETS - 1} as k from w" for x, y, z, p, q, r in TRIPLETS)
     quartile = "cast(c > q1 as int) + cast(c > q2 as int) + cast(c > q3 as int)"
     ratio = lambda k: f"case when least((a.{k} - b.{k} + 16) % 16, (b.{k} - a.{k} + 16) % 16) <= 1 then least((a.{k} - b.{k} + 16) % 16, (b.{k} - a.{k} + 16) % 16) else 12 * (least((a.{k} - b.{k} + 16) % 16, (b.{k} - a.{k} + 16) % 16) - 1) end"
     return f"""
 with d as (
   select doc_id, hex(encode(text)) as h, strlen(text) as n from documents where doc_id is not null
 ), bytes as (
-  select doc_id, n, list_transform(range(0, n), lambda i: cast((instr('0123456789ABCDEF', h[2*i+1]) - 1) * 16 + instr('0123456789ABCDEF', h[2*i+2]) - 1 as int)) as b from d where n >= {MIN_BYTES}
+  select doc_id, unnest(range(0, n)) as p, unnest(list_transform(regexp_extract_all(h, '..'), lambda x: cast('0x' || x as int))) as b0 from d where n >= {MIN_BYTES}
+), windows as (
+  select doc_id, b0, lead(b0, 1) over o as b1, lead(b0, 2) over o as b2, lead(b0, 3) over o as b3, lead(b0, 4) over o as b4 from bytes window o as (partition by doc_id order by p)
 ), w as (
-  select doc_id, b, unnest(range(1, n - 3)) as p from bytes
+  select * from windows where b4 is not null
 ), t as ({triplet}
 ), counted as (
   select doc_id, k, count(*) as c from t group by all

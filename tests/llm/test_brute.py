@@ -25,16 +25,19 @@ def test_rules_have_their_keywords():
     assert all(r.keyword == r.keyword.lower() and not re.search(r"\s", r.keyword) for r in RULES)
 
 
-@pytest.mark.parametrize("part", range(8))
-def test_keywords_are_in_every_match(part):
-    for r in RULES[part::8]:
+def check_keyword(rule):
+    @given(st.from_regex(rule.regex))
+    @settings(max_examples=12, deadline=None, database=None)
+    def holds(text):
+        assert all(rule.keyword in m[0].lower() for m in rule.regex.finditer(text))
+
+    holds()
 
-        @given(st.from_regex(r.regex))
-        @settings(max_examples=12, deadline=None, database=None)
-        def holds(text, r=r):
-            assert all(r.keyword in m[0].lower() for m in r.regex.finditer(text))
 
-        holds()
+@pytest.mark.parametrize("part", range(4))
+def test_keywords_are_in_every_match(part):
+    for rule in RULES[part::4]:
+        check_keyword(rule)
 
 
 def plain_detections(text: str):
