@@ -22,7 +22,7 @@ def _spaces(pattern: str) -> str:
         if two == r"\s":
             out.append(rf"\s{_SPACES}" if inside else rf"[\s{_SPACES}]")
             i += 2
-        elif pattern.startswith(r"[\s\S]", i):
+        elif pattern.startswith((r"[\s\S]", r"[\S\s]"), i):
             out.append(r"[\s\S]")
             i += 6
         elif two[:1] == "\\":
@@ -61,7 +61,7 @@ class Dialect:
         return f"left({s}, {n})"
 
     def style(self, html: str) -> str:
-        return self.join(self.all(html, r"<style[^>]*>([\s\S]*?)</style>", 1), "chr(10)")
+        return self.join(self.all(html, r"<style[^>]*>([\S\s]*?)</style>", 1), "chr(10)")
 
 
 class Spark(Dialect):

@@ -10,8 +10,8 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
 
-PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li figcaption blockquote dd dt summary em strong a span".split())
-NOT_PROSE = frozenset("code pre script style kbd samp var tt svg math template noscript".split())
+PROSE = frozenset("a blockquote dd dt em figcaption h1 h2 h3 h4 h5 h6 li p span strong summary".split())
+NOT_PROSE = frozenset("code kbd math noscript pre samp script style svg template tt var".split())
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 _SIBLINGS = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "option": ("option", ("select",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table"))}

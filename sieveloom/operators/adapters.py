@@ -7,7 +7,7 @@ from sieveloom.functions.dialect import SPARK, Dialect
 ROUTES = (("mock-slop", "mock", True), ("mock-swiss", "mock", True), ("claude-code:", "claude-code-cli", False), ("codex-cli:", "codex-cli", False), ("gemini-cli:", "gemini-cli", False), ("claude", "anthropic", False), ("ollama:", "ollama", False), ("hf:", "huggingface", False), ("cf:", "workers-ai", False))
 REQUEST_ID_HEADERS = ("request-id", "x-request-id", "cf-ray", "x-goog-request-id")
 GATEWAY_HOST = "gateway.ai.cloudflare.com"
-_TAGS = r"<(?:!doctype|html|head|body|section|div|h1|h2|p|style)\b"
+_TAGS = r"<(?:body|div|h1|h2|head|html|p|section|style|!doctype)\b"
 
 
 def _starts(d: Dialect, s: str, word: str) -> str:
@@ -64,13 +64,13 @@ def blocked_reason(d: Dialect, url: str) -> str:
     scheme, authority = f"lower({d.one(url, r'^([A-Za-z][A-Za-z0-9+.-]*):', 1)})", d.one(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)
     host = f"lower({d.one(d.sub(authority, r'^[\s\S]*@', ''), r'^(\[[^\]]*\]|[^:]*)', 1)})"
     bare = f"replace(replace({host}, '[', ''), ']', '')"
-    v4 = r"^(?:10\.|172\.(?:1[6-9]|2\d|3[01])\.|192\.168\.|127\.|169\.254\.|0\.|100\.(?:6[4-9]|[7-9]\d|1[01]\d|12[0-7])\.|22[4-9]\.|23\d\.|24\d\.|25[0-5]\.)"
+    v4 = r"^(?:10\.|172\.(?:3[01]|2\d|1[6-9])\.|192\.168\.|127\.|169\.254\.|0\.|100\.(?:12[0-7]|1[01]\d|6[4-9]|[7-9]\d)\.|22[4-9]\.|23\d\.|24\d\.|25[0-5]\.)"
     v6 = r"^(?:::1$|::$|0:0:0:0:0:0:0:[01]$|f[cd][0-9a-f]{2}:|fe[89ab][0-9a-f]:|::ffff:)"
     suffixes = r"(?:^|\.)(?:nip\.io|sslip\.io|xip\.io|localtest\.me|lvh\.me|cluster\.local)$"
     return (
         f"case when {scheme} = '' then 'url-parse' when not ({d.any_of(scheme, ('http', 'https'))}) then 'bad-scheme' when {d.has(authority, '@')} then 'embedded-credentials' "
         f"when {host} = '' then 'no-hostname' when {d.any_of(host, ('localhost', 'ip6-localhost', 'ip6-loopback', 'broadcasthost'))} then 'localhost' when {d.has(host, r'\.local$')} then 'mdns' when {d.has(host, suffixes)} then 'rebinding-suffix' "
-        f"when {d.has(host, r'^\d+\.\d+\.\d+\.\d+$')} and {d.has(host, v4)} then 'private-v4' when {d.has(host, r'^\[')} and {d.has(bare, v6)} then 'private-v6' end"
+        f"when {d.has(host, r'^(?:\d+[.]){3}\d+$')} and {d.has(host, v4)} then 'private-v4' when {d.has(host, r'^\[')} and {d.has(bare, v6)} then 'private-v6' end"
     )
 
 

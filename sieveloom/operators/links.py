@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from sieveloom.functions.dialect import SPARK, Dialect
 
-ASSETS = ("/_astro/", "/_next/", "/_app/", "/static/", "/assets/")
-_FILES = r"\.(?:svg|png|jpe?g|gif|webp|avif|ico|css|js|mjs|map|woff2?|ttf|otf|eot|pdf|xml|txt|json|webmanifest|mp4|webm|ogg|mp3|wav|zip|gz)$"
+ASSETS = ("/_app/", "/_astro/", "/_next/", "/assets/", "/static/")
+_FILES = r"\.(?:avif|css|eot|gif|gz|ico|jpe?g|js|json|map|mjs|mp3|mp4|ogg|otf|pdf|png|svg|ttf|txt|wav|webm|webmanifest|webp|woff2?|xml|zip)$"
 _HREF = r"\bhref\s*=\s*(?:\x22[^\x22]+\x22|\x27[^\x27]+\x27)"
 
 

@@ -6,11 +6,11 @@ import re
 
 from sieveloom.functions.markup import prose
 
-PHRASES = ("build the future of", "ship faster", "ai-native", "cutting-edge", "seamless", "best-in-class", "unleash", "empower your", "revolutionize", "game-changing", "next-generation")
+PHRASES = ("ai-native", "best-in-class", "build the future of", "cutting-edge", "empower your", "game-changing", "next-generation", "revolutionize", "seamless", "ship faster", "unleash")
 _BAIT = re.compile(r"\b(?:AI|future|intelligence|tomorrow)\b", re.I | re.A)
-_STYLE = re.compile(r"<style[^>]*>([\s\S]*?)</style>", re.I)
-_BLOCK = re.compile(r"([^{}]+)\{([^{}]*)\}")
-_SHELLS = {"root", "app", "__next", "__nuxt", "app-root", "svelte", "main"}
+_STYLE = re.compile(r"<style[^>]*>([\S\s]*?)</style>", re.I)
+_BLOCK = re.compile(r"([^}{]+)\{([^}{]*)\}")
+_SHELLS = {"__next", "__nuxt", "app", "app-root", "main", "root", "svelte"}
 Finding = tuple[int | None, str | None]
 
 
@@ -54,9 +54,9 @@ def gradient_text(html: str, css: str) -> list[Finding]:
             if _BAIT.search(m[2]):
                 out.append((line_of(html, m.start()), m[0][:120]))
 
-    baited(r'<(h1|h2|span|div)[^>]*class\s*=\s*"[^"]*(?:bg-clip-text|text-transparent)[^"]*bg-gradient-[^"]*"[^>]*>([\s\S]*?)</\1>')
-    for name in re.findall(r"\.([\w-]+)\s*\{[^}]*(?:-webkit-)?background-clip\s*:\s*text[^}]*\}", styles(html, css), re.I | re.A):
-        baited(rf'<(h1|h2|h3|span|div|p)[^>]*class\s*=\s*"[^"]*\b{re.escape(name)}\b[^"]*"[^>]*>([\s\S]*?)</\1>')
+    baited(r'<(div|span|h1|h2)[^>]*class\s*=\s*\x22[^\x22]*(?:text-transparent|bg-clip-text)[^\x22]*bg-gradient-[^\x22]*\x22[^>]*>([\S\s]*?)</\1>')
+    for name in re.findall(r"\.([-\w]+)\s*\{[^}]*background-clip[\s]*:\s*text[^}]*\}", styles(html, css), re.I | re.A):
+        baited(rf'<(div|span|p|h1|h2|h3)[^>]*class\s*=\s*\x22[^\x22]*\b{re.escape(name)}\b[^\x22]*\x22[^>]*>([\S\s]*?)</\1>')
     return out
 
 
@@ -64,14 +64,14 @@ def root_variables(blocks: list[tuple[str, str]]) -> dict[str, str]:
     """Custom properties of the root; the last one counts."""
     found = {}
     for selector, body in blocks:
-        if re.search(r"(?:^|[\s,])(?::root|html)(?=$|[\s,:{])", selector.strip()):
-            found |= {k: v.strip() for k, v in re.findall(r"--([\w-]+)\s*:\s*([^;]+);", body, re.A)}
+        if re.search(r"(?:^|[\s,])(?::root|html)(?=[{\s,:]|$)", selector.strip()):
+            found |= {k: v.strip() for k, v in re.findall(r"--([-\w]+)\s*:([^;]+);", body, re.A)}
     return found
 
 
 def resolve(body: str, variables: dict[str, str]) -> str:
     """Each use of a variable replaced once; an unknown one stays, without its fallback."""
-    return re.sub(r"var\(\s*--([\w-]+)\s*(?:,\s*[^)]*)?\)", lambda m: variables.get(m[1], f"var(--{m[1]})"), body, flags=re.A)
+    return re.sub(r"var\(\s*--([-\w]+)\s*(?:,[^)]*)?\)", lambda m: variables.get(m[1], f"var(--{m[1]})"), body, flags=re.A)
 
 
 def tracking(html: str, css: str) -> list[Finding]:
@@ -80,8 +80,8 @@ def tracking(html: str, css: str) -> list[Finding]:
     large = tight = capitals = opened = False
     for _, body in blocks:
         body = resolve(body, variables)
-        size = re.search(r"font-size\s*:\s*(\d+(?:\.\d+)?)(px|rem|em)", body, re.I)
-        spacing = re.search(r"letter-spacing\s*:\s*(-?[\d.]+)", body, re.I)
+        size = re.search(r"font-size\s*:\s*([0-9]+(?:[.][0-9]+)?)(rem|em|px)", body, re.I)
+        spacing = re.search(r"letter-spacing\s*:\s*(-?[0-9.]+)", body, re.I)
         number = re.match(r"-?(?:\d+\.?\d*|\.\d+)", spacing[1]) if spacing else None
         value = float(number[0]) if number else None
         if size and float(size[1]) * (1 if size[2] == "px" else 16) >= 48:
@@ -94,20 +94,20 @@ def tracking(html: str, css: str) -> list[Finding]:
 
 
 def spa_shell(html: str, css: str) -> list[Finding]:
-    body = re.search(r"<body\b[^>]*>([\s\S]*?)</body>", html, re.I)
-    if not body or not re.search(r"<script\b[^>]*\bsrc\s*=\s*[\"'][^\"']*(?:/assets/|/_next/|/static/js/|/dist/|/build/|\.bundle\.js|\.chunk\.js)[^\"']*[\"'][^>]*>", html, re.I):
+    body = re.search(r"<body\b[^>]*>([\S\s]*?)</body>", html, re.I)
+    if not body or not re.search(r"<script\b[^>]*\bsrc\s*=\s*[\x22\x27][^\x22\x27]*(?:/(?:_next|assets|build|dist|static/js)/|\.(?:chunk|bundle)\.js)[^\x22\x27]*[\x22\x27][^>]*>", html, re.I):
         return []
-    rest = re.sub(r"<!--[\s\S]*?-->", "", body[1])
+    rest = re.sub(r"<!--[\S\s]*?-->", "", body[1])
     for tag in ("script", "style", "noscript"):
-        rest = re.sub(rf"<{tag}\b[\s\S]*?</{tag}>", "", rest, flags=re.I)
+        rest = re.sub(rf"<{tag}\b[\S\s]*?</{tag}>", "", rest, flags=re.I)
     rest = rest.strip()
-    if not rest or re.sub(r"<[^>]+>", "", rest).strip() or re.search(r"<(?:h[1-6]|main|nav|header|footer|article|section)\b", rest, re.I):
+    if not rest or re.sub(r"<[^>]+>", "", rest).strip() or re.search(r"<(?:article|footer|h[1-6]|header|main|nav|section)\b", rest, re.I):
         return []
-    children = [(m[0], m[3]) for m in re.finditer(r"<([a-zA-Z][a-zA-Z0-9-]*)\b([^>]*)>([\s\S]*?)</\1>", rest)]
+    children = [(m[0], m[2]) for m in re.finditer(r"<([A-Za-z][A-Za-z0-9-]*)\b[^>]*>([\S\s]*?)</\1>", rest)]
     if not 1 <= len(children) <= 2:
         return []
     for tag, inner in children:
-        name = re.search(r"\bid\s*=\s*[\"']([^\"']+)[\"']", tag, re.I)
+        name = re.search(r"\bid\s*=\s*[\x22\x27]([^\x22\x27]+)[\x22\x27]", tag, re.I)
         if not re.match(r"<div\b", tag, re.I) or not name or name[1].strip() not in _SHELLS or inner.strip():
             return []
     return [(line_of(html, body.start()), body[0][:140])]

@@ -8,15 +8,15 @@ from pyspark.sql import functions as F
 
 def headers(reports: DataFrame, text: str = "content") -> DataFrame:
     """``reports`` with ``kind``, ``style``, ``run_at``, ``brief``, ``n`` and ``models`` (id, provider) from the head of each."""
-    title = r"(?m)^# (?:\w+ )?(eval-image|eval|critique)(?: ·|\s)\s*([^·\n]+?)\s*·\s*(\S+)"
+    title = r"(?m)^# (?:\w+ )?(eval-image|eval|critique)[ ·\s]+([^·\n]+?)\s*·\s*(\S+)"
     one = lambda p, g=1: F.nullif(F.regexp_extract(text, p, g), F.lit(""))
     lines = F.regexp_extract_all(text, F.lit(r"(?m)^\s+-\s+`[^`]+`\s+\([^)]+\)\s+·\s+spec\s+`[^`]+`"), F.lit(0))
     models = F.transform(lines, lambda x: F.struct(F.regexp_extract(x, r"spec\s+`([^`]+)`", 1).alias("id"), F.regexp_extract(x, r"\(([^)]+)\)", 1).alias("provider")))
-    critic = one(r"(?m)^critic:\s+`([^`]+)`")
+    critic = one(r"(?m)^critic: +`([^`]+)`")
     each = F.regexp_extract_all(text, F.lit(r"\(n=(\d+)\)"), F.lit(1))
-    n = F.coalesce(one(r"(?m)^-\s+Samples per cell:\s+\*\*(\d+)\*\*").cast("int"), F.when(F.size(each) > 0, F.aggregate(each, F.lit(0), lambda a, x: a + x.cast("int"))))
+    n = F.coalesce(one(r"(?m)^-\s+Samples per cell:\s+[*]{2}(\d+)[*]{2}").cast("int"), F.when(F.size(each) > 0, F.aggregate(each, F.lit(0), lambda a, x: a + x.cast("int"))))
     kind = one(title, 1)
-    return reports.withColumns({"kind": F.when(kind == "eval", "eval-live").otherwise(kind), "style": one(title, 2), "run_at": one(title, 3), "brief": one(r"(?m)^-\s+Brief:\s+`([^`]+)`"), "n": n, "models": F.when((kind == "critique") & (F.size(models) == 0) & critic.isNotNull(), F.array(F.struct(critic.alias("id"), F.lit("critic").alias("provider")))).otherwise(models)})
+    return reports.withColumns({"kind": F.when(kind == "eval", "eval-live").otherwise(kind), "style": one(title, 2), "run_at": one(title, 3), "brief": one(r"(?m)^- +Brief: +`([^`]+)`"), "n": n, "models": F.when((kind == "critique") & (F.size(models) == 0) & critic.isNotNull(), F.array(F.struct(critic.alias("id"), F.lit("critic").alias("provider")))).otherwise(models)})
 
 
 def without_record(reports: DataFrame, records: DataFrame) -> DataFrame:

@@ -53,13 +53,13 @@ def _once(test: Callable[[Dialect], str], line: str = "null", text: str = "null"
     return lambda d: f"case when {test(d)} then {d.row(line, text)} else {d.none()} end"
 
 
-HUES = ["indigo", "purple", "violet", "fuchsia", "pink", "blue", "cyan"]
-GROTESQUES = ("Inter", "Roboto", "Open Sans", "Poppins", "Lato", "Nunito", "Manrope", "Plus Jakarta Sans")
-GENERIC = ("", "inherit", "serif", "sans-serif", "monospace", "system-ui")
-AVATARS = ("dicebear.com", "api.dicebear.com", "ui-faces.com", "uifaces.co", "randomuser.me", "i.pravatar.cc")
-ICONS = ("Zap", "Shield", "Sparkles", "Rocket", "Lock", "Gauge", "Brain", "Wand", "Wand2", "BookOpen", "Cpu")
-_FAMILY = r"font-family\s*:\s*([^;}]+)"
-_RADIUS_WORD = r"\brounded(?:-(?:none|sm|md|lg|xl|2xl|3xl|full))?\b"
+HUES = ["blue", "cyan", "fuchsia", "indigo", "pink", "purple", "violet"]
+GROTESQUES = ("Plus Jakarta Sans", "Open Sans", "Inter", "Lato", "Manrope", "Nunito", "Poppins", "Roboto")
+GENERIC = ("", "serif", "sans-serif", "monospace", "inherit", "system-ui")
+AVATARS = ("api.dicebear.com", "dicebear.com", "i.pravatar.cc", "randomuser.me", "ui-faces.com", "uifaces.co")
+ICONS = ("BookOpen", "Brain", "Cpu", "Gauge", "Lock", "Rocket", "Shield", "Sparkles", "Wand", "Wand2", "Zap")
+_FAMILY = r"font-family\s*:\s*([^};]+)"
+_RADIUS_WORD = r"\brounded(?:-(?:full|none|3xl|2xl|xl|lg|md|sm))?\b"
 _NAMED = [rf"\b{a}\s*=\s*[\x22\x27]\s*\S" for a in ("aria-label", "aria-labelledby", "title")]
 _CLASS = r"class\s*=\s*\x22"
 
@@ -72,13 +72,13 @@ def _element(tags: tuple[str, ...], opening: str, inner: str = "") -> str:
 def _default_grotesque(d: Dialect) -> str:
     stacks = d.all("cs", _FAMILY, 1)
     only = d.size(d.keep(stacks, lambda x: "not " + d.has(x, "|".join(rf"\b{f}\b" for f in GROTESQUES))))
-    first = d.at(d.matches("cs", r"font-family\s*:\s*[^;}]+"), 1)
+    first = d.at(d.matches("cs", r"font-family\s*:\s*[^};]+"), 1)
     return f"case when {d.size(stacks)} > 0 and {only} = 0 then {d.row(f'({first}).line', d.left(d.trim(d.at(stacks, 1)), 80))} else {d.none()} end"
 
 
 def _radii(d: Dialect) -> str:
     classes = d.join(d.all("html", r"class\s*=\s*\x22([^\x22]*)\x22", 1), "' '")
-    return d.both(d.each(d.all("cs", r"border-radius\s*:\s*([^;}]+)", 1), d.trim), d.all(classes, _RADIUS_WORD))
+    return d.both(d.each(d.all("cs", r"border-radius\s*:\s*([^};]+)", 1), d.trim), d.all(classes, _RADIUS_WORD))
 
 
 def _uniform_radius(d: Dialect) -> str:
@@ -99,23 +99,23 @@ def _radius_hierarchy(d: Dialect) -> str:
 
 
 def _weights(d: Dialect) -> str:
-    css = d.each(d.all("cs", r"font-weight\s*:\s*(\d{3}|bold|normal|semibold|medium|thin|black|light|extrabold)", 1), lambda x: f"lower({x})")
-    words = d.each(d.all("html", r"\bfont-(thin|extralight|light|normal|medium|semibold|bold|extrabold|black)\b", 1), lambda x: f"lower({x})")
+    css = d.each(d.all("cs", r"font-weight\s*:\s*(black|bold|extrabold|light|medium|normal|semibold|thin|\d{3})", 1), lambda x: f"lower({x})")
+    words = d.each(d.all("html", r"\bfont-(black|bold|extrabold|extralight|light|medium|normal|semibold|thin)\b", 1), lambda x: f"lower({x})")
     return d.size(d.distinct(d.both(css, words)))
 
 
 def _families(d: Dialect) -> str:
-    first = d.each(d.all("cs", _FAMILY, 1), lambda x: f"lower({d.sub(d.trim(d.one(x, '^[^,]*')), '[' + r'\x22' + r'\x27]', '')})")
+    first = d.each(d.all("cs", _FAMILY, 1), lambda x: f"lower({d.sub(d.trim(d.one(x, '^[^,]*')), r'[\x22\x27]', '')})")
     return d.size(d.distinct(d.keep(first, lambda x: "not " + d.any_of(x, GENERIC))))
 
 
 def _shadows(d: Dialect) -> str:
-    found = d.both(d.each(d.all("cs", r"box-shadow\s*:\s*([^;}]+)", 1), d.trim), d.all("html", r"\bshadow(?:-(?:none|sm|md|lg|xl|2xl|inner|soft))?\b"))
+    found = d.both(d.each(d.all("cs", r"box-shadow\s*:\s*([^};]+)", 1), d.trim), d.all("html", r"\bshadow(?:-(?:soft|inner|none|2xl|xl|lg|md|sm))?\b"))
     return f"{d.size(found)} >= 3 and {d.size(d.distinct(found))} = 1"
 
 
 def _flat_dark(d: Dialect) -> str:
-    found = d.keep(d.matches("cs", r"background(?:-color)?\s*:\s*(?:#[0-9a-f]{6}|#[0-9a-f]{3})"), lambda x: d.has(f"{x}.text", r"#(?:0a0a0a|000000|0f0f0f|111111|0f172a|09090b)$"))
+    found = d.keep(d.matches("cs", r"background(?:-color)?\s*:\s*#(?:[a-f0-9]{6}|[a-f0-9]{3})"), lambda x: d.has(f"{x}.text", r"#(?:000000|09090b|0a0a0a|0f0f0f|0f172a|111111)$"))
     return f"case when {d.size(found)} > 0 then {d.row(f'({d.at(found, 1)}).line', f'({d.at(found, 1)}).text')} else {d.none()} end"
 
 
@@ -150,7 +150,7 @@ def _heading_skips(d: Dialect) -> str:
 
 def _body_measure(d: Dialect) -> str:
     blocks = d.all("cs", r"[^{}]+\{[^{}]*\}")
-    like = r"(?:^|[\s,])(?:html|body|main|article|\.(?:content|prose|article|body|main|lede|copy|text|rich-text|post)|\[data-content\])\b"
+    like = r"(?:^|[\s,])(?:\[data-content\]|\.(?:article|body|content|copy|lede|main|post|prose|rich-text|text)|article|body|html|main)\b"
     width = r"(?:max-width|width)\s*:\s*\d+(?:\.\d+)?(?:ch|rem|em|px)"
     selector = lambda x: d.trim(d.one(x, r"^[^{]*"))
     body = lambda x: d.one(d.one(x, r"\{[\s\S]*"), width)
@@ -182,34 +182,34 @@ RULES = [
     Rule("require-type-pairing", "error", "One font family alone.", ("font-family",), _once(lambda d: f"{_families(d)} = 1")),
     Rule("no-fake-testimonials", "warn", "Portraits from a stock avatar service.", ("dicebear", "ui-faces", "uifaces", "randomuser", "pravatar"), _all(*(_each("html", h.replace(".", r"\."), None) for h in AVATARS))),
     Rule("no-flat-dark-mode", "warn", "A flat near-black background.", ("background",), _flat_dark),
-    Rule("no-shimmer-decoration", "warn", "A shimmer effect.", ("shimmer", "shine", "sparkle-sweep"), _each("csh", r"\b(?:shimmer|animate-shimmer|ai-shimmer|shine|sparkle-sweep)\b", 80)),
+    Rule("no-shimmer-decoration", "warn", "A shimmer effect.", ("shimmer", "shine", "sparkle-sweep"), _each("csh", r"\b(?:ai-shimmer|animate-shimmer|shimmer|shine|sparkle-sweep)\b", 80)),
     Rule("no-uniform-radius", "warn", "One usual corner radius nearly everywhere.", ("radius", "rounded"), _uniform_radius),
-    Rule("no-three-equal-cards", "warn", "A container with three children of one kind.", ("grid", "flex"), _each("html", _element(("section", "div", "ul"), r"[^>]*" + _CLASS + r"[^\x22]*(?:grid-cols-3|grid\s+cols-3|flex[^\x22]*(?:gap|space)-[^\x22]*)[^\x22]*\x22[^>]*"), 120, _cards)),
-    Rule("no-lucide-in-rounded-square", "warn", "A stock icon in a rounded tile.", ("rounded-",), _all(*(_each("html", rf"<(?:div|span)[^>]*{_CLASS}[^\x22]*\brounded-(?:md|lg|xl|2xl|full)\b[^\x22]*(?:bg-gradient|bg-indigo-|bg-violet-|bg-purple-|bg-blue-)[^\x22]*\x22[^>]*>[\s\S]{{0,200}}?<{n}\b", 120) for n in ICONS))),
-    Rule("no-indiscriminate-glass", "warn", "Blurred backdrops in several places.", ("backdrop-",), _once(lambda d: f"{d.size(d.all('csh', r'backdrop-filter\s*:' + r'\s*blur\([^)]+\)'))} + {d.size(d.all('csh', r'\bbackdrop-blur(?:-[a-z0-9]+)?\b'))} >= 2")),
+    Rule("no-three-equal-cards", "warn", "A container with three children of one kind.", ("grid", "flex"), _each("html", _element(("section", "div", "ul"), r"[^>]*" + _CLASS + r"[^\x22]*(?:grid\s+cols-3|flex[^\x22]*(?:space|gap)-[^\x22]*|grid-cols-3)[^\x22]*\x22[^>]*"), 120, _cards)),
+    Rule("no-lucide-in-rounded-square", "warn", "A stock icon in a rounded tile.", ("rounded-",), _all(*(_each("html", rf"<(?:div|span)[^>]*{_CLASS}[^\x22]*\brounded-(?:full|2xl|xl|lg|md)\b[^\x22]*(?:bg-blue-|bg-gradient|bg-indigo-|bg-purple-|bg-violet-)[^\x22]*\x22[^>]*>[\s\S]{{0,200}}?<{n}\b", 120) for n in ICONS))),
+    Rule("no-indiscriminate-glass", "warn", "Blurred backdrops in several places.", ("backdrop-",), _once(lambda d: f"{d.size(d.all('csh', r'backdrop-filter\s*:\s*blur[(][^)]+[)]'))} + {d.size(d.all('csh', r'\bbackdrop-blur(?:-[0-9a-z]+)?\b'))} >= 2")),
     Rule("single-shadow-style", "info", "The same shadow on everything.", ("shadow",), _once(_shadows)),
-    Rule("no-centered-hero", "warn", "A centred container around the first heading.", ("<h1",), _each("html", rf"<(?:section|header|div|main)[^>]*{_CLASS}[^\x22]*(?:text-center|items-center[^\x22]*justify-center|mx-auto[^\x22]*max-w-)[^\x22]*\x22[^>]*>[\s\S]{{0,1000}}?[\s\S]{{0,1000}}?<h1\b[\s\S]{{0,500}}?</h1>", 140)),
-    Rule("respect-reduced-motion", "error", "Motion without a reduced-motion variant.", ("@keyframes", "animation", "transition"), _once(lambda d: f"({d.has('cs', r'@keyframes\s+')} or {d.has('cs', r'\banimation\s*:')} or {d.has('cs', r'\btransition\s*:[^;}]*\d{2,}ms')}) and not {d.has('cs', '@media' + r'\s*\([^)]*prefers-reduced-motion[^)]*\)')}")),
-    Rule("line-height-per-size", "warn", "One line height for all sizes.", ("line-height",), _once(lambda d: d.size(d.distinct(d.each(d.all("cs", r"line-height\s*:\s*([^;}]+)", 1), lambda x: f"lower({d.trim(x)})"))) + " = 1")),
+    Rule("no-centered-hero", "warn", "A centred container around the first heading.", ("<h1",), _each("html", rf"<(?:div|header|main|section)[^>]*{_CLASS}[^\x22]*(?:mx-auto[^\x22]*max-w-|items-center[^\x22]*justify-center|text-center)[^\x22]*\x22[^>]*>[\s\S]{{0,1000}}?[\s\S]{{0,1000}}?<h1\b[\s\S]{{0,500}}?</h1>", 140)),
+    Rule("respect-reduced-motion", "error", "Motion without a reduced-motion variant.", ("@keyframes", "animation", "transition"), _once(lambda d: f"({d.has('cs', r'@keyframes\s+')} or {d.has('cs', r'\banimation\s*:')} or {d.has('cs', r'\btransition\s*:[^};]*\d{2,}ms')}) and not {d.has('cs', r'@media\s*[(][^)]*prefers-reduced-motion[^)]*[)]')}")),
+    Rule("line-height-per-size", "warn", "One line height for all sizes.", ("line-height",), _once(lambda d: d.size(d.distinct(d.each(d.all("cs", r"line-height\s*:\s*([^};]+)", 1), lambda x: f"lower({d.trim(x)})"))) + " = 1")),
     Rule("body-measure", "warn", "Body text set too narrow or too wide.", ("width",), _once(_body_measure)),
-    Rule("require-named-grid", "warn", "Stacked layout without any grid.", ("class",), _once(lambda d: f"not ({d.has('csh', r'display\s*:' + r'\s*grid')} or {d.has('csh', 'grid-template(?:-columns)?' + r'\s*:')} or {d.has('csh', r'\bgrid-cols-\d+\b', False)}) and {d.has('html', _CLASS + r'[^\x22]*(?:flex|container|section)')}")),
+    Rule("require-named-grid", "warn", "Stacked layout without any grid.", ("class",), _once(lambda d: f"not ({d.has('csh', r'display\s*:\s*grid')} or {d.has('csh', r'grid-template(?:-columns)?\s*:')} or {d.has('csh', r'\bgrid-cols-\d+\b', False)}) and {d.has('html', _CLASS + r'[^\x22]*(?:flex|container|section)')}")),
     Rule("no-default-spline", "warn", "A stock three-dimensional scene.", ("spline", "iridescent"), _all(*(_each("html", p, 80) for p in (r"spline\.design/[^\x22\x27]+default", r"prod\.spline\.design/\w+/scene\.splinecode", r"iridescent-?blob", r"orb\.splinecode")))),
-    Rule("pricing-not-three", "info", "Three price tiers with a favourite.", ("pricing",), _each("html", _element(("section", "div"), r"[^>]*(?:id|class)\s*=\s*\x22[^\x22]*pricing[^\x22]*\x22[^>]*"), None, lambda d, m: f"{d.has(d.sub(m, '^<[^>]*>', ''), r'most[\s-]?popular|recommended|best[' + r'\s-]?value')} and {d.size(d.all(d.sub(m, '^<[^>]*>', ''), r'\btier' + r'\b|' + r'\bplan' + r'\b'))} >= 3")),
+    Rule("pricing-not-three", "info", "Three price tiers with a favourite.", ("pricing",), _each("html", _element(("section", "div"), r"[^>]*(?:id|class)\s*=\s*\x22[^\x22]*pricing[^\x22]*\x22[^>]*"), None, lambda d, m: f"{d.has(d.sub(m, '^<[^>]*>', ''), r'recommended|best[\s-]?value|most[\s-]?popular')} and {d.size(d.all(d.sub(m, '^<[^>]*>', ''), r'\bplan\b|\btier\b'))} >= 3")),
     Rule("footer-not-four-col", "info", "A footer of the usual four columns.", ("<footer",), _each("html", r"<footer\b[\s\S]*?</footer>", None, lambda d, m: f"{d.n_of(m, [rf'\b{w}\b' for w in ('Product', 'Company', 'Resources', 'Legal')])} >= 3")),
-    Rule("motion-has-intent", "warn", "Much motion without a declared reason.", ("animate", "data-aos", "motion"), _once(lambda d: f"{d.size(d.all('csh', r'\b(?:animate-(?:fade|slide)-up|data-aos|motion-(?:fade|slide)-up|framer-motion|initial=\{|animate=\{)\b'))} >= 4 and not {d.has('csh', 'data-motion|data-aos-delay|stagger-children|delayChildren|stagger-')}")),
-    Rule("no-fake-trust-bar", "info", "A strip of logos under a claim of trust.", ("trusted by", "backed by", "as seen in", "featured in"), _each("html", r"(?:trusted by|backed by|as seen in|featured in)[\s\S]{0,400}", None, lambda d, m: f"{d.size(d.all(m, r'<img\b|<svg' + r'\b'))} >= 3")),
-    Rule("cta-not-canonical", "info", "A gradient button with an arrow.", ("bg-gradient-", "from-"), _each("html", _element(("a", "button"), rf"[^>]*{_CLASS}[^\x22]*(?:bg-gradient-|from-\w+-\d+)[^\x22]*\x22[^>]*", r"[\s\S]{0,300}?(?:\x{2192}|&rarr;|<svg[^>]*(?:arrow|chevron)[^>]*>)"), 120)),
+    Rule("motion-has-intent", "warn", "Much motion without a declared reason.", ("animate", "data-aos", "motion"), _once(lambda d: f"{d.size(d.all('csh', r'\b(?:data-aos|framer-motion|(?:animate|motion)-(?:slide|fade)-up|(?:animate|initial)=\{)\b'))} >= 4 and not {d.has('csh', 'delayChildren|stagger-|data-(?:aos-delay|motion)')}")),
+    Rule("no-fake-trust-bar", "info", "A strip of logos under a claim of trust.", ("trusted by", "backed by", "as seen in", "featured in"), _each("html", r"(?:as seen in|backed by|featured in|trusted by)[\s\S]{0,400}", None, lambda d, m: f"{d.size(d.all(m, r'<img\b|<svg\b'))} >= 3")),
+    Rule("cta-not-canonical", "info", "A gradient button with an arrow.", ("bg-gradient-", "from-"), _each("html", _element(("a", "button"), rf"[^>]*{_CLASS}[^\x22]*(?:from-\w+-\d+|bg-gradient-)[^\x22]*\x22[^>]*", r"[\s\S]{0,300}?(?:\x{2192}|&rarr;|<svg[^>]*(?:chevron|arrow)[^>]*>)"), 120)),
     Rule("tracking-per-size", "warn", "Large or all-caps type without its own tracking."),
     Rule("radius-hierarchy", "warn", "One corner radius for all kinds of parts.", ("radius", "rounded"), _radius_hierarchy),
     Rule("no-inline-style-animation", "error", "Motion declared in a style attribute.", ("style",), _each("html", r"\bstyle\s*=\s*(?:\x22[^\x22]*\b(?:animation|transition)\s*:[^\x22]*\x22|\x27[^\x27]*\b(?:animation|transition)\s*:[^\x27]*\x27)", 140)),
     Rule("no-em-dashes-in-prose", "warn", "A long dash in running text."),
     Rule("a11y/img-without-alt", "error", "An image without alternative text.", ("<img",), _each("html", r"<img\b[^>]*>", 140, lambda d, m: "not " + d.has(m, r"\balt\s*="))),
     Rule("a11y/button-without-label", "error", "A button without a name.", ("<button",), _each("html", r"<button\b[^>]*>[\s\S]*?</button>", 140, _no_name)),
-    Rule("a11y/link-without-text", "error", "A link without a name.", ("<a",), _each("html", r"<a\b[^>]*>[\s\S]*?</a>", 140, lambda d, m: f"{d.has(d.one(m, '^<[^>]*>'), r'\bhref' + r'\s*=')} and {_no_name(d, m)}")),
+    Rule("a11y/link-without-text", "error", "A link without a name.", ("<a",), _each("html", r"<a\b[^>]*>[\s\S]*?</a>", 140, lambda d, m: f"{d.has(d.one(m, '^<[^>]*>'), r'\bhref\s*=')} and {_no_name(d, m)}")),
     Rule("a11y/heading-skip", "warn", "A heading that skips a level.", ("<h",), _heading_skips),
     Rule("spa-shell-detected", "info", "An empty shell that a script fills.", ("<script",)),
     Rule("svg/no-uniform-stroke", "warn", "All strokes of one usual width.", ("<svg",), _once(_strokes)),
-    Rule("svg/palette-bounds", "info", "More than six colours.", ("<svg",), _once(lambda d: f"{d.contains('html', '<svg')} and {d.size(d.distinct(d.each(d.all('html', r'#(?:[0-9a-f]{3}|[0-9a-f]{6})\b'), lambda x: f'lower({x})')))} > 6")),
+    Rule("svg/palette-bounds", "info", "More than six colours.", ("<svg",), _once(lambda d: f"{d.contains('html', '<svg')} and {d.size(d.distinct(d.each(d.all('html', r'#(?:[a-f0-9]{6}|[a-f0-9]{3})\b'), lambda x: f'lower({x})')))} > 6")),
     Rule("svg/no-perfect-symmetry", "info", "A drawing mirrored about its middle.", ("<svg",), _once(_symmetry)),
 ]
 
