@@ -34,7 +34,7 @@ def verdicts(responses: DataFrame, keys: list[str], rules: DataFrame | None = No
 
     A response counts from its first to its last brace. ``fired`` must be a list; what isn't a text there, and unknown rules, are passed over.
     """
-    known = F.broadcast(rules if rules is not None else catalogue(responses.sparkSession))
+    known = rules if rules is not None else catalogue(responses.sparkSession)
     body = F.regexp_extract("response_text", r"(?s)(\{.*\})", 1)
     read = responses.select(*keys, F.try_parse_json(F.when(body != "", body)).alias("v"))
     fired = F.expr("try_variant_get(v, '$.fired', 'array<variant>')")
@@ -76,4 +76,4 @@ def limited(samples: DataFrame, n: int, order: str) -> DataFrame:
 def mock_verdicts(samples: DataFrame, fixtures: DataFrame) -> DataFrame:
     """(sample_id, rule_id) from fixtures (key, fired): a sample's url, else its context, else ``default`` is the key."""
     key = F.coalesce("url", "context", F.lit("default"))
-    return samples.withColumn("key", key).join(F.broadcast(fixtures), "key", "left").select("sample_id", F.explode("fired").alias("rule_id"))
+    return samples.withColumn("key", key).join(fixtures, "key", "left").select("sample_id", F.explode("fired").alias("rule_id"))

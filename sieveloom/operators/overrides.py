@@ -78,7 +78,7 @@ def first_style(corpus: DataFrame, order: str) -> DataFrame:
 def effective_rules(rules: DataFrame, overrides: DataFrame, order: str = "ord") -> DataFrame:
     """The catalogue as overridden, with ``is_overridden``."""
     last = last_of_each(overrides, order).select(F.col("rule_id"), F.col("severity").alias("__severity"))
-    return rules.join(F.broadcast(last), "rule_id", "left").where("__severity is null or __severity <> 'off'").select("rule_id", F.coalesce("__severity", "severity").alias("severity"), F.col("__severity").isNotNull().alias("is_overridden"))
+    return rules.join(last, "rule_id", "left").where("__severity is null or __severity <> 'off'").select("rule_id", F.coalesce("__severity", "severity").alias("severity"), F.col("__severity").isNotNull().alias("is_overridden"))
 
 
 def numbered(overrides: DataFrame, *order: str) -> DataFrame:
