@@ -18,7 +18,7 @@ How it is found, for all windows of all documents:
    heads of paths, a small table, with the place where the path ends;
 3. heads join on their edge: the first source coordinate keeps its text, the
    others are duplicates of it. The coordinates verify the match by a second,
-   independent hash of the head's window;
+   independent hash of the head's window, 128 bits with the edge's;
 4. paths of one document that touch or overlap become one span.
 
 Null and empty texts and texts of fewer than ``length`` words have no spans.
@@ -90,13 +90,13 @@ def _edges_of(h: np.ndarray, repeated: np.ndarray, length: int, seed: int) -> di
     pos = np.repeat(opens - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
     last = np.cumsum(size) - 1
     node = rolling(h, length - 1, 1)[pos]
-    low = (h & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    succ = low[np.minimum(pos + length - 1, len(h) - 1)] | (1 << 32)
+    low = np.maximum(h & np.uint64(0xFFFFFFFF), np.uint64(1)).astype(np.uint32).view(np.int32)
+    succ = low[np.minimum(pos + length - 1, len(h) - 1)].copy()
     succ[last] = 0  # a run's end
-    pred = low[np.maximum(pos - 1, 0)] | (1 << 32)
+    pred = low[np.maximum(pos - 1, 0)].copy()
     pred[last - size + 1] = 0  # a run's start
-    check = rolling(h, length, 2)
-    proof = np.zeros(len(pos), np.uint64)
+    check = (rolling(h, length, 2) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    proof = np.zeros(len(pos), np.int32)
     inner = succ != 0
     proof[inner] = check[pos[inner]]
     return {"node": node, "pred": pred, "succ": succ, "proof": proof, "pos": pos, "stop": np.repeat(ends, size)}
@@ -118,9 +118,9 @@ def edge_rows(docs: DataFrame, length: int, seed: int) -> DataFrame:
                 if not rows:
                     continue
                 g = {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
-                yield pa.RecordBatch.from_pydict({"node": _signed(g["node"]), "pred": pa.array(g["pred"]), "succ": pa.array(g["succ"]), "proof": _signed(g["proof"]), "doc_id": pa.array(np.repeat(ids[rows], [len(p["pos"]) for p in parts])), "pos": pa.array(g["pos"].astype(np.int32)), "stop": pa.array(g["stop"].astype(np.int32))})
+                yield pa.RecordBatch.from_pydict({"node": _signed(g["node"]), "pred": pa.array(g["pred"]), "succ": pa.array(g["succ"]), "proof": pa.array(g["proof"]), "doc_id": pa.array(np.repeat(ids[rows], [len(p["pos"]) for p in parts])), "pos": pa.array(g["pos"].astype(np.int32)), "stop": pa.array(g["stop"].astype(np.int32))})
 
-    return docs.mapInArrow(run, "node bigint, pred bigint, succ bigint, proof bigint, doc_id bigint, pos int, stop int")
+    return docs.mapInArrow(run, "node bigint, pred int, succ int, proof int, doc_id bigint, pos int, stop int")
 
 
 def paths(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
