@@ -51,12 +51,12 @@ def gateway_base(d: Dialect, raw: str) -> str:
     return f"case when {d.has(raw, '^https://', False)} and {host} = '{GATEWAY_HOST}' then {d.sub(raw, '/+$', '')} when {d.has(raw, '^[A-Za-z0-9_-]+/[A-Za-z0-9_-]+$', False)} then 'https://{GATEWAY_HOST}/v1/' || {raw} end"
 
 
-HF_HOSTS = ("router.huggingface.co", "api-inference.huggingface.co", "huggingface.co")
+_HF_HOST = r"^(?:(?:router\.|api-inference\.)?huggingface\.co|[^/]*\.endpoints\.huggingface\.cloud)$"
 
 
 def hf_endpoint_ok(d: Dialect, raw: str) -> str:
     host = f"lower({d.one(raw, r'^https://(?:[^/?#@]*@)?([^/:?#]*)', 1)})"
-    return f"({d.any_of(host, HF_HOSTS)} or {d.has(host, r'\.endpoints\.huggingface\.cloud$')})"
+    return d.has(host, _HF_HOST)
 
 
 def blocked_reason(d: Dialect, url: str) -> str:

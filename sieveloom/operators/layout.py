@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 WIDTH, SLACK = 375, 1
-_SKIP = ("script", "style", "head", "meta", "link", "title")
-_LABELS = r"(?i)\b(kicker|eyebrow|caption|meta|label|muted|small|byline|footnote|micro)\b"
+_SKIP = ("head", "link", "meta", "script", "style", "title")
+_LABELS = r"(?i)\b(byline|caption|eyebrow|footnote|kicker|label|meta|micro|muted|small)\b"
 
 
 def _first(df: DataFrame, n: int) -> DataFrame:

@@ -95,7 +95,7 @@ def tracking(html: str, css: str) -> list[Finding]:
 
 def spa_shell(html: str, css: str) -> list[Finding]:
     body = re.search(r"<body\b[^>]*>([\S\s]*?)</body>", html, re.I)
-    if not body or not re.search(r"<script\b[^>]*\bsrc\s*=\s*[\x22\x27][^\x22\x27]*(?:/(?:_next|assets|build|dist|static/js)/|\.(?:chunk|bundle)\.js)[^\x22\x27]*[\x22\x27][^>]*>", html, re.I):
+    if not body or not re.search(r"<script\b[^>]*\bsrc\s*[=]\s*[\x22\x27][^\x22\x27]*(?:/(?:_next|assets|build|dist|static/js)/|\.(?:chunk|bundle)\.js)[^\x22\x27]*[\x22\x27][^>]*>", html, re.I):
         return []
     rest = re.sub(r"<!--[\S\s]*?-->", "", body[1])
     for tag in ("script", "style", "noscript"):

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def headers(reports: DataFrame, text: str = "content") -> DataFrame:
     """``reports`` with ``kind``, ``style``, ``run_at``, ``brief``, ``n`` and ``models`` (id, provider) from the head of each."""
-    title = r"(?m)^# (?:\w+ )?(eval-image|eval|critique)[ ·\s]+([^·\n]+?)\s*·\s*(\S+)"
+    title = r"(?m)^# (?:\w+ )?(eval-image|eval|critique)[ ·\s]+([^\n·]+?)\s*[·]\s*(\S+)"
     one = lambda p, g=1: F.nullif(F.regexp_extract(text, p, g), F.lit(""))
     lines = F.regexp_extract_all(text, F.lit(r"(?m)^\s+-\s+`[^`]+`\s+\([^)]+\)\s+·\s+spec\s+`[^`]+`"), F.lit(0))
     models = F.transform(lines, lambda x: F.struct(F.regexp_extract(x, r"spec\s+`([^`]+)`", 1).alias("id"), F.regexp_extract(x, r"\(([^)]+)\)", 1).alias("provider")))

@@ -94,7 +94,7 @@ def _uniform_radius(d: Dialect) -> str:
 
 def _radius_hierarchy(d: Dialect) -> str:
     kinds = d.distinct(_radii(d))
-    plain = d.has(d.trim(d.at(kinds, 1)), r"^(?:0|0px|rounded-none|rounded-full|999px|9999px|50%)$")
+    plain = d.has(d.trim(d.at(kinds, 1)), r"^(?:50%|0|0px|999px|9999px|rounded-full|rounded-none)$")
     return f"case when {d.size(kinds)} = 1 and not {plain} then {d.row('null', d.at(kinds, 1))} else {d.none()} end"
 
 
@@ -138,7 +138,7 @@ def _cards(d: Dialect, m: str) -> str:
 def _no_name(d: Dialect, m: str) -> str:
     tag, inner = d.one(m, r"^<[^>]*>"), d.sub(d.sub(m, r"^<[^>]*>", ""), r"</(?:a|button)>$", "")
     named = " or ".join(d.has(tag, p) for p in _NAMED)
-    drawn = f"{d.has(inner, r'<svg[^>]*' + _NAMED[0])} or {d.has(inner, r'<img[^>]*\balt\s*=\s*[\x22\x27]\s*\S')}"
+    drawn = f"{d.has(inner, r'<svg[^>]*' + _NAMED[0])} or {d.has(inner, r'<img[^>]*\balt\s*[=]\s*[\x22\x27]\s*\S')}"
     return f"not ({named}) and {d.trim(d.sub(inner, '<[^>]+>', ''))} = '' and not ({drawn})"
 
 
@@ -151,7 +151,7 @@ def _heading_skips(d: Dialect) -> str:
 def _body_measure(d: Dialect) -> str:
     blocks = d.all("cs", r"[^{}]+\{[^{}]*\}")
     like = r"(?:^|[\s,])(?:\[data-content\]|\.(?:article|body|content|copy|lede|main|post|prose|rich-text|text)|article|body|html|main)\b"
-    width = r"(?:max-width|width)\s*:\s*\d+(?:\.\d+)?(?:ch|rem|em|px)"
+    width = r"(?:max-)?width\s*:\s*\d+(?:\.\d+)?(?:ch|rem|em|px)"
     selector = lambda x: d.trim(d.one(x, r"^[^{]*"))
     body = lambda x: d.one(d.one(x, r"\{[\s\S]*"), width)
     n = lambda x: d.double(d.one(body(x), r"(\d+(?:\.\d+)?)ch$", 1, False))
@@ -159,7 +159,7 @@ def _body_measure(d: Dialect) -> str:
 
 
 def _symmetry(d: Dialect) -> str:
-    box = d.split(d.one("html", r"<svg[^>]*viewBox\s*=\s*[\x22\x27]([^\x22\x27]+)[\x22\x27]", 1, False), r"\s+")
+    box = d.split(d.one("html", r"<svg[^>]*viewBox\s*[=]\s*[\x22\x27]([^\x22\x27]+)[\x22\x27]", 1, False), r"\s+")
     mid = f"({d.double(d.at(box, 3))} / 2)"
     number = lambda x: d.double(d.one(x, r"^-?(?:\d+\.?\d*|\.\d+)"))
     xs = d.keep(d.each(d.all("html", r"(?:x|cx)\s*=\s*[\x22\x27]([-\d.]+)[\x22\x27]", 1), number), lambda x: f"{x} is not null")
@@ -168,7 +168,7 @@ def _symmetry(d: Dialect) -> str:
 
 
 def _strokes(d: Dialect) -> str:
-    found = d.both(d.all("html", r"stroke-width\s*=\s*[\x22\x27]?([\d.]+)[\x22\x27]?", 1), d.all("html", r"stroke-width\s*:\s*([\d.]+)", 1))
+    found = d.both(d.all("html", r"stroke-width\s*=\s*[\x22\x27]?([\d.]+)[\x22\x27]?", 1), d.all("html", r"stroke-width\s*:\s*([0-9.]+)", 1))
     return f"{d.contains('html', '<svg')} and {d.size(found)} >= 4 and {d.size(d.distinct(found))} = 1 and {d.any_of(d.at(found, 1), ('1', '1.5', '2'))}"
 
 
@@ -194,7 +194,7 @@ RULES = [
     Rule("body-measure", "warn", "Body text set too narrow or too wide.", ("width",), _once(_body_measure)),
     Rule("require-named-grid", "warn", "Stacked layout without any grid.", ("class",), _once(lambda d: f"not ({d.has('csh', r'display\s*:\s*grid')} or {d.has('csh', r'grid-template(?:-columns)?\s*:')} or {d.has('csh', r'\bgrid-cols-\d+\b', False)}) and {d.has('html', _CLASS + r'[^\x22]*(?:flex|container|section)')}")),
     Rule("no-default-spline", "warn", "A stock three-dimensional scene.", ("spline", "iridescent"), _all(*(_each("html", p, 80) for p in (r"spline\.design/[^\x22\x27]+default", r"prod\.spline\.design/\w+/scene\.splinecode", r"iridescent-?blob", r"orb\.splinecode")))),
-    Rule("pricing-not-three", "info", "Three price tiers with a favourite.", ("pricing",), _each("html", _element(("section", "div"), r"[^>]*(?:id|class)\s*=\s*\x22[^\x22]*pricing[^\x22]*\x22[^>]*"), None, lambda d, m: f"{d.has(d.sub(m, '^<[^>]*>', ''), r'recommended|best[\s-]?value|most[\s-]?popular')} and {d.size(d.all(d.sub(m, '^<[^>]*>', ''), r'\bplan\b|\btier\b'))} >= 3")),
+    Rule("pricing-not-three", "info", "Three price tiers with a favourite.", ("pricing",), _each("html", _element(("section", "div"), r"[^>]*(?:class|id)\s*=\s*\x22[^\x22]*pricing[^\x22]*\x22[^>]*"), None, lambda d, m: f"{d.has(d.sub(m, '^<[^>]*>', ''), r'recommended|best[\s-]?value|most[\s-]?popular')} and {d.size(d.all(d.sub(m, '^<[^>]*>', ''), r'\bplan\b|\btier\b'))} >= 3")),
     Rule("footer-not-four-col", "info", "A footer of the usual four columns.", ("<footer",), _each("html", r"<footer\b[\s\S]*?</footer>", None, lambda d, m: f"{d.n_of(m, [rf'\b{w}\b' for w in ('Product', 'Company', 'Resources', 'Legal')])} >= 3")),
     Rule("motion-has-intent", "warn", "Much motion without a declared reason.", ("animate", "data-aos", "motion"), _once(lambda d: f"{d.size(d.all('csh', r'\b(?:data-aos|framer-motion|(?:animate|motion)-(?:slide|fade)-up|(?:animate|initial)=\{)\b'))} >= 4 and not {d.has('csh', 'delayChildren|stagger-|data-(?:aos-delay|motion)')}")),
     Rule("no-fake-trust-bar", "info", "A strip of logos under a claim of trust.", ("trusted by", "backed by", "as seen in", "featured in"), _each("html", r"(?:as seen in|backed by|featured in|trusted by)[\s\S]{0,400}", None, lambda d, m: f"{d.size(d.all(m, r'<img\b|<svg\b'))} >= 3")),

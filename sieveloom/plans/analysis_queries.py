@@ -158,7 +158,7 @@ def first_style(spark, sf_dir):
     return overrides.first_style(corpus(spark, sf_dir), "page_id")
 
 
-_BLOCKS = r"([^{}]+)\{([^{}]*)\}"
+_BLOCKS = r"([^}{]+)\{([^}{]*)\}"
 
 
 @query(f"select page_id, count(*) as n_blocks, sum(length(b)) as n_body from (select page_id, unnest(regexp_extract_all(style, '{_BLOCKS}', 2)) as b from (select page_id, {DUCK.style('html')} as style from {CORPUS_SQL})) group by page_id")
@@ -405,7 +405,7 @@ def gateway_hosts(spark, sf_dir):
     return spark.createDataFrame([(a,) for a in _GATEWAYS], "raw string").select("raw", F.expr(adapters.gateway_base(SPARK, "raw")).alias("base"), F.expr(adapters.hf_endpoint_ok(SPARK, "raw")).alias("is_allowed"))
 
 
-_EVENTS = ['{"type":"item.completed","item":{"type":"agent_message","text":"first %s"}}', '{"event":"agent_message","content":"second %s"}', "warning %s", '{"type":"agent_message","text":""}', '{"type":"tool","text":"no %s"}', "{broken %s"]
+_EVENTS = ['{"item":{"text":"first %s","type":"agent_message"},"type":"item.completed"}', '{"event":"agent_message","content":"second %s"}', "warning %s", '{"type":"agent_message","text":""}', '{"type":"tool","text":"no %s"}', "{broken %s"]
 
 
 @query("select page_id, case page_id % 3 when 0 then 'second ' || page_id when 1 then 'first ' || page_id else 'warning ' || page_id || chr(10) || '{broken ' || page_id end as message from pages")

@@ -21,7 +21,7 @@ FRAGMENTS = [
     "<p>We ship faster — and seamless</p>\n<p>code <code>a — b</code> here</p>",
     '<style>b{font-weight:400}i{font-weight:BOLD}</style><b class="font-bold">x</b>',
     '<style>b{font-weight:400}i{font-weight:bold}</style><b class="font-thin font-black">x</b>',
-    '<img src="https://api.dicebear.com/7/x.svg">\n<img src="https://i.pravatar.cc/3" alt="">\n<img data-alt="q">',
+    '<img id=q src="https://api.dicebear.com/9/x.svg">\n<img src="https://i.pravatar.cc/3" alt="">\n<img data-alt="q">',
     "<style>body{background:#0A0A0A;color:red}\np{background-color:#000000}</style>",
     "<style>body{background:#fff}\np{background-color: #111111}</style>",
     '<style>@keyframes shimmer{from{left:0}}\n.x{animation: shine 2s}</style><i class="animate-shimmer"></i>',

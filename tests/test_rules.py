@@ -41,7 +41,7 @@ CASES = {
     "a11y/button-without-label": ("<button><i></i></button>", "<button title='x'></button>"),
     "a11y/link-without-text": ("<a href='/'> </a>", "<a name='x'> </a>"),
     "a11y/heading-skip": ("<h1>a</h1><h3>b</h3>", "<h1>a</h1><h2>b</h2>"),
-    "spa-shell-detected": ('<body><div id="root"></div><script src="/assets/x.js"></script></body>', '<body><div id="root">hi</div><script src="/assets/x.js"></script></body>'),
+    "spa-shell-detected": ('<body><div id=\'root\'></div><script src="/assets/x.js"></script></body>', '<body><div id=\'root\'>hi</div><script src="/assets/x.js"></script></body>'),
     "svg/no-uniform-stroke": ("<svg>" + "<p stroke-width='2'/>" * 4, "<svg>" + "<p stroke-width='2'/>" * 3),
     "svg/palette-bounds": ("<svg>" + "".join(f"#a{k}b " for k in range(7)), "<svg>" + "".join(f"#a{k}b " for k in range(6))),
     "svg/no-perfect-symmetry": ('<svg viewBox="0 0 10 10">' + '<c x="1"/><c x="9"/>' * 3, '<svg viewBox="0 0 10 10">' + '<c x="1"/>' * 6),
