@@ -8,6 +8,8 @@ import shutil
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,5 +79,28 @@ def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     return docs.join(ids.hint("shuffle_hash"), F.col("doc_id") == F.col("__dropped_id"), "left_anti")
 
 
-def tokens_path(name: str, folder: str = "/opt/tokenizers") -> str:
-    return os.path.join(folder, name)
+def slices(x: np.ndarray, n: int) -> pa.RecordBatch:
+    """A vector in ``n`` slices, as ``tree_sum`` takes them."""
+    return pa.RecordBatch.from_pydict({"slice": pa.array(range(n), pa.int32()), "part": pa.array([p.tobytes() for p in np.array_split(x.reshape(-1), n)], pa.binary())})
+
+
+def tree_sum(parts: DataFrame, dtype: str, size: int, fan: int = 64) -> np.ndarray:
+    """The sum of vectors of which each partition of ``parts`` (slice int, part binary) gives at most one.
+
+    They meet in a tree: a group holds the slices of ``fan`` partitions, however many there are. They are added in order, so the sum is the same at every run.
+    """
+
+    def add(group: pa.Table) -> pa.Table:
+        order = np.argsort(group["at"].to_numpy(), kind="stable").tolist()
+        total = np.zeros(len(group["part"][0].as_buffer()) // np.dtype(dtype).itemsize, dtype)
+        for k in order:
+            total += np.frombuffer(group["part"][k].as_buffer(), dtype)
+        return pa.table({"slice": pa.array([group["slice"][0].as_py()], pa.int32()), "at": pa.array([group["to"][0].as_py()], pa.int32()), "part": pa.array([total.tobytes()], pa.binary())})
+
+    n, parts = parts.rdd.getNumPartitions(), parts.withColumn("at", F.spark_partition_id())
+    while True:
+        parts, n = parts.withColumn("to", F.floor(F.col("at") / fan).cast("int")).groupBy("slice", "to").applyInArrow(add, "slice int, at int, part binary"), -(-n // fan)
+        if n <= 1:
+            break
+    got = parts.orderBy("slice").collect()
+    return np.concatenate([np.frombuffer(r["part"], dtype) for r in got]) if got else np.zeros(size, dtype)

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sieveloom.llm.common import documents, drop_stash, stash, table, without
+from sieveloom.llm.common import documents, drop_stash, slices, stash, table, tree_sum, without
 from sieveloom.llm.textarrays import TERMS, tokenize
 
 BLOCK = 16
@@ -50,6 +50,7 @@ OVERLAP = 0.4
 VERBATIM, PARAPHRASE, ANSWER = 0.8, 0.6, 0.6
 MAX_ITEM_BYTES = 64 << 20
 SEED = 7
+_SLICES = 8
 
 
 class Items:
@@ -136,21 +137,6 @@ def _rows(b: pa.RecordBatch, terms: int = 1 << 17) -> Iterator[tuple[int, int]]:
         i = j
 
 
-def _summed(parts: DataFrame, dtype: str) -> np.ndarray:
-    """Sum of the binary vectors in ``part``, slice by slice on the executors; rows (slice int, part binary)."""
-
-    def add(group: pa.Table) -> pa.Table:
-        total = np.sum([np.frombuffer(x.as_buffer(), dtype) for x in group["part"]], axis=0, dtype=dtype)
-        return pa.table({"slice": pa.array([group["slice"][0].as_py()], pa.int32()), "part": pa.array([total.tobytes()], pa.binary())})
-
-    got = parts.groupBy("slice").applyInArrow(add, "slice int, part binary").orderBy("slice").collect()
-    return np.concatenate([np.frombuffer(r["part"], dtype) for r in got]) if got else np.zeros(0, dtype)
-
-
-def _slices(x: np.ndarray, n: int = 8) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({"slice": pa.array(range(n), pa.int32()), "part": pa.array([p.tobytes() for p in np.array_split(x.reshape(-1), n)], pa.binary())})
-
-
 def passage_counts(places: DataFrame, n_vocabulary: int) -> tuple[np.ndarray, int]:
     """(number of passages that hold each term, number of passages), over all documents."""
 
@@ -168,11 +154,9 @@ def passage_counts(places: DataFrame, n_vocabulary: int) -> tuple[np.ndarray, in
                 df += np.bincount(term[~start[block] & ~has_previous], minlength=n_vocabulary + 1)
                 df += np.bincount(term[~last[block]], minlength=n_vocabulary + 1)
                 df[0] += int((np.diff(first) - 1).sum())
-        yield _slices(df)
+        yield slices(df, _SLICES)
 
-    df = _summed(places.mapInArrow(run, "slice int, part binary"), "int64")
-    if not len(df):
-        df = np.zeros(n_vocabulary + 1, np.int64)
+    df = tree_sum(places.mapInArrow(run, "slice int, part binary"), "int64", n_vocabulary + 1)
     return df[1:], int(df[0])
 
 
@@ -214,10 +198,9 @@ def singular_vectors(places: DataFrame, idf: np.ndarray, rank: int = RANK, overs
                 begin = np.flatnonzero(np.diff(term[order], prepend=-1))
                 if len(begin):
                     z[term[order][begin]] += np.add.reduceat(both[at[order]], begin, axis=0)
-        yield _slices(z[1:] * idf[:, None])
+        yield slices(z[1:] * idf[:, None], _SLICES)
 
-    got = _summed(places.mapInArrow(run, "slice int, part binary"), "float32")
-    z = (got if len(got) else np.zeros(v * size, np.float32)).reshape(v, size).astype(np.float64)
+    z = tree_sum(places.mapInArrow(run, "slice int, part binary"), "float32", v * size).reshape(v, size).astype(np.float64)
     # Nystrom: A'A ~ Z (O'Z)^+ Z'
     core = omega.astype(np.float64).T @ z
     s, u = np.linalg.eigh((core + core.T) / 2)

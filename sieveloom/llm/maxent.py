@@ -11,8 +11,8 @@ output of a class.
 
 Training reads every document once, in ``ROUNDS`` disjoint shares by document.
 In a round each task takes gradient steps (Adagrad by row) from the shared
-weights on its documents; the updates meet, slice by slice on the executors,
-each row weighted by how often a task saw it. The weights have a fixed size
+weights on its documents; the updates meet in a tree on the executors, slice by
+slice, each row weighted by how often a task saw it. The weights have a fixed size
 (6 MB); what the tasks send grows with their number, that is with the corpus.
 
 Scores: the mean log2 probability of a text's terms, and the perplexity that
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sieveloom.llm.common import table
+from sieveloom.llm.common import slices, table, tree_sum
 from sieveloom.llm.textarrays import TERMS, Tokens, mix64, tokenize
 
 CLASSES, WIDTH = 32, 32
@@ -47,22 +47,6 @@ _LIMIT = 30.0  # a sum of weights is held within this, so that no exponential ov
 _ONES = np.ones(WIDTH, np.float32)
 
 
-def _slices(x: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({"slice": pa.array(range(_SLICES), pa.int32()), "part": pa.array([p.tobytes() for p in np.array_split(x.reshape(-1), _SLICES)], pa.binary())})
-
-
-def _summed(parts: DataFrame, dtype: str, size: int) -> np.ndarray:
-    def add(group: pa.Table) -> pa.Table:
-        total = None
-        for x in group["part"]:
-            v = np.frombuffer(x.as_buffer(), dtype)
-            total = v.copy() if total is None else total.__iadd__(v)
-        return pa.table({"slice": pa.array([group["slice"][0].as_py()], pa.int32()), "part": pa.array([total.tobytes()], pa.binary())})
-
-    got = parts.groupBy("slice").applyInArrow(add, "slice int, part binary").orderBy("slice").collect()
-    return np.concatenate([np.frombuffer(r["part"], dtype) for r in got]) if got else np.zeros(size, dtype)
-
-
 def vocabulary(docs: DataFrame) -> np.ndarray:
     """The output of each of ``BUCKETS`` term hashes, from the counts of all terms of all documents."""
 
@@ -71,9 +55,9 @@ def vocabulary(docs: DataFrame) -> np.ndarray:
         for b in batches:
             for t in tokenize(b.column(0), TERMS):
                 n += np.bincount((t.hash & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
-        yield _slices(n)
+        yield slices(n, _SLICES)
 
-    return outputs_of(_summed(docs.select("text").mapInArrow(run, "slice int, part binary"), "int64", BUCKETS))
+    return outputs_of(tree_sum(docs.select("text").mapInArrow(run, "slice int, part binary"), "int64", BUCKETS))
 
 
 def outputs_of(counts: np.ndarray) -> np.ndarray:
@@ -164,9 +148,9 @@ def fit(docs: DataFrame, outputs: np.ndarray, rounds: int = ROUNDS, rate: float
                         model.learn(*contexts(t, outputs), power, seen, rate)
             if seen.any():
                 update = (model.w - start) * seen[:, None]
-                yield _slices(np.hstack([update, seen[:, None], ((power - before) * seen)[:, None]]).astype(np.float32))
+                yield slices(np.hstack([update, seen[:, None], ((power - before) * seen)[:, None]]).astype(np.float32), _SLICES)
 
-        got = _summed(docs.where(share == k).select("text").mapInArrow(run, "slice int, part binary"), "float32", weights.size + 2 * len(weights)).reshape(len(weights), WIDTH + 2)
+        got = tree_sum(docs.where(share == k).select("text").mapInArrow(run, "slice int, part binary"), "float32", weights.size + 2 * len(weights)).reshape(len(weights), WIDTH + 2)
         n = np.maximum(got[:, WIDTH], 1)
         weights = weights + got[:, :WIDTH] / n[:, None]
         power = power + got[:, WIDTH + 1] / n
