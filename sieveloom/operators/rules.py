@@ -174,7 +174,7 @@ def _strokes(d: Dialect) -> str:
 
 RULES = [
     Rule("no-default-grotesque", "error", "Every font stack is one of eight usual sans faces.", ("font-family",), _default_grotesque),
-    Rule("no-purple-blue-gradient", "error", "A gradient of two or more of the usual violet to blue hues.", ("-gradient",), _all(_each("csh", r"(?:linear|radial)-gradient\s*\([^)]*\)", 80, lambda d, m: f"{d.n_of(m, HUES)} >= 2"), _each("csh", _CLASS + r"[^\x22]*bg-gradient-to-[^\x22]*\x22", 120, lambda d, m: f"{d.n_of(m, [f'(?:from|via|to)-{h}-' for h in HUES])} >= 2"))),
+    Rule("no-purple-blue-gradient", "error", "A gradient of two or more of the usual violet to blue hues.", ("linear-gradient", "radial-gradient", "bg-gradient-to-"), _all(_each("csh", r"(?:linear|radial)-gradient\s*\([^)]*\)", 80, lambda d, m: f"{d.n_of(m, HUES)} >= 2"), _each("csh", _CLASS + r"[^\x22]*bg-gradient-to-[^\x22]*\x22", 120, lambda d, m: f"{d.n_of(m, [f'(?:from|via|to)-{h}-' for h in HUES])} >= 2"))),
     Rule("no-emoji-bullets", "error", "A list item that starts with an emoji.", ("<li",), _emoji_bullets),
     Rule("no-gradient-text", "error", "Gradient text on words that promise the future.", ("class",)),
     Rule("no-slop-copy", "warn", "Worn marketing phrases in running text."),
@@ -188,11 +188,11 @@ RULES = [
     Rule("no-lucide-in-rounded-square", "warn", "A stock icon in a rounded tile.", ("rounded-",), _all(*(_each("html", rf"<(?:div|span)[^>]*{_CLASS}[^\x22]*\brounded-(?:full|2xl|xl|lg|md)\b[^\x22]*(?:bg-blue-|bg-gradient|bg-indigo-|bg-purple-|bg-violet-)[^\x22]*\x22[^>]*>[\s\S]{{0,200}}?<{n}\b", 120) for n in ICONS))),
     Rule("no-indiscriminate-glass", "warn", "Blurred backdrops in several places.", ("backdrop-",), _once(lambda d: f"{d.size(d.all('csh', r'backdrop-filter\s*:\s*blur[(][^)]+[)]'))} + {d.size(d.all('csh', r'\bbackdrop-blur(?:-[0-9a-z]+)?\b'))} >= 2")),
     Rule("single-shadow-style", "info", "The same shadow on everything.", ("shadow",), _once(_shadows)),
-    Rule("no-centered-hero", "warn", "A centred container around the first heading.", ("<h1",), _each("html", rf"<(?:div|header|main|section)[^>]*{_CLASS}[^\x22]*(?:mx-auto[^\x22]*max-w-|items-center[^\x22]*justify-center|text-center)[^\x22]*\x22[^>]*>[\s\S]{{0,1000}}?[\s\S]{{0,1000}}?<h1\b[\s\S]{{0,500}}?</h1>", 140)),
+    Rule("no-centered-hero", "warn", "A centred container around the first heading.", ("text-center", "items-center", "max-w-"), _each("html", rf"<(?:div|header|main|section)[^>]*{_CLASS}[^\x22]*(?:mx-auto[^\x22]*max-w-|items-center[^\x22]*justify-center|text-center)[^\x22]*\x22[^>]*>[\s\S]{{0,1000}}?[\s\S]{{0,1000}}?<h1\b[\s\S]{{0,500}}?</h1>", 140)),
     Rule("respect-reduced-motion", "error", "Motion without a reduced-motion variant.", ("@keyframes", "animation", "transition"), _once(lambda d: f"({d.has('cs', r'@keyframes\s+')} or {d.has('cs', r'\banimation\s*:')} or {d.has('cs', r'\btransition\s*:[^};]*\d{2,}ms')}) and not {d.has('cs', r'@media\s*[(][^)]*prefers-reduced-motion[^)]*[)]')}")),
     Rule("line-height-per-size", "warn", "One line height for all sizes.", ("line-height",), _once(lambda d: d.size(d.distinct(d.each(d.all("cs", r"line-height\s*:\s*([^};]+)", 1), lambda x: f"lower({d.trim(x)})"))) + " = 1")),
     Rule("body-measure", "warn", "Body text set too narrow or too wide.", ("width",), _once(_body_measure)),
-    Rule("require-named-grid", "warn", "Stacked layout without any grid.", ("class",), _once(lambda d: f"not ({d.has('csh', r'display\s*:\s*grid')} or {d.has('csh', r'grid-template(?:-columns)?\s*:')} or {d.has('csh', r'\bgrid-cols-\d+\b', False)}) and {d.has('html', _CLASS + r'[^\x22]*(?:flex|container|section)')}")),
+    Rule("require-named-grid", "warn", "Stacked layout without any grid.", ("flex", "container", "section"), _once(lambda d: f"not ({d.has('csh', r'display\s*:\s*grid')} or {d.has('csh', r'grid-template(?:-columns)?\s*:')} or {d.has('csh', r'\bgrid-cols-\d+\b', False)}) and {d.has('html', _CLASS + r'[^\x22]*(?:flex|container|section)')}")),
     Rule("no-default-spline", "warn", "A stock three-dimensional scene.", ("spline", "iridescent"), _all(*(_each("html", p, 80) for p in (r"spline\.design/[^\x22\x27]+default", r"prod\.spline\.design/\w+/scene\.splinecode", r"iridescent-?blob", r"orb\.splinecode")))),
     Rule("pricing-not-three", "info", "Three price tiers with a favourite.", ("pricing",), _each("html", _element(("section", "div"), r"[^>]*(?:class|id)\s*=\s*\x22[^\x22]*pricing[^\x22]*\x22[^>]*"), None, lambda d, m: f"{d.has(d.sub(m, '^<[^>]*>', ''), r'recommended|best[\s-]?value|most[\s-]?popular')} and {d.size(d.all(d.sub(m, '^<[^>]*>', ''), r'\bplan\b|\btier\b'))} >= 3")),
     Rule("footer-not-four-col", "info", "A footer of the usual four columns.", ("<footer",), _each("html", r"<footer\b[\s\S]*?</footer>", None, lambda d, m: f"{d.n_of(m, [rf'\b{w}\b' for w in ('Product', 'Company', 'Resources', 'Legal')])} >= 3")),
@@ -201,12 +201,12 @@ RULES = [
     Rule("cta-not-canonical", "info", "A gradient button with an arrow.", ("bg-gradient-", "from-"), _each("html", _element(("a", "button"), rf"[^>]*{_CLASS}[^\x22]*(?:from-\w+-\d+|bg-gradient-)[^\x22]*\x22[^>]*", r"[\s\S]{0,300}?(?:\x{2192}|&rarr;|<svg[^>]*(?:chevron|arrow)[^>]*>)"), 120)),
     Rule("tracking-per-size", "warn", "Large or all-caps type without its own tracking."),
     Rule("radius-hierarchy", "warn", "One corner radius for all kinds of parts.", ("radius", "rounded"), _radius_hierarchy),
-    Rule("no-inline-style-animation", "error", "Motion declared in a style attribute.", ("style",), _each("html", r"\bstyle\s*=\s*(?:\x22[^\x22]*\b(?:animation|transition)\s*:[^\x22]*\x22|\x27[^\x27]*\b(?:animation|transition)\s*:[^\x27]*\x27)", 140)),
+    Rule("no-inline-style-animation", "error", "Motion declared in a style attribute.", ("animation", "transition"), _each("html", r"\bstyle\s*=\s*(?:\x22[^\x22]*\b(?:animation|transition)\s*:[^\x22]*\x22|\x27[^\x27]*\b(?:animation|transition)\s*:[^\x27]*\x27)", 140)),
     Rule("no-em-dashes-in-prose", "warn", "A long dash in running text."),
     Rule("a11y/img-without-alt", "error", "An image without alternative text.", ("<img",), _each("html", r"<img\b[^>]*>", 140, lambda d, m: "not " + d.has(m, r"\balt\s*="))),
     Rule("a11y/button-without-label", "error", "A button without a name.", ("<button",), _each("html", r"<button\b[^>]*>[\s\S]*?</button>", 140, _no_name)),
     Rule("a11y/link-without-text", "error", "A link without a name.", ("<a",), _each("html", r"<a\b[^>]*>[\s\S]*?</a>", 140, lambda d, m: f"{d.has(d.one(m, '^<[^>]*>'), r'\bhref\s*=')} and {_no_name(d, m)}")),
-    Rule("a11y/heading-skip", "warn", "A heading that skips a level.", ("<h",), _heading_skips),
+    Rule("a11y/heading-skip", "warn", "A heading that skips a level.", ("<h3", "<h4", "<h5", "<h6"), _heading_skips),
     Rule("spa-shell-detected", "info", "An empty shell that a script fills.", ("<script",)),
     Rule("svg/no-uniform-stroke", "warn", "All strokes of one usual width.", ("<svg",), _once(_strokes)),
     Rule("svg/palette-bounds", "info", "More than six colours.", ("<svg",), _once(lambda d: f"{d.contains('html', '<svg')} and {d.size(d.distinct(d.each(d.all('html', r'#(?:[a-f0-9]{6}|[a-f0-9]{3})\b'), lambda x: f'lower({x})')))} > 6")),
