@@ -23,7 +23,11 @@ How it is found, for all windows of all documents:
 
 Null and empty texts and texts of fewer than ``length`` words have no spans.
 Rows without ``doc_id`` take no part and stay. Rows that repeat a ``doc_id``
-with the same text are one document. A document of one word many times over
+with the same text are one document. Different texts under one ``doc_id`` are
+documents of their own, told apart by ``version``: each is cut by its own spans.
+They share the coordinate, so words at the same position of both aren't
+duplicates of each other, and ``duplicate_spans``, which names the ``doc_id``
+alone, joins their spans where they overlap. A document of one word many times over
 keeps its first word and is otherwise a repeat of itself.
 """
 
@@ -61,16 +65,31 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
+def several_texts(docs: DataFrame) -> DataFrame:
+    """(doc_id, texts) of the ids that stand for several texts: their hashes, in order. Stashed, so that Spark knows its size."""
+    return stash(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("h")).where("doc_id is not null").groupBy("doc_id").agg(F.sort_array(F.collect_set("h")).alias("texts")).where("size(texts) > 1"))
+
+
+def with_version(docs: DataFrame, several: DataFrame, name: str) -> DataFrame:
+    """``docs`` with an int column ``name``: 0, or the place of the text among those of its ``doc_id``."""
+    several = several.select(F.col("doc_id").alias("__several_id"), F.col("texts").alias("__texts"))
+    joined = docs.join(several, F.col("doc_id").cast("bigint") == F.col("__several_id"), "left")
+    return joined.withColumn(name, F.coalesce(F.array_position("__texts", F.xxhash64("text")), F.lit(0)).cast("int")).drop("__several_id", "__texts")
+
+
 def anchor_rows(docs: DataFrame, length: int, seed: int) -> DataFrame:
+    """From (doc_id, text, version)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b.column(0).to_numpy(zero_copy_only=False)
+            ids, versions = b.column(0).to_numpy(zero_copy_only=False), b.column(2).to_numpy(zero_copy_only=False)
             for t in tokenize(b.column(1)):
                 found = [(t.first + d, *anchors(t.hash[t.off[d] : t.off[d + 1]], length, seed)) for d in np.flatnonzero(np.diff(t.off) >= length)]
                 if found:
-                    yield pa.RecordBatch.from_pydict({"h": _signed(np.concatenate([x[2] for x in found])), "doc_id": pa.array(np.repeat(ids[[x[0] for x in found]], [len(x[1]) for x in found])), "pos": pa.array(np.concatenate([x[1] for x in found]).astype(np.int32))})
+                    rows, size = [x[0] for x in found], [len(x[1]) for x in found]
+                    yield pa.RecordBatch.from_pydict({"h": _signed(np.concatenate([x[2] for x in found])), "doc_id": pa.array(np.repeat(ids[rows], size)), "version": pa.array(np.repeat(versions[rows], size)), "pos": pa.array(np.concatenate([x[1] for x in found]).astype(np.int32))})
 
-    return docs.mapInArrow(run, "h bigint, doc_id bigint, pos int")
+    return docs.mapInArrow(run, "h bigint, doc_id bigint, version int, pos int")
 
 
 def _edges_of(h: np.ndarray, repeated: np.ndarray, length: int, seed: int) -> dict[str, np.ndarray] | None:
@@ -103,11 +122,11 @@ def _edges_of(h: np.ndarray, repeated: np.ndarray, length: int, seed: int) -> di
 
 
 def edge_rows(docs: DataFrame, length: int, seed: int) -> DataFrame:
-    """From (doc_id, text, at binary of int32 positions of repeated anchors)."""
+    """From (doc_id, text, at array of int positions of repeated anchors, version)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b.column(0).to_numpy(zero_copy_only=False)
+            ids, versions = b.column(0).to_numpy(zero_copy_only=False), b.column(3).to_numpy(zero_copy_only=False)
             for t in tokenize(b.column(1)):
                 rows, parts = [], []
                 for d in range(t.n_docs):
@@ -117,44 +136,50 @@ def edge_rows(docs: DataFrame, length: int, seed: int) -> DataFrame:
                         parts.append(r)
                 if not rows:
                     continue
-                g = {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
-                yield pa.RecordBatch.from_pydict({"node": _signed(g["node"]), "pred": pa.array(g["pred"]), "succ": pa.array(g["succ"]), "proof": pa.array(g["proof"]), "doc_id": pa.array(np.repeat(ids[rows], [len(p["pos"]) for p in parts])), "pos": pa.array(g["pos"].astype(np.int32)), "stop": pa.array(g["stop"].astype(np.int32))})
+                g, size = {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}, [len(p["pos"]) for p in parts]
+                yield pa.RecordBatch.from_pydict({"node": _signed(g["node"]), "pred": pa.array(g["pred"]), "succ": pa.array(g["succ"]), "proof": pa.array(g["proof"]), "doc_id": pa.array(np.repeat(ids[rows], size)), "version": pa.array(np.repeat(versions[rows], size)), "pos": pa.array(g["pos"].astype(np.int32)), "stop": pa.array(g["stop"].astype(np.int32))})
 
-    return docs.mapInArrow(run, "node bigint, pred int, succ int, proof int, doc_id bigint, pos int, stop int")
+    return docs.mapInArrow(run, "node bigint, pred int, succ int, proof int, doc_id bigint, version int, pos int, stop int")
 
 
-def paths(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
-    """(doc_id, start, n, first_doc_id, first_start): ``n`` windows from ``start`` on that repeat those at the first coordinate."""
-    docs = documents(docs.select(F.col("doc_id").cast("bigint"), "text"), "text")
+def paths(docs: DataFrame, several: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
+    """(doc_id, version, start, n, first_doc_id, first_start): ``n`` windows from ``start`` on that repeat those at the first coordinate."""
+    docs = with_version(documents(docs.select(F.col("doc_id").cast("bigint"), "text"), "text"), several, "version")
     seeds = anchor_rows(docs, length, seed)
-    repeated = seeds.withColumn("n", F.count("*").over(Window.partitionBy("h"))).where("n > 1").groupBy("doc_id").agg(F.collect_set("pos").alias("at"))
-    read = docs.join(repeated.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "at")
+    repeated = seeds.withColumn("n", F.count("*").over(Window.partitionBy("h"))).where("n > 1").groupBy("doc_id", "version").agg(F.collect_set("pos").alias("at"))
+    read = docs.join(repeated.hint("shuffle_hash"), ["doc_id", "version"]).select("doc_id", "text", "at", "version")
     by_node = Window.partitionBy("node")
     edges = edge_rows(read, length, seed).withColumns({k: f(c).over(by_node) for k, f, c in (("p0", F.min, "pred"), ("p1", F.max, "pred"), ("s0", F.min, "succ"), ("s1", F.max, "succ"))})
     # a branch: several ways in or out, or a run that starts (pred 0) or ends (succ 0) here
-    heads = edges.where("succ <> 0 and (p0 <> p1 or s0 <> s1 or p0 = 0 or s0 = 0)").select("node", "succ", "proof", "doc_id", "pos", "stop")
+    heads = edges.where("succ <> 0 and (p0 <> p1 or s0 <> s1 or p0 = 0 or s0 = 0)").select("node", "succ", "proof", "doc_id", "version", "pos", "stop")
     heads = stash(heads.distinct())
     first = heads.groupBy("node", "succ").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "pos", "proof")).alias("first"))
-    in_run = Window.partitionBy("doc_id", "stop").orderBy("pos")
+    in_run = Window.partitionBy("doc_id", "version", "stop").orderBy("pos")
     return (
         heads.withColumn("next", F.coalesce(F.lead("pos").over(in_run), "stop"))
         .join(first.where("copies > 1"), ["node", "succ"])
         .where("proof = first.proof and (doc_id <> first.doc_id or pos <> first.pos)")
-        .select("doc_id", F.col("pos").alias("start"), (F.col("next") - F.col("pos")).alias("n"), F.col("first.doc_id").alias("first_doc_id"), F.col("first.pos").alias("first_start"))
+        .select("doc_id", "version", F.col("pos").alias("start"), (F.col("next") - F.col("pos")).alias("n"), F.col("first.doc_id").alias("first_doc_id"), F.col("first.pos").alias("first_start"))
     )
 
 
+def _spans(p: DataFrame, length: int, *by: str) -> DataFrame:
+    """The paths that touch or overlap, as one span; ``by`` names the columns that a span has in common."""
+    w = Window.partitionBy(*by).orderBy("start")
+    p = p.withColumn("end", F.col("start") + F.col("n") + F.lit(length - 1))
+    p = p.withColumn("reach", F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    p = p.withColumn("span", F.sum(F.when(F.col("reach").isNull() | (F.col("start") > F.col("reach")), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return p.groupBy(*by, "span").agg(F.min("start").alias("start_token"), F.max("end").alias("end_token"), F.min_by(F.struct("first_doc_id", "first_start"), "start").alias("f"))
+
+
 def duplicate_spans(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
     """(doc_id, start_token, end_token, first_doc_id, first_token), one row for each longest span of duplicate words.
 
     ``end_token`` is exclusive. ``first_doc_id`` and ``first_token`` are the
     earliest coordinate of the span's first window.
     """
-    w = Window.partitionBy("doc_id").orderBy("start")
-    p = paths(docs, length, seed).withColumn("end", F.col("start") + F.col("n") + F.lit(length - 1))
-    p = p.withColumn("reach", F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    p = p.withColumn("span", F.sum(F.when(F.col("reach").isNull() | (F.col("start") > F.col("reach")), 1).otherwise(0)).over(w))
-    return p.groupBy("doc_id", "span").agg(F.min("start").alias("start_token"), F.max("end").alias("end_token"), F.min_by(F.struct("first_doc_id", "first_start"), "start").alias("f")).select("doc_id", "start_token", "end_token", F.col("f.first_doc_id").alias("first_doc_id"), F.col("f.first_start").alias("first_token"))
+    found = _spans(paths(docs, several_texts(docs), length, seed), length, "doc_id")
+    return found.select("doc_id", "start_token", "end_token", F.col("f.first_doc_id").alias("first_doc_id"), F.col("f.first_start").alias("first_token"))
 
 
 def _cut(t: Tokens, d: int, spans: list[tuple[int, int]]) -> bytes:
@@ -174,8 +199,10 @@ def remove_duplicates(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -
     ``text`` (and ``n_chars``, where there is such a column) changes in documents
     with spans only; the other columns stay as they are.
     """
-    spans = duplicate_spans(docs, length, seed).groupBy(F.col("doc_id").alias("__span_doc")).agg(F.sort_array(F.collect_list(F.struct("start_token", "end_token"))).alias("__spans"))
-    joined = docs.join(spans.hint("shuffle_hash"), F.col("doc_id").cast("bigint") == F.col("__span_doc"), "left").drop("__span_doc")
+    several = several_texts(docs)
+    spans = _spans(paths(docs, several, length, seed), length, "doc_id", "version").groupBy(F.col("doc_id").alias("__span_doc"), F.col("version").alias("__span_version")).agg(F.sort_array(F.collect_list(F.struct("start_token", "end_token"))).alias("__spans"))
+    own = (F.col("doc_id").cast("bigint") == F.col("__span_doc")) & (F.col("__version") == F.col("__span_version"))
+    joined = with_version(docs, several, "__version").join(spans.hint("shuffle_hash"), own, "left").drop("__span_doc", "__span_version", "__version")
     n_chars = "n_chars" in docs.columns
     names = docs.columns
 

@@ -1,5 +1,6 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns, for each operator and stage."""
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -100,6 +101,20 @@ def test_substrings(docs):
     assert left[1]["text"] == SENTENCE and left[3]["text"] is None and left[4]["text"] == ""
 
 
+def test_substrings_of_two_texts_under_one_id(spark, tmp_path):
+    """A position of one text isn't looked up in the other, and each text is cut by its own spans."""
+    said = [f"y{k}" for k in range(300)]
+    own = [f"z{k}" for k in range(120)]
+    rows = [(1, " ".join(said)), (2, " ".join(own)), (2, " ".join([*own[:60], *said[100:300]])), (3, " ".join(said[120:200]))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    docs.toPandas().to_parquet(tmp_path / "documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet')")
+    assert sorted(map(tuple, substrings.duplicate_spans(docs).collect())) == sorted(con.sql(substrings.ORACLE).fetchall())
+    left = sorted((r["doc_id"], r["text"].split()) for r in substrings.remove_duplicates(docs).collect())
+    assert left == [(1, said), (2, own[:60]), (2, own)]
+
+
 def test_toxicity(spark, docs, clashing, empty, labels):
     found = [r["doc_id"] for r in toxicity.toxic_documents(docs, labels).collect()]
     assert sorted(found) == [11, 12]
