@@ -12,6 +12,8 @@ the second quartile to the third. The difference of two digests adds up
 Scores beyond ``BOUND`` are not told apart: two documents match if their score is
 at most ``BOUND``. All pairs of distinct digests are compared, except pairs of
 tiles whose lengths alone put them beyond the bound, so ``nearest`` is exact.
+``nearest``, the query, names one partner of each document, and a copy before any
+near one; ``near_pairs`` gives all pairs of distinct digests within the bound.
 
 Null texts, texts of fewer than ``MIN_BYTES`` bytes and texts that fill fewer
 than half of the buckets, or whose third quartile is zero, have no digest and no match.
@@ -117,17 +119,18 @@ def _planes(d: np.ndarray) -> np.ndarray:
     return np.hstack([np.packbits(code >= k, axis=1).view(np.uint64) for k in (1, 2, 3)])
 
 
-def _within(bound: int):
+def _pairs(bound: int):
+    """A search of two tiles for all pairs within ``bound``: (row in the first, row in the second, score)."""
     circle = np.array([[min((x - y) % 16, (y - x) % 16) for x in range(16)] for y in range(16)])
     ratio = np.where(circle <= 1, circle, 12 * (circle - 1)).astype(np.int32)
 
-    def kernel(ia, ka, ca, ib, kb, cb, same):
+    def search(ka, ca, kb, cb, same):
         pa_, pb = _planes(ca), np.ascontiguousarray(_planes(cb).T)
-        ids, other, score = [], [], []
-        for j in range(0, len(ib), _BLOCK_B):
+        left, right, score = [], [], []
+        for j in range(0, len(kb), _BLOCK_B):
             jj = slice(j, j + _BLOCK_B)
             klo, khi = int(kb[jj].min()), int(kb[jj].max())
-            for i in range(0, min(len(ia), j + _BLOCK_B) if same else len(ia), _BLOCK_A):
+            for i in range(0, min(len(ka), j + _BLOCK_B) if same else len(ka), _BLOCK_A):
                 ii = slice(i, i + _BLOCK_A)
                 if 12 * (int(ka[ii].min()) - khi) > bound or 12 * (klo - int(ka[ii].max())) > bound:
                     continue
@@ -151,12 +154,21 @@ def _within(bound: int):
                 d = np.abs(ka[x] - kb[y])
                 total += np.where(d <= 1, d, 12 * d) + ratio[ca[x, 1], cb[y, 1]] + ratio[ca[x, 2], cb[y, 2]]
                 ok = total <= bound
-                x, y, total = x[ok], y[ok], total[ok]
-                ids += [ia[x], ib[y]]
-                other += [ib[y], ia[x]]
-                score += [total, total]
+                left.append(x[ok])
+                right.append(y[ok])
+                score.append(total[ok])
         none = np.zeros(0, np.int64)
-        a, b, s = np.concatenate([*ids, none]), np.concatenate([*other, none]), np.concatenate([*score, none]).astype(np.int32)
+        return np.concatenate([*left, none]), np.concatenate([*right, none]), np.concatenate([*score, none]).astype(np.int32)
+
+    return search
+
+
+def _within(bound: int):
+    search = _pairs(bound)
+
+    def kernel(ia, ka, ca, ib, kb, cb, same):
+        x, y, s = search(ka, ca, kb, cb, same)
+        a, b, s = np.concatenate([ia[x], ib[y]]), np.concatenate([ib[y], ia[x]]), np.concatenate([s, s])
         order = np.lexsort((b, s, a))  # each document's nearest in this pair of tiles
         a, b, s = a[order], b[order], s[order]
         first = np.flatnonzero(np.diff(a, prepend=np.iinfo(np.int64).min))
@@ -165,6 +177,29 @@ def _within(bound: int):
     return kernel
 
 
+def _all_within(bound: int):
+    search = _pairs(bound)
+
+    def kernel(ia, ka, ca, ib, kb, cb, same):
+        x, y, s = search(ka, ca, kb, cb, same)
+        pairs = [sorted((p.tobytes(), q.tobytes())) for p, q in zip(ca[x], cb[y], strict=True)]
+        return {"digest": pa.array([p[0] for p in pairs], pa.binary()), "other": pa.array([p[1] for p in pairs], pa.binary()), "score": pa.array(s, pa.int32())}
+
+    return kernel
+
+
+def near_pairs(prints: DataFrame, bound: int = BOUND, tile: int = TILE) -> DataFrame:
+    """(digest, other, score) of every pair of distinct digests within ``bound``, once each, the smaller digest first.
+
+    From the result of ``digests``, stashed. Rows of one digest are exact copies
+    by it: joined to ``prints`` on either side, a pair stands for each of them.
+    """
+    key = F.conv(F.hex(F.substring("digest", 1, 1)), 16, 10).cast("int")
+    distinct = stash(prints.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("id")))
+    packed = stash(tiles.pack(distinct.select("id", key.alias("key"), F.col("digest").alias("code")), distinct.count(), tile))
+    return tiles.compare(packed, packed.count(), bound // 12, _all_within(bound), "digest binary, other binary, score int")
+
+
 def nearest(docs: DataFrame, bound: int = BOUND, tile: int = TILE) -> DataFrame:
     """(doc_id, digest hex, nearest_doc_id, score) of every document; the last two are null where no other document is within ``bound``."""
     prints = stash(digests(docs))

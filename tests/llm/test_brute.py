@@ -101,6 +101,22 @@ def test_digest_differences(spark, sf):
         assert (r["score"], r["nearest_doc_id"]) == (best if best and best[0] <= digests.BOUND else (None, None))
 
 
+def test_all_near_pairs_of_digests(spark, sf):
+    """X and Y are near and each has an exact copy: a nearest document names the copy only, a pair links X and Y."""
+    texts = [r["text"] for r in table(spark, sf, "documents").collect()]
+    base = " ".join(f"word{k * 7919 % 1000}" for k in range(400))
+    texts += [base, base, base + " end", base + " end"]
+    made, has = digests.digests_of(pa.array(texts))
+    some = sorted({m.tobytes() for m, h in zip(made, has, strict=True) if h})
+    plain = {(a, b, d) for a, b in itertools.combinations(some, 2) if abs(a[0] - b[0]) <= 2 and (d := digests.difference(a, b)) <= digests.BOUND}
+    prints = digests.stash(digests.digests(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")))
+    for tile in (16, digests.TILE):
+        got = [(bytes(r["digest"]), bytes(r["other"]), r["score"]) for r in digests.near_pairs(prints, tile=tile).collect()]
+        assert len(got) == len(plain) and set(got) == plain
+    x, y = sorted((made[-4].tobytes(), made[-2].tobytes()))
+    assert x != y and any(p[:2] == (x, y) for p in plain)
+
+
 @given(st.lists(st.text(alphabet="ab \n\té_9Z", max_size=90), max_size=5))
 @settings(max_examples=60, deadline=None)
 def test_tokens(texts):
