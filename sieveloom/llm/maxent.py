@@ -16,7 +16,9 @@ slice, each row weighted by how often a task saw it. The weights have a fixed si
 (6 MB); what the tasks send grows with their number, that is with the corpus.
 
 Scores: the mean log2 probability of a text's terms, and the perplexity that
-follows. Null, empty and termless texts have no terms and null scores. Texts are
+follows. An output's probability is divided among its ``BUCKETS`` hashes by their
+counts (one added to each), so a rare term scores below a frequent one of its
+output; terms of one hash still score alike. Null, empty and termless texts have no terms and null scores. Texts are
 read whole. Rows that repeat a ``doc_id`` are scored each; rows without
 ``doc_id`` train the model but have no result.
 """
@@ -47,8 +49,8 @@ _LIMIT = 30.0  # a sum of weights is held within this, so that no exponential ov
 _ONES = np.ones(WIDTH, np.float32)
 
 
-def vocabulary(docs: DataFrame) -> np.ndarray:
-    """The output of each of ``BUCKETS`` term hashes, from the counts of all terms of all documents."""
+def term_counts(docs: DataFrame) -> np.ndarray:
+    """The counts of all terms of all documents, by ``BUCKETS`` term hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(BUCKETS, np.int64)
@@ -57,7 +59,12 @@ def vocabulary(docs: DataFrame) -> np.ndarray:
                 n += np.bincount((t.hash & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
         yield slices(n, _SLICES)
 
-    return outputs_of(tree_sum(docs.select("text").mapInArrow(run, "slice int, part binary"), "int64", BUCKETS))
+    return tree_sum(docs.select("text").mapInArrow(run, "slice int, part binary"), "int64", BUCKETS)
+
+
+def vocabulary(docs: DataFrame) -> np.ndarray:
+    """The output of each of ``BUCKETS`` term hashes."""
+    return outputs_of(term_counts(docs))
 
 
 def outputs_of(counts: np.ndarray) -> np.ndarray:
@@ -67,6 +74,12 @@ def outputs_of(counts: np.ndarray) -> np.ndarray:
     return out
 
 
+def shares_of(counts: np.ndarray, outputs: np.ndarray) -> np.ndarray:
+    """The natural log of each term hash's share of its output, by the counts."""
+    n = counts + 1.0  # a hash that the corpus lacks has a share too
+    return np.log(n / np.bincount(outputs, n, OUTPUTS)[outputs]).astype(np.float32)
+
+
 def contexts(t: Tokens, outputs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(output, class rows (4, n), word rows (4, n)) of each token; ``OUTPUTS`` stands for what is before a text."""
     y = outputs[(t.hash & np.uint64(BUCKETS - 1)).astype(np.int64)].astype(np.int64)
@@ -157,17 +170,22 @@ def fit(docs: DataFrame, outputs: np.ndarray, rounds: int = ROUNDS, rate: float
     return weights
 
 
-def score(docs: DataFrame, outputs: np.ndarray, weights: np.ndarray) -> DataFrame:
-    """(doc_id, n_terms, log2_probability, perplexity); the log is a mean over the terms."""
-    sent = docs.sparkSession.sparkContext.broadcast((weights, outputs))
+def score(docs: DataFrame, outputs: np.ndarray, weights: np.ndarray, shares: np.ndarray | None = None) -> DataFrame:
+    """(doc_id, n_terms, log2_probability, perplexity); the log is a mean over the terms, or over their outputs if there are no ``shares``."""
+    sent = docs.sparkSession.sparkContext.broadcast((weights, outputs, shares))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, outputs = sent.value
+        weights, outputs, shares = sent.value
         model = Model(weights)
         for b in batches:
             for t in tokenize(b.column(1), TERMS):
                 n = np.diff(t.off)
-                total = np.bincount(t.doc, model.score(*contexts(t, outputs)), t.n_docs) if len(t.hash) else np.zeros(t.n_docs)
+                total = np.zeros(t.n_docs)
+                if len(t.hash):
+                    logs = model.score(*contexts(t, outputs))
+                    if shares is not None:
+                        logs += shares[(t.hash & np.uint64(BUCKETS - 1)).astype(np.int64)]
+                    total = np.bincount(t.doc, logs, t.n_docs)
                 mean = total / np.maximum(n, 1) / np.log(2)
                 none = n == 0
                 yield pa.RecordBatch.from_pydict({"doc_id": b.column(0).slice(t.first, t.n_docs), "n_terms": pa.array(n.astype(np.int32)), "log2_probability": pa.array(mean, mask=none), "perplexity": pa.array(np.exp2(-mean), mask=none)})
@@ -177,8 +195,9 @@ def score(docs: DataFrame, outputs: np.ndarray, weights: np.ndarray) -> DataFram
 
 def perplexities(docs: DataFrame) -> DataFrame:
     """Trains on ``docs`` and scores them."""
-    outputs = vocabulary(docs)
-    return score(docs, outputs, fit(docs, outputs)).withColumns({c: F.round(c, 6) for c in ("log2_probability", "perplexity")})
+    counts = term_counts(docs)
+    outputs = outputs_of(counts)
+    return score(docs, outputs, fit(docs, outputs), shares_of(counts, outputs)).withColumns({c: F.round(c, 6) for c in ("log2_probability", "perplexity")})
 
 
 def query(spark, sf_dir: str) -> DataFrame:

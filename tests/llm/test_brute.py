@@ -353,6 +353,26 @@ def test_language_model(spark, sf):
     assert score(as_is) > score(shuffled)
 
 
+def test_terms_share_their_output_by_count(spark, sf):
+    docs = table(spark, sf, "documents")
+    counts = maxent.term_counts(docs)
+    outputs = maxent.outputs_of(counts)
+    shares = maxent.shares_of(counts, outputs)
+    assert np.bincount(outputs, np.exp(shares.astype(np.float64)), maxent.OUTPUTS) == pytest.approx(1, abs=1e-4)
+    words = [f"q{k}" for k in range(3000)]
+    hashes = (next(tokenize(pa.array([" ".join(words)]), TERMS)).hash & np.uint64(maxent.BUCKETS - 1)).astype(np.int64)
+    by = {}
+    for w, h in zip(words, hashes.tolist(), strict=True):
+        if outputs[h] >= maxent.OWN:
+            by.setdefault(int(outputs[h]), {})[int(counts[h])] = w
+    seen = max(by.values(), key=max)
+    assert max(seen) > min(seen)
+    # one of the corpus, one that is rarer, of the same output and without context
+    extra = spark.createDataFrame([(-1, seen[max(seen)]), (-2, seen[min(seen)])], "doc_id bigint, text string")
+    found = {r["doc_id"]: r["log2_probability"] for r in maxent.perplexities(docs.select("doc_id", "text").unionByName(extra)).where("doc_id < 0").collect()}
+    assert found[-1] > found[-2] + 0.3
+
+
 def test_pipeline_against_its_stages(spark, sf):
     """run() keeps, of each stage's input, what the operators' own results say."""
     docs = table(spark, sf, "documents")
