@@ -159,7 +159,8 @@ def train(y: np.ndarray, f: np.ndarray, v: np.ndarray, size: np.ndarray, epochs:
 
 def sample(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
     """(doc_id, toxic, text) of the labelled documents to train on: at most ``max_rows``, the same at every run."""
-    known = labels.select(F.col("doc_id").cast("bigint"), F.col("toxic").cast("int")).where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+    there = docs.select(F.col("doc_id").cast("bigint").alias("doc_id")).where("doc_id is not null")  # a label without its document takes no place in the sample
+    known = labels.select(F.col("doc_id").cast("bigint"), F.col("toxic").cast("int")).where("doc_id is not null and toxic in (0, 1)").join(there, "doc_id", "left_semi").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     # the sample is bounded by max_rows whatever the tables hold: 12 bytes a row
     return texts.join(F.broadcast(known) if max_rows <= 200_000 else known, "doc_id")

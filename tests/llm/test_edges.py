@@ -126,6 +126,11 @@ def test_toxicity(spark, docs, clashing, empty, labels):
     assert toxicity.toxic_documents(empty, labels).count() == 0
 
 
+def test_toxicity_sample_is_of_labels_with_documents(spark, docs):
+    labels = spark.createDataFrame([*((k, 0, k % 2) for k in range(1000, 1200)), (11, 0, 1), (12, 0, 1), (1, 1, 0), (8, 1, 0)], "doc_id bigint, quality int, toxic int")
+    assert sorted((r["doc_id"], r["toxic"]) for r in toxicity.sample(docs, labels, max_rows=4).collect()) == [(1, 0), (8, 0), (11, 1), (12, 1)]
+
+
 def test_decontamination(docs, clashing, empty, benchmark):
     found = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, benchmark).collect()}
     assert found == {(8, 1)}
