@@ -8,19 +8,24 @@ duplicate windows are the duplicate spans; the first occurrence is never one.
 
 How it is found, for all windows of all documents:
 
-1. every document is reduced to anchors: the ``seed``-word hashes that are the
-   least of some window's hashes. Equal windows have the same least hash, so a
-   window can only repeat if its anchor does, and one anchor stands for about
-   ten words: of most texts, only anchors cross the network;
-2. windows whose anchor repeats become edges, sent to their first node.
-   A node with one way in and one way out lies within a nonbranching path and is
-   compacted away; the ends of texts count as branches. What remains are the
-   heads of paths, a small table, with the place where the path ends;
-3. heads join on their edge: the first source coordinate keeps its text, the
-   others are duplicates of it. The coordinates verify the match by a second,
-   independent hash of the head's window, 128 bits with the edge's;
+1. a window's anchor is the least of the hashes of its ``seed``-word pieces.
+   Consecutive windows of one anchor are a segment: a piece of a path of the
+   graph, compacted where it is read, of some twelve windows. Equal windows have
+   equal anchors, so only segments whose anchor occurs again (a count by anchor,
+   combined before it is sent) can hold repeats; most go no further;
+2. segments meet on their anchor by joins. If all segments of an anchor hold the
+   same words, they are one nonbranching path: every copy repeats the first
+   source coordinate as a whole;
+3. where segments of one anchor differ, the path branches. Each distinct segment
+   is taken once, at its first coordinate, and split into its windows; windows
+   join on their words, and runs of windows that have their source in one piece
+   are compacted again. The copies of a segment join on it;
 4. paths of one document that touch or overlap become one span.
 
+What repeats is verified by the words at the two coordinates: segments and
+windows are equal if the MD5 of their words (128 bits) is. Anchors, which are
+weaker hashes, only say where to look.
+
 Null and empty texts and texts of fewer than ``length`` words have no spans.
 Rows without ``doc_id`` take no part and stay. Rows that repeat a ``doc_id``
 with the same text are one document. Different texts under one ``doc_id`` are
@@ -33,6 +38,7 @@ keeps its first word and is otherwise a repeat of itself.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,11 +46,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sieveloom.llm.common import documents, stash, table
-from sieveloom.llm.textarrays import Tokens, rolling, sliding_max, sliding_min, string_buffers, tokenize
+from sieveloom.llm.common import documents, drop_stash, stash, table
+from sieveloom.llm.textarrays import Tokens, rolling, sliding_max, sliding_min, tokenize
 
 LENGTH = 50
 SEED = 25
+_LOOPS = 1 << 32  # what a segment that may hold a window twice adds to its anchor's count
+_CHUNK = 1 << 17
 
 
 def anchors(h: np.ndarray, length: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -61,10 +69,43 @@ def anchors(h: np.ndarray, length: int, seed: int) -> tuple[np.ndarray, np.ndarr
     return at, r[at]
 
 
+def segments(h: np.ndarray, length: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor, first window, number of windows, loops) of one document; a segment that may hold a window twice loops."""
+    if len(h) < length:
+        none = np.zeros(0, np.int64)
+        return none.astype(np.uint64), none, none, none.astype(bool)
+    w = length - seed + 1
+    least = sliding_min(rolling(h, seed), w)
+    lo = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
+    anchor = least[lo]
+    at, value = anchors(h, length, seed)
+    order = np.argsort(value, kind="stable")
+    again = (value[order][1:] == value[order][:-1]) & (np.diff(at[order]) <= w)
+    loops = np.isin(anchor, value[order][1:][again]) if again.any() else np.zeros(len(lo), bool)
+    return anchor, lo, np.diff(np.append(lo, len(least))), loops
+
+
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
+class _Words:
+    """A group's words with one space between them, to be hashed from one place to another."""
+
+    def __init__(self, t: Tokens):
+        inside = t.data != 0
+        keep = inside.copy()
+        keep[t.end[t.end < len(inside)]] = True  # one byte after each word
+        place = np.cumsum(keep) - 1
+        self.start, self.end = place[t.start], place[t.end - 1] + 1
+        self.body = memoryview(np.where(inside, t.data, 32)[keep].astype(np.uint8).tobytes())
+
+    def md5(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Two int64 for the words ``first`` to ``last`` (inclusive)."""
+        body, md5 = self.body, hashlib.md5
+        return np.frombuffer(b"".join([md5(body[a:b]).digest() for a, b in zip(self.start[first].tolist(), self.end[last].tolist(), strict=True)]), np.int64).reshape(-1, 2)
+
+
 def several_texts(docs: DataFrame) -> DataFrame:
     """(doc_id, texts) of the ids that stand for several texts: their hashes, in order. Stashed, so that Spark knows its size."""
     return stash(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("h")).where("doc_id is not null").groupBy("doc_id").agg(F.sort_array(F.collect_set("h")).alias("texts")).where("size(texts) > 1"))
@@ -77,90 +118,94 @@ def with_version(docs: DataFrame, several: DataFrame, name: str) -> DataFrame:
     return joined.withColumn(name, F.coalesce(F.array_position("__texts", F.xxhash64("text")), F.lit(0)).cast("int")).drop("__several_id", "__texts")
 
 
-def anchor_rows(docs: DataFrame, length: int, seed: int) -> DataFrame:
-    """From (doc_id, text, version)."""
+def segment_rows(docs: DataFrame, length: int, seed: int, words: bool) -> DataFrame:
+    """(h, uses) of every segment of (doc_id, text, version), and with ``words`` also the MD5 (g1, g2), lo, n, doc_id and version.
+
+    ``uses`` is 1, or ``_LOOPS`` if the segment loops.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, versions = b.column(0).to_numpy(zero_copy_only=False), b.column(2).to_numpy(zero_copy_only=False)
             for t in tokenize(b.column(1)):
-                found = [(t.first + d, *anchors(t.hash[t.off[d] : t.off[d + 1]], length, seed)) for d in np.flatnonzero(np.diff(t.off) >= length)]
-                if found:
-                    rows, size = [x[0] for x in found], [len(x[1]) for x in found]
-                    yield pa.RecordBatch.from_pydict({"h": _signed(np.concatenate([x[2] for x in found])), "doc_id": pa.array(np.repeat(ids[rows], size)), "version": pa.array(np.repeat(versions[rows], size)), "pos": pa.array(np.concatenate([x[1] for x in found]).astype(np.int32))})
+                some = np.flatnonzero(np.diff(t.off) >= length)
+                if not len(some):
+                    continue
+                found = [segments(t.hash[t.off[d] : t.off[d + 1]], length, seed) for d in some]
+                size = [len(x[0]) for x in found]
+                h, lo, n, loops = (np.concatenate(x) for x in zip(*found, strict=True))
+                columns = {"h": _signed(h), "uses": pa.array(np.where(loops, _LOOPS, 1))}
+                if words:
+                    first = lo + np.repeat(t.off[some], size)
+                    g = _Words(t).md5(first, first + n + length - 2)
+                    rows = np.repeat(t.first + some, size)
+                    columns |= {"g1": pa.array(g[:, 0]), "g2": pa.array(g[:, 1]), "lo": pa.array(lo.astype(np.int32)), "n": pa.array(n.astype(np.int32)), "doc_id": pa.array(ids[rows]), "version": pa.array(versions[rows])}
+                yield pa.RecordBatch.from_pydict(columns)
 
-    return docs.mapInArrow(run, "h bigint, doc_id bigint, version int, pos int")
+    return docs.mapInArrow(run, "h bigint, uses bigint" + (", g1 bigint, g2 bigint, lo int, n int, doc_id bigint, version int" if words else ""))
 
 
-def _edges_of(h: np.ndarray, repeated: np.ndarray, length: int, seed: int) -> dict[str, np.ndarray] | None:
-    """Edges (and an end mark after each run) of the windows whose least hash stands at a position in ``repeated``."""
-    n, w = len(h) - length + 1, length - seed + 1
-    if n <= 0:
-        return None
-    r = rolling(h, seed)
-    known = np.full(len(r), np.iinfo(np.uint64).max, np.uint64)
-    known[repeated] = r[repeated]
-    ok = sliding_min(known, w) == sliding_min(r, w)
-    if not ok.any():
-        return None
-    edge = np.diff(np.concatenate([[0], ok.view(np.int8), [0]]))
-    opens, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    size = ends - opens + 1  # the windows, and one mark
-    pos = np.repeat(opens - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-    last = np.cumsum(size) - 1
-    node = rolling(h, length - 1, 1)[pos]
-    low = np.maximum(h & np.uint64(0xFFFFFFFF), np.uint64(1)).astype(np.uint32).view(np.int32)
-    succ = low[np.minimum(pos + length - 1, len(h) - 1)].copy()
-    succ[last] = 0  # a run's end
-    pred = low[np.maximum(pos - 1, 0)].copy()
-    pred[last - size + 1] = 0  # a run's start
-    check = (rolling(h, length, 2) >> np.uint64(32)).astype(np.uint32).view(np.int32)
-    proof = np.zeros(len(pos), np.int32)
-    inner = succ != 0
-    proof[inner] = check[pos[inner]]
-    return {"node": node, "pred": pred, "succ": succ, "proof": proof, "pos": pos, "stop": np.repeat(ends, size)}
-
-
-def edge_rows(docs: DataFrame, length: int, seed: int) -> DataFrame:
-    """From (doc_id, text, at array of int positions of repeated anchors, version)."""
+def window_rows(docs: DataFrame, length: int) -> DataFrame:
+    """From (doc_id, text, version, segs array of (lo, n, copies)): the windows, with the MD5 of their words (k1, k2), ``off`` within the segment from ``lo`` on, and ``copies``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, versions = b.column(0).to_numpy(zero_copy_only=False), b.column(3).to_numpy(zero_copy_only=False)
+            ids, versions, segs = b.column(0).to_numpy(zero_copy_only=False), b.column(2).to_numpy(zero_copy_only=False), b.column(3)
             for t in tokenize(b.column(1)):
-                rows, parts = [], []
-                for d in range(t.n_docs):
-                    r = _edges_of(t.hash[t.off[d] : t.off[d + 1]], np.asarray(b.column(2)[t.first + d].as_py(), np.int64), length, seed)
-                    if r:
-                        rows.append(t.first + d)
-                        parts.append(r)
-                if not rows:
-                    continue
-                g, size = {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}, [len(p["pos"]) for p in parts]
-                yield pa.RecordBatch.from_pydict({"node": _signed(g["node"]), "pred": pa.array(g["pred"]), "succ": pa.array(g["succ"]), "proof": pa.array(g["proof"]), "doc_id": pa.array(np.repeat(ids[rows], size)), "version": pa.array(np.repeat(versions[rows], size)), "pos": pa.array(g["pos"].astype(np.int32)), "stop": pa.array(g["stop"].astype(np.int32))})
+                mine = segs.slice(t.first, t.n_docs)
+                flat, size = mine.flatten(), mine.value_lengths().to_numpy(zero_copy_only=False)
+                doc = np.repeat(np.arange(t.n_docs), size)
+                lo, n, copies = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("lo", "n", "copies"))
+                words, stop = _Words(t), np.cumsum(n)
+                # so many windows at a time, as a long text of few words may have millions in one segment
+                for begin in range(0, int(stop[-1]) if len(stop) else 0, _CHUNK):
+                    at = np.arange(begin, min(begin + _CHUNK, int(stop[-1])))
+                    seg = np.searchsorted(stop, at, "right")
+                    off = at - (stop - n)[seg]
+                    first = lo[seg] + off + t.off[doc[seg]]
+                    k, row = words.md5(first, first + length - 1), t.first + doc[seg]
+                    yield pa.RecordBatch.from_pydict({"k1": pa.array(k[:, 0]), "k2": pa.array(k[:, 1]), "doc_id": pa.array(ids[row]), "version": pa.array(versions[row]), "lo": pa.array(lo[seg].astype(np.int32)), "off": pa.array(off.astype(np.int32)), "copies": pa.array(copies[seg])})
+
+    return docs.mapInArrow(run, "k1 bigint, k2 bigint, doc_id bigint, version int, lo int, off int, copies bigint")
+
+
+_SEGMENT = ["h", "g1", "g2"]
+
 
-    return docs.mapInArrow(run, "node bigint, pred int, succ int, proof int, doc_id bigint, version int, pos int, stop int")
+def _compacted(source: DataFrame, of: list[str]) -> DataFrame:
+    """(of, parts): runs of windows whose sources (d, p) follow one another, as (off, n, d, p)."""
+    runs = source.groupBy(*of, "d", (F.col("p") - F.col("off")).alias("shift")).agg(F.sort_array(F.collect_list("off")).alias("offs"))
+    # the places of a run without one before them, and those without one after them
+    edge = lambda other, d: F.expr(f"transform(filter(zip_with(offs, {other}, (x, y) -> named_struct('x', x, 'y', y)), z -> z.y <> z.x {d} 1), z -> z.x)")
+    opens, closes = edge("concat(array(-2), slice(offs, 1, size(offs) - 1))", "-"), edge("concat(slice(offs, 2, size(offs) - 1), array(-2))", "+")
+    part = F.expr("zip_with(o, c, (x, y) -> named_struct('off', x, 'n', y - x + 1, 'd', d, 'p', x + shift))")
+    return runs.withColumn("o", opens).withColumn("c", closes).select(*of, F.explode(part).alias("part")).groupBy(*of).agg(F.collect_list("part").alias("parts"))
 
 
 def paths(docs: DataFrame, several: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
-    """(doc_id, version, start, n, first_doc_id, first_start): ``n`` windows from ``start`` on that repeat those at the first coordinate."""
+    """(doc_id, version, start, n, first_doc_id, first_start): ``n`` windows from ``start`` on that repeat those at the first coordinate. Stashed."""
     docs = with_version(documents(docs.select(F.col("doc_id").cast("bigint"), "text"), "text"), several, "version")
-    seeds = anchor_rows(docs, length, seed)
-    repeated = seeds.withColumn("n", F.count("*").over(Window.partitionBy("h"))).where("n > 1").groupBy("doc_id", "version").agg(F.collect_set("pos").alias("at"))
-    read = docs.join(repeated.hint("shuffle_hash"), ["doc_id", "version"]).select("doc_id", "text", "at", "version")
-    by_node = Window.partitionBy("node")
-    edges = edge_rows(read, length, seed).withColumns({k: f(c).over(by_node) for k, f, c in (("p0", F.min, "pred"), ("p1", F.max, "pred"), ("s0", F.min, "succ"), ("s1", F.max, "succ"))})
-    # a branch: several ways in or out, or a run that starts (pred 0) or ends (succ 0) here
-    heads = edges.where("succ <> 0 and (p0 <> p1 or s0 <> s1 or p0 = 0 or s0 = 0)").select("node", "succ", "proof", "doc_id", "version", "pos", "stop")
-    heads = stash(heads.distinct())
-    first = heads.groupBy("node", "succ").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "pos", "proof")).alias("first"))
-    in_run = Window.partitionBy("doc_id", "version", "stop").orderBy("pos")
-    return (
-        heads.withColumn("next", F.coalesce(F.lead("pos").over(in_run), "stop"))
-        .join(first.where("copies > 1"), ["node", "succ"])
-        .where("proof = first.proof and (doc_id <> first.doc_id or pos <> first.pos)")
-        .select("doc_id", "version", F.col("pos").alias("start"), (F.col("next") - F.col("pos")).alias("n"), F.col("first.doc_id").alias("first_doc_id"), F.col("first.pos").alias("first_start"))
+    repeated = segment_rows(docs, length, seed, False).groupBy("h").agg(F.sum("uses").alias("u")).where("u > 1").select("h")
+    found = stash(segment_rows(docs, length, seed, True).join(repeated, "h"))
+    kinds = found.groupBy("h").agg((F.max("uses") > 1).alias("loops"), *(f(c).alias(f"{c}_{k}") for c in ("g1", "g2") for k, f in (("lo", F.min), ("hi", F.max))))
+    distinct = found.groupBy(*_SEGMENT).agg(F.min(F.struct("doc_id", "lo", "version", "n")).alias("at"), F.count("*").alias("copies")).join(kinds, "h")
+    distinct = stash(distinct.select(*_SEGMENT, "at.*", "copies", (F.col("loops") | (F.col("g1_lo") != F.col("g1_hi")) | (F.col("g2_lo") != F.col("g2_hi"))).alias("branches")))
+    whole = distinct.where("not branches and copies > 1").select(*_SEGMENT, F.expr("array(named_struct('off', 0, 'n', n, 'd', doc_id, 'p', lo))").alias("parts"))
+    branching = distinct.where("branches")
+    split = branching.groupBy("doc_id", "version").agg(F.collect_list(F.struct("lo", "n", "copies")).alias("segs"))
+    windows = stash(window_rows(docs.join(split.hint("shuffle_hash"), ["doc_id", "version"]).select("doc_id", "text", "version", "segs"), length))
+    first = windows.groupBy("k1", "k2").agg(F.sum("copies").alias("c"), F.min(F.struct("doc_id", (F.col("lo") + F.col("off")).alias("pos"))).alias("first")).where("c > 1")
+    source = windows.join(first, ["k1", "k2"]).select("doc_id", "version", "lo", "off", F.col("first.doc_id").alias("d"), F.col("first.pos").alias("p"))
+    at = ["doc_id", "version", "lo"]
+    parts = _compacted(source, at).join(branching, at).select(*_SEGMENT, "parts")
+    out = stash(
+        found.join(whole.unionByName(parts), _SEGMENT)
+        .select("doc_id", "version", "lo", F.explode("parts").alias("x"))
+        .where("x.d <> doc_id or x.p <> lo + x.off")
+        .select("doc_id", "version", (F.col("lo") + F.col("x.off")).alias("start"), F.col("x.n").alias("n"), F.col("x.d").alias("first_doc_id"), F.col("x.p").alias("first_start"))
     )
+    drop_stash(found, distinct, windows)
+    return out
 
 
 def _spans(p: DataFrame, length: int, *by: str) -> DataFrame:
