@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sieveloom.llm.common import drop_stash, stash
@@ -11,7 +11,7 @@ from sieveloom.llm.common import drop_stash, stash
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) for every node on an edge; root is the smallest node of its component.
 
-    Each step is one shuffle on the node, and a step's result is written to the
+    A step joins the edges with the least neighbour of each node, and its result is written to the
     shared folder. The number of steps grows with the logarithm of the diameter.
     Null ends, loops and repeated edges don't count.
     """
@@ -22,12 +22,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         .distinct()
     )
     e, before = stash(e), None
+    least = lambda e: e.groupBy("u").agg(F.min("v").alias("m"))  # noqa: E731  # combined before it is sent, so that a hub is no hot key
     while True:
-        w = Window.partitionBy("u")
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.select("u", "v", F.least("u", F.min("v").over(w)).alias("m")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        small = large.select("u", "v", F.min("v").over(w).alias("m"))
-        small = small.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("p")).select("p.u", "p.v").where("u <> v").distinct()
+        large = both.where("v > u").join(least(both), "u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+        small = large.join(least(large), "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("p")).select("p.u", "p.v").where("u <> v").distinct()
         new = stash(small)
         state = new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         drop_stash(e)

@@ -4,13 +4,18 @@ A document's code has 128 bits: each distinct term votes with the 128 bits of
 its MD5, and a bit is set if more than half of the terms set it. Two documents
 are near duplicates if their codes differ in at most ``radius`` bits; groups are
 the connected components of that relation. All pairs of distinct codes are
-compared, except pairs of tiles whose population counts differ beyond the
-radius, so the search is exact.
-
-Null and empty texts, and texts without terms, have no code and are in no group.
-Of a group, the document with the smallest id stays. Rows that repeat a
-``doc_id`` with the same code are one document; ``deduplicate`` keeps one of
-them. Rows without ``doc_id`` take no part and stay.
+compared, except pairs of tiles (and of blocks in them) whose population counts
+differ beyond the radius, so the search is exact. A pair of tiles sends no pairs
+of codes: each code's number of links, and one edge to the least code it is
+linked with, directly or through others of the two tiles. So the groups and all
+counts are whole, and m copies of a text cost m rows, not m squared.
+
+A document is a ``doc_id`` with a text: repeated rows are one document, and
+different texts under one ``doc_id`` are documents of their own, in the result
+and in ``deduplicate``. Null and empty texts, and texts without terms, have no
+code and are in no group. Of a group, the document with the smallest id stays
+(of one id with several texts in the group, the one whose code, then hash, is
+least). Rows without ``doc_id`` take no part and stay.
 """
 
 from __future__ import annotations
@@ -24,13 +29,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sieveloom.llm import tiles
-from sieveloom.llm.common import documents, stash, table, without
+from sieveloom.llm.common import drop_stash, stash, table
 from sieveloom.llm.components import components
 from sieveloom.llm.textarrays import TERMS, tokenize
 
 RADIUS = 24
 TILE = 32768
 _BLOCK_A, _BLOCK_B = 32, 2048
+_HELD = 1 << 21  # so many links of two tiles are held at once
 
 
 def codes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -62,22 +68,40 @@ def codes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, code) of each document that has terms; ``code`` is 16 bytes."""
+    """(doc_id, h, code) of each row that has terms; ``h`` is the hash of the text, ``code`` is 16 bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            code, has = codes_of(b.column(1))
-            at = np.flatnonzero(has)
-            yield pa.RecordBatch.from_pydict({"doc_id": b.column(0).take(pa.array(at)), "code": pa.array([code[i].tobytes() for i in at], pa.binary())})
+            code, has = codes_of(b.column(2))
+            at = pa.array(np.flatnonzero(has))
+            codes = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(code), [None, pa.py_buffer(np.ascontiguousarray(code).tobytes())]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), codes.take(at)], ["doc_id", "h", "code"])
+
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("h"), "text").where("doc_id is not null")
+    return rows.mapInArrow(run, "doc_id bigint, h bigint, code binary")
+
 
-    return documents(docs.select(F.col("doc_id").cast("bigint"), "text"), "text").mapInArrow(run, "doc_id bigint, code binary")
+def spanning(x: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
+    """The least node that each of ``n`` nodes is linked with by the edges (x, y), directly or through others."""
+    least = np.arange(n)
+    while True:
+        m = np.minimum(least[x], least[y])
+        new = least.copy()
+        np.minimum.at(new, least[x], m)
+        np.minimum.at(new, least[y], m)
+        new = new[new]
+        if (new == least).all():
+            return least
+        least = new
 
 
 def _near(radius: int):
     def kernel(ia, ka, ca, ib, kb, cb, same):
         a, b = np.ascontiguousarray(ca).view(np.uint64), np.ascontiguousarray(cb).view(np.uint64)
-        b0, b1 = np.ascontiguousarray(b[:, 0]), np.ascontiguousarray(b[:, 1])
-        left, right, dist = [], [], []
+        a0, a1, b0, b1 = (np.ascontiguousarray(x) for x in (a[:, 0], a[:, 1], b[:, 0], b[:, 1]))
+        shift = 0 if same else len(a)
+        n = shift + len(b)
+        links, left, right, held = np.zeros(n, np.int64), [], [], 0
         for j in range(0, len(b), _BLOCK_B):
             jj = slice(j, j + _BLOCK_B)
             klo, khi = int(kb[jj].min()), int(kb[jj].max())
@@ -85,51 +109,88 @@ def _near(radius: int):
                 ii = slice(i, i + _BLOCK_A)
                 if int(ka[ii].min()) - khi > radius or klo - int(ka[ii].max()) > radius:
                     continue
-                d = np.bitwise_count(a[ii, 0, None] ^ b0[None, jj])
-                d += np.bitwise_count(a[ii, 1, None] ^ b1[None, jj])
-                hit = np.flatnonzero(d <= radius)
-                if len(hit):
-                    x, y = np.divmod(hit, d.shape[1])
-                    keep = slice(None) if not same else (x + i < y + j)
-                    x, y = x[keep], y[keep]
-                    left.append(ia[x + i])
-                    right.append(ib[y + j])
-                    dist.append(d[x, y].astype(np.int32))
+                d = np.bitwise_count(a0[ii, None] ^ b0[None, jj])
+                hit = np.flatnonzero(d <= radius)  # few codes are that near in half of the bits
+                x, y = np.divmod(hit, d.shape[1])
+                ok = d.reshape(-1)[hit] + np.bitwise_count(a1[x + i] ^ b1[y + j]) <= radius
+                x, y = x[ok] + i, y[ok] + j
+                if same:
+                    ok = x < y
+                    x, y = x[ok], y[ok]
+                if len(x):
+                    y = y + shift
+                    links += np.bincount(x, minlength=n) + np.bincount(y, minlength=n)
+                    left.append(x)
+                    right.append(y)
+                    held += len(x)
+                    if held > _HELD:  # what has been found so far is held as one edge a node
+                        least = spanning(np.concatenate(left), np.concatenate(right), n)
+                        x = np.flatnonzero(least != np.arange(n))
+                        left, right, held = [x], [least[x]], 0
         none = np.zeros(0, np.int64)
-        return {"a": np.concatenate([*left, none]), "b": np.concatenate([*right, none]), "distance": np.concatenate([*dist, none.astype(np.int32)]).astype(np.int32)}
+        least = spanning(np.concatenate([none, *left]), np.concatenate([none, *right]), n)
+        both = ca if same else np.vstack([ca, cb])
+        some = np.flatnonzero(links)
+        code = lambda at: pa.array([r.tobytes() for r in both[at]], pa.binary())
+        return {"code": code(some), "least": code(least[some]), "links": pa.array(links[some])}
 
     return kernel
 
 
 def groups(prints: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
-    """(doc_id, group_id) of the documents in groups of two or more; ``prints`` is a stashed result of ``fingerprints``.
+    """(code, n_links, group_id, kept_h, kept_code) of the codes in groups of two documents or more; ``prints`` is a stashed result of ``fingerprints``.
 
-    ``group_id`` is the smallest ``doc_id`` of the group.
+    ``n_links`` is the number of other codes within the radius, ``group_id`` the
+    smallest ``doc_id`` of the group; the last two tell which text of it is kept.
     """
-    distinct = stash(prints.groupBy("code").agg(F.min("doc_id").alias("id"), F.countDistinct("doc_id").alias("n")))
+    document = F.struct("doc_id", "code", "h")
+    distinct = stash(prints.groupBy("code").agg(F.min(document).alias("low"), F.max(document).alias("high")))
     key = F.expr("bit_count(cast(conv(hex(substring(code, 1, 4)), 16, 10) as bigint)) + bit_count(cast(conv(hex(substring(code, 5, 4)), 16, 10) as bigint)) + bit_count(cast(conv(hex(substring(code, 9, 4)), 16, 10) as bigint)) + bit_count(cast(conv(hex(substring(code, 13, 4)), 16, 10) as bigint))")
-    packed = stash(tiles.pack(distinct.select("id", key.cast("int").alias("key"), "code"), distinct.count(), tile))
-    near = tiles.compare(packed, packed.count(), radius, _near(radius), "a bigint, b bigint, distance int")
-    roots = components(near)
-    members = distinct.join(roots, distinct["id"] == roots["node"], "left").where("n > 1 or root is not null").select("code", F.coalesce("root", "id").alias("group_id"))
-    return prints.join(members, "code").select("doc_id", "group_id").distinct()
+    packed = stash(tiles.pack(distinct.select(F.lit(0).cast("bigint").alias("id"), key.cast("int").alias("key"), "code"), distinct.count(), tile))
+    near = stash(tiles.compare(packed, packed.count(), radius, _near(radius), "code binary, least binary, links bigint"))
+    roots = components(near, "code", "least").withColumnRenamed("node", "code")
+    links = near.groupBy("code").agg(F.sum("links").alias("n_links"))
+    # a code without links is a group if it stands for several documents
+    members = distinct.join(links.join(roots, "code"), "code", "left").where("root is not null or low <> high").withColumn("root", F.coalesce("root", "code"))
+    firsts = members.groupBy("root").agg(F.min("low").alias("first"))
+    found = stash(members.join(firsts, "root").select("code", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.col("first.doc_id").alias("group_id"), F.col("first.h").alias("kept_h"), F.col("first.code").alias("kept_code")))
+    drop_stash(distinct, packed, near, roots)
+    return found
+
+
+_KEPT = "doc_id = group_id and h = kept_h and code = kept_code"
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
-    """(doc_id, group_id, is_kept): every document that has a near duplicate, with the group's smallest id."""
-    return groups(stash(fingerprints(docs)), radius, tile).withColumn("is_kept", F.col("doc_id") == F.col("group_id"))
+    """(doc_id, group_id, n_links, is_kept): every document that has a near duplicate, with the group's smallest id and the number of other codes that it is linked with.
+
+    Documents of one code are copies of each other; they share their links.
+    """
+    prints = stash(fingerprints(docs))
+    return prints.join(groups(prints, radius, tile), "code").groupBy("doc_id", "h", "group_id").agg(F.first("n_links").cast("int").alias("n_links"), F.first(F.expr(_KEPT)).alias("is_kept")).drop("h")
 
 
 def deduplicate(docs: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
-    """``docs`` with one document of each group; columns as they were."""
+    """``docs`` with one document of each group, each document once; columns as they were."""
     prints = stash(fingerprints(docs))
-    kept = without(docs, groups(prints, radius, tile).where("doc_id <> group_id"))
-    repeated = prints.groupBy("doc_id", "code").agg(F.count("*").alias("n")).where("n > 1").select("doc_id").distinct()
+    dropped = stash(prints.join(groups(prints, radius, tile), "code").where(f"not ({_KEPT})").select("doc_id", "h").distinct())
+    repeated = stash(prints.groupBy("doc_id", "h").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "h"))
+    drop_stash(prints)
     if repeated.isEmpty():
-        return kept
-    repeated = stash(repeated)
-    twice = kept.join(repeated.hint("shuffle_hash"), "doc_id", "left_semi").select(*docs.columns)
-    return without(kept, repeated).unionByName(twice.dropDuplicates(["doc_id", "text"]))
+        return _less(docs, dropped)
+    # both stashed tables name documents, not texts: only the rows of repeated ones are grouped by their text
+    kept = _less(docs, dropped.unionByName(repeated))
+    twice = _rows(docs, repeated.join(dropped, ["doc_id", "h"], "left_anti"), "left_semi")
+    return kept.unionByName(twice.dropDuplicates(["doc_id", "text"]))
+
+
+def _rows(docs: DataFrame, named: DataFrame, how: str) -> DataFrame:
+    named = named.select(F.col("doc_id").alias("__named_id"), F.col("h").alias("__named_h"))
+    return docs.join(named.hint("shuffle_hash"), (F.col("doc_id").cast("bigint") == F.col("__named_id")) & (F.xxhash64("text") == F.col("__named_h")), how)
+
+
+def _less(docs: DataFrame, named: DataFrame) -> DataFrame:
+    return _rows(docs, named, "left_anti")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -140,20 +201,30 @@ def _oracle() -> str:
     votes = ", ".join(f"sum((h{k} >> {i}) & 1) as v{k}_{i}" for k in (1, 2) for i in range(64))
     word = lambda k: " + ".join(f"(case when 2 * v{k}_{i} > n then {1 << i}::hugeint else 0 end)" for i in range(64))
     return f"""
-with recursive t as (
-  select doc_id, unnest(list_distinct(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+'))) as term from documents where doc_id is not null
+with recursive d as (
+  select doc_id, text, row_number() over () as r from (select distinct doc_id, text from documents where doc_id is not null)
+), t as (
+  select r, unnest(list_distinct(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+'))) as term from d
 ), h as (
-  select doc_id, ('0x' || substr(md5(term), 1, 16))::ubigint::hugeint as h1, ('0x' || substr(md5(term), 17, 16))::ubigint::hugeint as h2 from t
+  select r, ('0x' || substr(md5(term), 1, 16))::ubigint::hugeint as h1, ('0x' || substr(md5(term), 17, 16))::ubigint::hugeint as h2 from t
 ), v as (
-  select doc_id, count(*) as n, {votes} from h group by doc_id
+  select r, count(*) as n, {votes} from h group by r
 ), code as (
-  select doc_id, ({word(1)})::hugeint as c1, ({word(2)})::hugeint as c2 from v
+  select r, doc_id, ({word(1)})::hugeint as c1, ({word(2)})::hugeint as c2 from v join d using (r)
+), kind as (
+  select c1, c2, row_number() over () as k, count(*) as copies from code group by c1, c2
 ), pairs as (
-  select a.doc_id as x, b.doc_id as y from code a join code b on a.doc_id <> b.doc_id and bit_count(xor(a.c1, b.c1)) + bit_count(xor(a.c2, b.c2)) <= {RADIUS}
+  select a.k as x, b.k as y from kind a join kind b on a.k <> b.k and bit_count(xor(a.c1, b.c1)) + bit_count(xor(a.c2, b.c2)) <= {RADIUS}
 ), reach(node, other) as (
-  select x, y from pairs union select reach.node, pairs.y from reach join pairs on reach.other = pairs.x
+  select k, k from kind union select reach.node, pairs.y from reach join pairs on reach.other = pairs.x
+), root as (
+  select node as k, min(other) as root from reach group by node
+), links as (
+  select x as k, count(*) as n from pairs group by x
+), member as (
+  select doc_id, root, coalesce(links.n, 0)::int as n_links, copies, r, c1, c2 from code join kind using (c1, c2) join root using (k) left join links using (k)
 )
-select node as doc_id, least(node, min(other)) as group_id, node <= min(other) as is_kept from reach group by node
+select doc_id, min(doc_id) over (partition by root) as group_id, n_links, row_number() over (partition by root order by doc_id, c1, c2, r) = 1 as is_kept from member where copies > 1 or n_links > 0
 """
 
 

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 #: The tile list is broadcast while it is below this size; beyond it, Spark joins without a hint.
 BROADCAST_BYTES = 4 << 20
+MOST_PARTITIONS = 8192
 
 
 def pack(codes: DataFrame, n: int, tile: int) -> DataFrame:
@@ -75,4 +76,6 @@ def compare(tiles: DataFrame, n_tiles: int, reach: int, kernel: Callable, schema
         same = len(rows) == 1
         return pa.table(kernel(*sides, *(sides if same else []), same))
 
-    return copies.groupBy("t1", "t2").applyInArrow(run, schema)
+    # a pair of tiles is much work for its bytes: as many partitions as pairs, up to a number that keeps a large cluster busy
+    pairs = min(n_tiles * (n_tiles + 1) // 2, MOST_PARTITIONS)
+    return copies.repartition(max(1, pairs), "t1", "t2").groupBy("t1", "t2").applyInArrow(run, schema)
