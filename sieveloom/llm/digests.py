@@ -9,16 +9,20 @@ the second quartile to the third. The difference of two digests adds up
 - the circular differences (mod 16) of the two ratios, and the difference of the
   lengths' logarithms: d if d <= 1, else 12 (d - 1) for a ratio and 12 d for a length.
 
-Scores beyond ``BOUND`` are not told apart: two documents match if their score is
+Scores beyond ``BOUND`` are not told apart: two digests match if their score is
 at most ``BOUND``. All pairs of distinct digests are compared, except pairs of
-tiles whose lengths alone put them beyond the bound, so ``nearest`` is exact.
-``nearest``, the query, names one partner of each document, and a copy before any
-near one; ``near_pairs`` gives all pairs of distinct digests within the bound.
+tiles whose lengths alone put them beyond the bound, so the search is exact.
+
+Documents of one digest are a class, named by its smallest ``doc_id``.
+``classes``, the query, has a row for each document: its class, the number of
+other classes that match it, and the nearest of these. Pairs of tiles send
+counts and nearest classes, not pairs, so m copies cost m rows.
+``near_pairs`` gives the matching pairs of classes, which may be many.
 
 Null texts, texts of fewer than ``MIN_BYTES`` bytes and texts that fill fewer
-than half of the buckets, or whose third quartile is zero, have no digest and no match.
-Ties of the score go to the smallest id. Rows that repeat a ``doc_id`` with
-different texts have a row each; a row never matches its own ``doc_id``. Rows without ``doc_id`` are left out.
+than half of the buckets, or whose third quartile is zero, have no digest, no class and no match.
+Ties of the score go to the smallest class id. Rows that repeat a ``doc_id`` have
+a row each, with the class of their own text. Rows without ``doc_id`` are left out.
 """
 
 from __future__ import annotations
@@ -27,11 +31,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sieveloom.llm import tiles
-from sieveloom.llm.common import documents, stash, table
+from sieveloom.llm.common import documents, drop_stash, stash, table
 from sieveloom.llm.textarrays import groups, string_buffers
 
 BUCKETS = 128
@@ -120,13 +124,12 @@ def _planes(d: np.ndarray) -> np.ndarray:
 
 
 def _pairs(bound: int):
-    """A search of two tiles for all pairs within ``bound``: (row in the first, row in the second, score)."""
+    """A search of two tiles for all pairs within ``bound``, in portions: (row in the first, row in the second, score)."""
     circle = np.array([[min((x - y) % 16, (y - x) % 16) for x in range(16)] for y in range(16)])
     ratio = np.where(circle <= 1, circle, 12 * (circle - 1)).astype(np.int32)
 
     def search(ka, ca, kb, cb, same):
         pa_, pb = _planes(ca), np.ascontiguousarray(_planes(cb).T)
-        left, right, score = [], [], []
         for j in range(0, len(kb), _BLOCK_B):
             jj = slice(j, j + _BLOCK_B)
             klo, khi = int(kb[jj].min()), int(kb[jj].max())
@@ -154,25 +157,35 @@ def _pairs(bound: int):
                 d = np.abs(ka[x] - kb[y])
                 total += np.where(d <= 1, d, 12 * d) + ratio[ca[x, 1], cb[y, 1]] + ratio[ca[x, 2], cb[y, 2]]
                 ok = total <= bound
-                left.append(x[ok])
-                right.append(y[ok])
-                score.append(total[ok])
-        none = np.zeros(0, np.int64)
-        return np.concatenate([*left, none]), np.concatenate([*right, none]), np.concatenate([*score, none]).astype(np.int32)
+                if ok.any():
+                    yield x[ok], y[ok], total[ok]
 
     return search
 
 
-def _within(bound: int):
+def _binary(codes: np.ndarray) -> pa.Array:
+    return pa.array([x.tobytes() for x in codes], pa.binary())
+
+
+def _linked(bound: int):
     search = _pairs(bound)
 
     def kernel(ia, ka, ca, ib, kb, cb, same):
-        x, y, s = search(ka, ca, kb, cb, same)
-        a, b, s = np.concatenate([ia[x], ib[y]]), np.concatenate([ib[y], ia[x]]), np.concatenate([s, s])
-        order = np.lexsort((b, s, a))  # each document's nearest in this pair of tiles
-        a, b, s = a[order], b[order], s[order]
-        first = np.flatnonzero(np.diff(a, prepend=np.iinfo(np.int64).min))
-        return {"id": a[first], "other": b[first], "score": s[first]}
+        shift = 0 if same else len(ia)
+        ids, codes = (ia, ca) if same else (np.concatenate([ia, ib]), np.vstack([ca, cb]))
+        links, score, other = np.zeros(len(ids), np.int64), np.full(len(ids), bound + 1), np.zeros(len(ids), np.int64)
+        for x, y, s in search(ka, ca, kb, cb, same):
+            y = y + shift
+            a, b, s = np.concatenate([x, y]), ids[np.concatenate([y, x])], np.concatenate([s, s])
+            order = np.lexsort((b, s, a))
+            a, b, s = a[order], b[order], s[order]
+            first = np.flatnonzero(np.diff(a, prepend=-1))
+            links[a[first]] += np.diff(np.append(first, len(a)))
+            a, b, s = a[first], b[first], s[first]
+            better = (s < score[a]) | (s == score[a]) & (b < other[a])
+            score[a[better]], other[a[better]] = s[better], b[better]
+        some = np.flatnonzero(links)
+        return {"digest": _binary(codes[some]), "links": pa.array(links[some]), "score": pa.array(score[some].astype(np.int32)), "other": pa.array(other[some])}
 
     return kernel
 
@@ -181,46 +194,46 @@ def _all_within(bound: int):
     search = _pairs(bound)
 
     def kernel(ia, ka, ca, ib, kb, cb, same):
-        x, y, s = search(ka, ca, kb, cb, same)
+        found = list(search(ka, ca, kb, cb, same))
+        x, y, s = (np.concatenate([*c, np.zeros(0, np.int64)]) for c in (zip(*found, strict=True) if found else ((), (), ())))
         pairs = [sorted((p.tobytes(), q.tobytes())) for p, q in zip(ca[x], cb[y], strict=True)]
-        return {"digest": pa.array([p[0] for p in pairs], pa.binary()), "other": pa.array([p[1] for p in pairs], pa.binary()), "score": pa.array(s, pa.int32())}
+        return {"digest": pa.array([p[0] for p in pairs], pa.binary()), "other": pa.array([p[1] for p in pairs], pa.binary()), "score": pa.array(s.astype(np.int32))}
 
     return kernel
 
 
+def _packed(distinct: DataFrame, tile: int) -> DataFrame:
+    key = F.conv(F.hex(F.substring("digest", 1, 1)), 16, 10).cast("int")
+    return stash(tiles.pack(distinct.select(F.col("class_id").alias("id"), key.alias("key"), F.col("digest").alias("code")), distinct.count(), tile))
+
+
 def near_pairs(prints: DataFrame, bound: int = BOUND, tile: int = TILE) -> DataFrame:
     """(digest, other, score) of every pair of distinct digests within ``bound``, once each, the smaller digest first.
 
     From the result of ``digests``, stashed. Rows of one digest are exact copies
     by it: joined to ``prints`` on either side, a pair stands for each of them.
     """
-    key = F.conv(F.hex(F.substring("digest", 1, 1)), 16, 10).cast("int")
-    distinct = stash(prints.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("id")))
-    packed = stash(tiles.pack(distinct.select("id", key.alias("key"), F.col("digest").alias("code")), distinct.count(), tile))
+    packed = _packed(stash(prints.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("class_id"))), tile)
     return tiles.compare(packed, packed.count(), bound // 12, _all_within(bound), "digest binary, other binary, score int")
 
 
-def nearest(docs: DataFrame, bound: int = BOUND, tile: int = TILE) -> DataFrame:
-    """(doc_id, digest hex, nearest_doc_id, score) of every document; the last two are null where no other document is within ``bound``."""
+def classes(docs: DataFrame, bound: int = BOUND, tile: int = TILE) -> DataFrame:
+    """(doc_id, digest hex, class_id, n_links, nearest_class_id, score) of every document.
+
+    ``n_links`` is the number of other digests within ``bound``; the last two are null where there is none.
+    """
     prints = stash(digests(docs))
-    known = prints.where("digest is not null")
-    # the two smallest ids of each digest: a copy of a document is its nearest
-    distinct = stash(known.groupBy("digest").agg(F.min("doc_id").alias("id"), F.max("doc_id").alias("last")))
-    second = known.join(distinct.where("id <> last"), "digest").where("doc_id <> id").groupBy("digest").agg(F.min("doc_id").alias("second"))
-    key = F.conv(F.hex(F.substring("digest", 1, 1)), 16, 10).cast("int")
-    packed = stash(tiles.pack(distinct.select("id", key.alias("key"), F.col("digest").alias("code")), distinct.count(), tile))
-    near = tiles.compare(packed, packed.count(), bound // 12, _within(bound), "id bigint, other bigint, score int")
-    near = near.groupBy("id").agg(F.min(F.struct("score", "other")).alias("m"))
-    own = distinct.join(second, "digest", "left").join(near, "id", "left").select("digest", "id", "second", "m")
-    return (
-        prints.join(own, "digest", "left")
-        .withColumn("copy", F.when(F.col("second").isNotNull(), F.when(F.col("doc_id") == F.col("id"), F.col("second")).otherwise(F.col("id"))))
-        .select("doc_id", F.lower(F.hex("digest")).alias("digest"), F.coalesce("copy", "m.other").alias("nearest_doc_id"), F.when(F.col("copy").isNotNull(), F.lit(0)).otherwise(F.col("m.score")).alias("score"))
-    )
+    distinct = stash(prints.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("class_id")))
+    packed = _packed(distinct, tile)
+    near = tiles.compare(packed, packed.count(), bound // 12, _linked(bound), "digest binary, links bigint, score int, other bigint")
+    near = near.groupBy("digest").agg(F.sum("links").alias("links"), F.min(F.struct("score", "other")).alias("m"))
+    own = stash(distinct.join(near, "digest", "left"))
+    drop_stash(distinct, packed)
+    return prints.join(own, "digest", "left").select("doc_id", F.lower(F.hex("digest")).alias("digest"), "class_id", F.coalesce("links", F.lit(0)).cast("int").alias("n_links"), F.col("m.other").alias("nearest_class_id"), F.col("m.score").alias("score"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return nearest(table(spark, sf_dir, "documents"))
+    return classes(table(spark, sf_dir, "documents"))
 
 
 def _oracle() -> str:
@@ -250,14 +263,17 @@ with d as (
   from code join (select doc_id, n, length(bin(n)) - 1 as e from d) using (doc_id)
 ), digest as (
   select *, lower(printf('%02x%02x%02x', l, r1, r2) || array_to_string(list_transform(range(0, 32), lambda i: printf('%02x', v[4*i+1] + 4 * v[4*i+2] + 16 * v[4*i+3] + 64 * v[4*i+4])), '')) as digest from header
+), kind as (
+  select digest, min(doc_id) as class_id, any_value(v) as v, any_value(l) as l, any_value(r1) as r1, any_value(r2) as r2 from digest group by digest
 ), pairs as (
-  select a.doc_id, b.doc_id as other, case when abs(a.l - b.l) <= 1 then abs(a.l - b.l) else 12 * abs(a.l - b.l) end + {ratio('r1')} + {ratio('r2')}
+  select a.digest, b.class_id as other, case when abs(a.l - b.l) <= 1 then abs(a.l - b.l) else 12 * abs(a.l - b.l) end + {ratio('r1')} + {ratio('r2')}
     + list_sum(list_transform(list_zip(a.v, b.v), lambda z: case when abs(z[1] - z[2]) = 3 then 6 else abs(z[1] - z[2]) end)) as score
-  from digest a join digest b on a.doc_id <> b.doc_id and abs(a.l - b.l) <= {BOUND // 12}
+  from kind a join kind b on a.digest <> b.digest and abs(a.l - b.l) <= {BOUND // 12}
 ), best as (
-  select doc_id, arg_min(other, score * 1000000000000 + other) as nearest_doc_id, cast(min(score) as int) as score from pairs where score <= {BOUND} group by doc_id
+  select digest, count(*)::int as n_links, arg_min(other, score * 1000000000000 + other) as nearest_class_id, cast(min(score) as int) as score from pairs where score <= {BOUND} group by digest
 )
-select d.doc_id, digest.digest, nearest_doc_id, score from d left join digest using (doc_id) left join best using (doc_id)
+select d.doc_id, digest.digest, kind.class_id, coalesce(n_links, 0) as n_links, nearest_class_id, best.score
+from d left join digest using (doc_id) left join kind on kind.digest = digest.digest left join best on best.digest = digest.digest
 """
 
 
