@@ -11,25 +11,30 @@ capitals made small. A document's passages are its windows of 32 terms, every
    multiplies its rows by a seeded Gaussian matrix and back, the sums meet, and
    the right singular vectors follow from the sketch (the one-pass Nystrom form
    of Halko, Martinsson and Tropp, 2011).
-3. Passages and items are projected on the leading ``RANK`` directions. A
-   passage whose cosine with an item is ``COSINE`` or more is a candidate for
-   it; none is dropped for their number. A candidate that holds less than
-   ``OVERLAP`` of the informative terms that the item would bring is done with.
-4. For each candidate the longest common subsequence of the item and the
-   passage's surroundings is taken, and the share of the item's answer (its last
-   sentence; of an item of one sentence its last third) that the surroundings
+3. Items are cut into passages as documents are. All are projected on the
+   leading ``RANK`` directions. A passage of a document whose cosine with one of
+   an item is ``COSINE`` or more is a candidate for it; none is dropped for their
+   number. A candidate that holds less than ``OVERLAP`` of the informative terms
+   of the item's passage is done with. A term in a share of all passages beyond
+   ``INFORMATIVE`` is not informative; an item without any informative term has
+   no direction, and is compared with every passage.
+4. For each candidate the longest common subsequence of the whole item and the
+   surroundings that would hold it is taken, and the share of the item's answer
+   (its last sentence; of an item of one sentence its last third) that they
    hold. A document is contaminated by an item if the subsequence covers
    ``VERBATIM`` of the item, or ``PARAPHRASE`` of it with ``ANSWER`` of the
    answer there.
 
 Null and empty texts, and items without terms, match nothing. Items that repeat
 an ``item_id`` are items each; rows that repeat a ``doc_id`` count once in the
-result. Rows without ``doc_id`` take no part and stay. The benchmark is held in
-memory by every task: ``MAX_ITEM_BYTES`` guards its size, and a larger one is refused.
+result. Rows without ``doc_id`` take no part and stay. A task holds one portion
+of the benchmark in memory: one of more than ``PORTION_BYTES`` is searched in
+portions, each of them in all documents, and one item is never cut.
 """
 
 from __future__ import annotations
 
+import functools
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -48,7 +53,8 @@ COSINE = 0.4
 INFORMATIVE = 0.02  # a term in a larger share of all passages has no weight
 OVERLAP = 0.4
 VERBATIM, PARAPHRASE, ANSWER = 0.8, 0.6, 0.6
-MAX_ITEM_BYTES = 64 << 20
+PORTION_BYTES = 16 << 20
+_CELLS = 1 << 22  # so many cosines at once
 SEED = 7
 _SLICES = 8
 
@@ -58,8 +64,6 @@ class Items:
 
     def __init__(self, rows: list[tuple[int, str]]):
         rows = sorted((i, t) for i, t in rows if i is not None and t)
-        if sum(len(t) for _, t in rows) > MAX_ITEM_BYTES:
-            raise ValueError(f"the benchmark has more than {MAX_ITEM_BYTES} characters")
         hashes, tails = [], []
         for t in tokenize(pa.array([t for _, t in rows], pa.large_string()), TERMS):
             hashes += [t.hash[t.off[d] : t.off[d + 1]] for d in range(t.n_docs)]
@@ -72,11 +76,17 @@ class Items:
         self.vocabulary = np.unique(np.concatenate([hashes[i] for i in keep])) if keep else np.zeros(0, np.uint64)
         self.terms = [np.searchsorted(self.vocabulary, hashes[i]).astype(np.int32) + 1 for i in keep]
         self.answers = [Counter(t[-tails[i] :].tolist()) for i, t in zip(keep, self.terms, strict=True)]
+        pieces = [(i, k * BLOCK) for i, t in enumerate(self.terms) for k in range(int(n_passages(len(t))))]
+        self.item_of, self.start_of = (np.array(x, np.int64) for x in (zip(*pieces, strict=True) if pieces else ((), ())))
         self.lookup = np.full(1 << 20, -1, np.int32)
         slot = (self.vocabulary & np.uint64((1 << 20) - 1)).astype(np.int64)
         self.lookup[slot[::-1]] = np.arange(len(slot), dtype=np.int32)[::-1]
         self.crowded = len(np.unique(slot)) < len(slot)
 
+    def passages(self) -> list[np.ndarray]:
+        """The term numbers of the items' passages."""
+        return [self.terms[i][k : k + 2 * BLOCK] for i, k in zip(self.item_of.tolist(), self.start_of.tolist(), strict=True)]
+
     def number(self, h: np.ndarray) -> np.ndarray:
         """Term numbers from 1 of term hashes, 0 for terms that no item has."""
         if not len(self.vocabulary):
@@ -226,69 +236,82 @@ def lcs(a: list[int], b: list[int]) -> int:
     return len(a) - v.bit_count()
 
 
-def _verify(item: np.ndarray, answer: Counter, pos: np.ndarray, term: np.ndarray, start: int) -> tuple[float, float]:
-    """(share of the item in the subsequence, share of the answer) around the passage at ``start``."""
-    n = len(item)
-    best = (0.0, 0.0)
-    slack = max(4, n // 4)
-    for lo in {start - n + 2 * BLOCK - slack, start - slack, start - n // 2}:
-        a, b = np.searchsorted(pos, [lo, lo + n + 2 * slack + (BLOCK if n >= BLOCK else 0)])
-        near = term[a:b].tolist()
-        ratio = lcs(item.tolist(), near) / n
-        if ratio > best[0]:
-            best = (ratio, sum((Counter(near) & answer).values()) / sum(answer.values()))
-    return best
+def _verify(item: np.ndarray, answer: Counter, pos: np.ndarray, term: np.ndarray, lo: int, hi: int) -> tuple[float, float]:
+    """(share of the item in the subsequence, share of the answer) in the places ``lo`` to ``hi``."""
+    a, b = np.searchsorted(pos, [lo, hi])
+    near = term[a:b].tolist()
+    return lcs(item.tolist(), near) / len(item), sum((Counter(near) & answer).values()) / sum(answer.values())
 
 
 def leaks_in(places: DataFrame, items: Items, idf: np.ndarray, basis: np.ndarray, cosine: float = COSINE) -> DataFrame:
     """(doc_id, item, subsequence, answer) of the contaminated documents, ``item`` being the number of the item."""
     weights = np.vstack([np.zeros((1, basis.shape[1]), np.float32), idf[:, None].astype(np.float32) * basis])
-    latent = np.array([weights[t].sum(0) for t in items.terms], np.float32).reshape(len(items.ids), -1)
+    pieces = items.passages()
+    latent = np.array([weights[t].sum(0) for t in pieces], np.float32).reshape(len(pieces), -1)
     norm = np.linalg.norm(latent, axis=1, keepdims=True)
     latent = latent / np.maximum(norm, 1e-12)
-    # an item with no informative term has no direction: it is compared with every passage
-    blind = np.flatnonzero(norm[:, 0] <= 1e-9)
-    member = np.zeros((len(items.ids), len(idf) + 1), bool)
-    for i, t in enumerate(items.terms):
-        member[i, t] = True
-    member[:, 1:] &= idf > 0
-    member[:, 0] = False
-    need = np.array([OVERLAP * member[i, t].sum() * min(1.0, 2 * BLOCK / len(t)) for i, t in enumerate(items.terms)])
-    sent = places.sparkSession.sparkContext.broadcast((weights, latent, blind, items.terms, items.answers, member, need))
+    # an item of which no passage has a direction is compared with every passage
+    blind = np.setdiff1d(items.item_of, items.item_of[norm[:, 0] > 1e-9])
+    # the informative terms of each passage of an item, as sorted keys
+    informative = np.concatenate([[False], idf > 0])
+    v = len(informative)
+    need = np.array([OVERLAP * informative[t].sum() for t in pieces])
+    keys = np.unique(np.concatenate([k * v + t[informative[t]].astype(np.int64) for k, t in enumerate(pieces)]))
+    sent = places.sparkSession.sparkContext.broadcast((weights, latent, blind, items.terms, items.answers, items.item_of, items.start_of, keys, need))
+
+    def candidates(at, term, first, sent):
+        """(passage of the documents, passage of the items) of the candidates."""
+        weights, latent, _, _, _, _, _, keys, need = sent
+        sums = _block_sums(at, term, weights, int(first[-1]))
+        passage = sums[:-1] + sums[1:]
+        passage[first[1:-1] - 1] = 0
+        length = np.maximum(np.sqrt(np.einsum("ij,ij->i", passage, passage)), 1e-12)
+        edge = np.searchsorted(at, np.arange(first[-1] + 1))
+        step = max(1, _CELLS // max(1, len(latent)))
+        for i in range(0, len(passage), step):
+            hit, piece = np.nonzero(passage[i : i + step] @ latent.T >= length[i : i + step, None] * cosine)
+            hit += i
+            # the places of the two blocks of each candidate, to count the informative terms of the item's passage among them
+            for some in np.array_split(np.arange(len(hit)), max(1, len(hit) >> 17)):
+                begin = edge[hit[some]]
+                count = edge[hit[some] + 2] - begin
+                total = np.cumsum(count)
+                place = np.arange(total[-1] if len(total) else 0) - np.repeat(total - count - begin, count)
+                key = np.repeat(piece[some], count) * np.int64(v) + term[place]
+                found = keys[np.minimum(np.searchsorted(keys, key), len(keys) - 1)] == key if len(keys) else np.zeros(len(key), bool)
+                shared = np.bincount(np.repeat(np.arange(len(some)), count), found, len(some))
+                ok = some[shared >= need[piece[some]]]
+                yield hit[ok], piece[ok]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, latent, blind, terms, answers, member, need = sent.value
+        _, _, blind, terms, answers, item_of, start_of, _, _ = sent.value
         for b in batches:
             found = []
             for lo, hi in _rows(b):
                 at, term, first, size = _blocks(b, lo, hi)
                 cut = np.concatenate([[0], np.cumsum(size)])
-                sums = _block_sums(at, term, weights, int(first[-1]))
-                passage = sums[:-1] + sums[1:]
-                passage[first[1:-1] - 1] = 0
-                length = np.sqrt(np.einsum("ij,ij->i", passage, passage))
-                hit, item = np.nonzero(passage @ latent.T >= np.maximum(length, 1e-12)[:, None] * cosine)
-                # the places of the two blocks of each candidate, to count the item's informative terms among them
-                edge = np.searchsorted(at, np.arange(first[-1] + 1))
-                for some in np.array_split(np.arange(len(hit)), max(1, len(hit) >> 17)):
-                    begin = edge[hit[some]]
-                    count = edge[hit[some] + 2] - begin
-                    total = np.cumsum(count)
-                    place = np.arange(total[-1] if len(total) else 0) - np.repeat(total - count - begin, count)
-                    shared = np.bincount(np.repeat(np.arange(len(some)), count), member[np.repeat(item[some], count), term[place]], len(some))
-                    item[some[shared < need[item[some]]]] = -1
-                hit, item = hit[item >= 0], item[item >= 0]
+                tries = set()
+                for hit, piece in candidates(at, term, first, sent.value):
+                    doc = np.searchsorted(first, hit, "right") - 1
+                    # where the item would begin, to a quarter of the slack that its surroundings have anyhow
+                    begin = (hit - first[doc]) * BLOCK - start_of[piece]
+                    item = item_of[piece]
+                    grain = np.array([_slack(len(terms[i])) // 4 for i in item.tolist()], np.int64)
+                    tries.update(zip(doc.tolist(), item.tolist(), (begin // np.maximum(grain, 1)).tolist(), strict=True))
                 if len(blind):
-                    more = np.setdiff1d(np.arange(len(passage)), first[1:-1] - 1)
-                    hit = np.concatenate([hit, np.repeat(more, len(blind))])
-                    item = np.concatenate([item, np.tile(blind, len(more))])
-                doc = np.searchsorted(first, hit, "right") - 1
+                    more = np.setdiff1d(np.arange(int(first[-1]) - 1), first[1:-1] - 1)
+                    doc = np.searchsorted(first, more, "right") - 1
+                    for i in blind.tolist():
+                        grain = max(1, _slack(len(terms[i])) // 4)
+                        tries.update(zip(doc.tolist(), [i] * len(doc), ((more - first[doc]) * BLOCK // grain).tolist(), strict=True))
                 best: dict[tuple[int, int], tuple[float, float]] = {}
-                for d, i, p in sorted(zip(doc.tolist(), item.tolist(), hit.tolist(), strict=True)):
+                for d, i, q in sorted(tries):
                     if best.get((d, i), (0.0, 0.0))[0] == 1.0:
                         continue
-                    pos = np.frombuffer(b.column("pos")[lo + d].as_buffer(), np.int32)
-                    got = _verify(terms[i], answers[i], pos, term[cut[d] : cut[d + 1]], (p - int(first[d])) * BLOCK)
+                    pos, n = np.frombuffer(b.column("pos")[lo + d].as_buffer(), np.int32), len(terms[i])
+                    slack = _slack(n)
+                    start = q * max(1, slack // 4)
+                    got = _verify(terms[i], answers[i], pos, term[cut[d] : cut[d + 1]], start - slack, start + n + 2 * slack)
                     if got > best.get((d, i), (0.0, 0.0)):
                         best[d, i] = got
                 found += [(lo + d, i, *x) for (d, i), x in best.items() if x[0] >= VERBATIM or x[0] >= PARAPHRASE and x[1] >= ANSWER]
@@ -298,29 +321,41 @@ def leaks_in(places: DataFrame, items: Items, idf: np.ndarray, basis: np.ndarray
     return places.mapInArrow(run, "doc_id bigint, item int, subsequence double, answer double")
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, rank: int = RANK) -> DataFrame:
-    """(doc_id, item_id, subsequence, answer): the documents that hold a benchmark item, with both shares."""
-    spark = docs.sparkSession
-    size = benchmark.agg(F.sum(F.length("text"))).first()[0] or 0
-    if size > MAX_ITEM_BYTES:
-        raise ValueError(f"the benchmark has {size} characters, more than {MAX_ITEM_BYTES}")
-    items = Items([(r[0], r[1]) for r in benchmark.select(F.col("item_id").cast("bigint"), "text").collect()])
+def _slack(n: int) -> int:
+    """How far an item may begin or end from where a passage puts it: passages are a block apart, and words may be more or fewer."""
+    return max(2 * BLOCK, n // 4)
+
+
+def _leaks_of(docs: DataFrame, rows: list[tuple[int, str]], cosine: float, rank: int) -> DataFrame | None:
+    items = Items(rows)
     if not items.ids:
-        return spark.createDataFrame([], "doc_id bigint, item_id bigint, subsequence double, answer double")
-    places = stash(mapped(documents(docs.select(F.col("doc_id").cast("bigint"), "text"), "text"), items))
+        return None
+    places = stash(mapped(docs, items))
     df, n = passage_counts(places, len(items.vocabulary))
     # a frequent term tells nothing about an item; it still counts in the subsequence
-    idf = np.where((df > 0) & (df <= np.maximum(INFORMATIVE * n, 50)), np.log((1 + n) / (1 + df)), 0)
-    basis = singular_vectors(places, idf, rank)
-    found = stash(leaks_in(places, items, idf, basis, cosine))
+    idf = np.where((df > 0) & (df <= INFORMATIVE * n), np.log((1 + n) / (1 + df)), 0)
+    found = stash(leaks_in(places, items, idf, singular_vectors(places, idf, rank), cosine))
     drop_stash(places)
-    names = F.create_map(*[F.lit(x) for i, k in enumerate(items.ids) for x in (i, k)]) if len(items.ids) <= 1000 else None
-    if names is None:
-        ids = spark.createDataFrame(list(enumerate(items.ids)), "item int, item_id bigint")
-        found = found.join(ids, "item")
-    else:
-        found = found.withColumn("item_id", names[F.col("item")].cast("bigint"))
-    return found.groupBy("doc_id", "item_id").agg(F.round(F.max("subsequence"), 6).alias("subsequence"), F.round(F.max("answer"), 6).alias("answer"))
+    # as many names as a portion has items
+    ids = docs.sparkSession.createDataFrame(list(enumerate(items.ids)), "item int, item_id bigint")
+    return found.join(ids, "item").select("doc_id", "item_id", "subsequence", "answer")
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, rank: int = RANK, portion_bytes: int = PORTION_BYTES) -> DataFrame:
+    """(doc_id, item_id, subsequence, answer): the documents that hold a benchmark item, with both shares."""
+    spark = docs.sparkSession
+    texts = documents(docs.select(F.col("doc_id").cast("bigint"), "text"), "text")
+    benchmark = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), "text").where("item_id is not null and text is not null")
+    size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    portions = -(-size // portion_bytes)
+    found = []
+    for k in range(portions):
+        part = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(portions)) == k)
+        leaks = _leaks_of(texts, [(r[0], r[1]) for r in part.collect()], cosine, rank)
+        found += [] if leaks is None else [leaks]
+    if not found:
+        return spark.createDataFrame([], "doc_id bigint, item_id bigint, subsequence double, answer double")
+    return functools.reduce(DataFrame.unionByName, found).groupBy("doc_id", "item_id").agg(F.round(F.max("subsequence"), 6).alias("subsequence"), F.round(F.max("answer"), 6).alias("answer"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
