@@ -1,22 +1,31 @@
 """A hashed maximum-entropy language model with class-factored softmax.
 
-A text's terms map to ``OUTPUTS`` outputs: the terms that are most frequent in
-the whole corpus (counted by hash, over every document) have an output of their
-own, the others share the rest by hash. An output belongs to one of ``CLASSES``
-classes; the model is P(class | context) P(output | class, context). The context
-features are the previous term, the one before it (a skip), the two together,
-and the previous one with the third last (a skip bigram), hashed into the rows of
-two tables of weights, each row holding a weight for every class or for every
-output of a class.
+The outputs are the leaves of a tree of classes: a node has 32 slots, of which
+half are outputs and half are classes with a node of their own; at the last
+level all are outputs. The most frequent terms of the whole corpus (counted by
+hash, over every document) have outputs of their own, the more frequent the
+nearer to the root; the others share the last outputs by hash. The model is the
+product of P(slot | context, node) along a term's path. A slot's share of its node by
+the counts is a feature that any context has. The context features are
+the previous term, the one before it (a skip), the two together, and the
+previous one with the third last (a skip bigram); each is hashed, for the root
+alone and for each deeper node together with the node, into a row of 32 weights.
+
+How much is gathered grows with the corpus, by the root of its bytes (``Shape``):
+the counted hashes, the depth of the tree and with it the outputs, and the rows of weights.
+As what a task sends in a round grows with the rows, the tasks of a round grow
+by the root too, so that all they send grows in proportion to the corpus. The
+weights are broadcast, so the rows end at ``MOST_ROWS`` (340 MB), which a corpus of
+about a terabyte reaches; the hashes end at ``MOST_BUCKETS``.
 
 Training reads every document once, in ``ROUNDS`` disjoint shares by document.
 In a round each task takes gradient steps (Adagrad by row) from the shared
 weights on its documents; the updates meet in a tree on the executors, slice by
-slice, each row weighted by how often a task saw it. The weights have a fixed size
-(6 MB); what the tasks send grows with their number, that is with the corpus.
+slice, each row weighted by how often a task saw it. So the weights depend on how
+the corpus is partitioned.
 
 Scores: the mean log2 probability of a text's terms, and the perplexity that
-follows. An output's probability is divided among its ``BUCKETS`` hashes by their
+follows. An output's probability is divided among its term hashes by their
 counts (one added to each), so a rare term scores below a frequent one of its
 output; terms of one hash still score alike. Null, empty and termless texts have no terms and null scores. Texts are
 read whole. Rows that repeat a ``doc_id`` are scored each; rows without
@@ -25,7 +34,10 @@ read whole. Rows that repeat a ``doc_id`` are scored each; rows without
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -35,105 +47,194 @@ from pyspark.sql import functions as F
 from sieveloom.llm.common import slices, table, tree_sum
 from sieveloom.llm.textarrays import TERMS, Tokens, mix64, tokenize
 
-CLASSES, WIDTH = 32, 32
-OUTPUTS = CLASSES * WIDTH
-OWN = 768
-BUCKETS = 1 << 16
-CLASS_ROWS, WORD_ROWS = 1 << 14, 1 << 15
+WIDTH = 32
+_INNER = WIDTH // 2  # slots of a node that are outputs, unless it is of the last level
+LEAST_BUCKETS, MOST_BUCKETS = 1 << 16, 1 << 22
+LEAST_ROWS, MOST_ROWS = 1 << 14, 1 << 21
 ROUNDS = 2
-RATE = 0.15
+RATE = 0.08
 _FEATURES = 4
 _BATCH = 1 << 16
-_SLICES = 16
 _LIMIT = 30.0  # a sum of weights is held within this, so that no exponential overflows
 _ONES = np.ones(WIDTH, np.float32)
+_NODE = np.uint64(0x9E3779B97F4A7C15)
 
 
-def term_counts(docs: DataFrame) -> np.ndarray:
-    """The counts of all terms of all documents, by ``BUCKETS`` term hashes."""
+def _power_of_two(x: float, least: int, most: int) -> int:
+    return min(most, max(least, 1 << math.ceil(math.log2(max(1.0, x)))))
+
+
+def _outputs(depth: int) -> int:
+    return sum(_INNER**k for k in range(1, depth)) + _INNER ** (depth - 1) * WIDTH
+
+
+@dataclass(frozen=True)
+class Shape:
+    """The sizes of a model: counted term hashes, levels of the tree, rows of weights of the root and of deeper nodes, tasks of a round."""
+
+    buckets: int = LEAST_BUCKETS
+    depth: int = 2
+    first: int = LEAST_ROWS // 4
+    deep: int = LEAST_ROWS
+    tasks: int = 1
+
+    @classmethod
+    def of(cls, n_bytes: int) -> Shape:
+        """For a corpus of so many bytes of text: all grow by the root of it."""
+        root = math.sqrt(max(1, n_bytes))
+        rows = _power_of_two(2 * root, LEAST_ROWS, MOST_ROWS)
+        depth = 2
+        while _outputs(depth) < root / 5:
+            depth += 1
+        return cls(_power_of_two(16 * root, LEAST_BUCKETS, MOST_BUCKETS), depth, rows // 4, rows, max(1, math.ceil(root / 900)))
+
+    @property
+    def outputs(self) -> int:
+        return _outputs(self.depth)
+
+    @property
+    def own(self) -> int:
+        """The outputs of one term hash each: all but a quarter of those of the last level."""
+        return self.outputs - _INNER ** (self.depth - 1) * WIDTH // 4
+
+    @property
+    def rows(self) -> int:
+        return self.first + self.deep
+
+    @cached_property
+    def tree(self) -> tuple[np.ndarray, np.ndarray]:
+        """(node, slot) of each level and output; the node is -1 below an output's own level. The root is node 0."""
+        nodes, slots = np.full((self.depth, self.outputs), -1, np.int64), np.zeros((self.depth, self.outputs), np.int64)
+        begin, offset = 0, [(_INNER**k - 1) // (_INNER - 1) for k in range(self.depth)]
+        for level in range(self.depth):
+            wide = WIDTH if level == self.depth - 1 else _INNER
+            n = _INNER**level * wide
+            of = slice(begin, begin + n)
+            node, slot = np.divmod(np.arange(n), wide)
+            for k in range(level, -1, -1):
+                nodes[k, of], slots[k, of] = offset[k] + node, slot
+                node, slot = node // _INNER, _INNER + node % _INNER
+            begin += n
+        return nodes, slots
+
+
+def shape_of(docs: DataFrame) -> Shape:
+    return Shape.of(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+
+
+def _n_slices(n_bytes: int) -> int:
+    """Slices of about a megabyte."""
+    return max(16, n_bytes >> 20)
+
+
+def buckets_of(t: Tokens, shape: Shape) -> np.ndarray:
+    return (t.hash & np.uint64(shape.buckets - 1)).astype(np.int64)
+
+
+def term_counts(docs: DataFrame, shape: Shape) -> np.ndarray:
+    """The counts of all terms of all documents, by term hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(BUCKETS, np.int64)
+        n = np.zeros(shape.buckets, np.int64)
         for b in batches:
             for t in tokenize(b.column(0), TERMS):
-                n += np.bincount((t.hash & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
-        yield slices(n, _SLICES)
-
-    return tree_sum(docs.select("text").mapInArrow(run, "slice int, part binary"), "int64", BUCKETS)
+                n += np.bincount(buckets_of(t, shape), minlength=shape.buckets)
+        yield slices(n, _n_slices(8 * shape.buckets))
 
+    texts = docs.select("text")
+    return tree_sum(texts.coalesce(min(shape.tasks, texts.rdd.getNumPartitions())).mapInArrow(run, "slice int, part binary"), "int64", shape.buckets)
 
-def vocabulary(docs: DataFrame) -> np.ndarray:
-    """The output of each of ``BUCKETS`` term hashes."""
-    return outputs_of(term_counts(docs))
 
-
-def outputs_of(counts: np.ndarray) -> np.ndarray:
+def outputs_of(counts: np.ndarray, shape: Shape) -> np.ndarray:
+    """The output of each term hash."""
     rank = np.argsort(-counts, kind="stable")
-    out = np.empty(BUCKETS, np.int32)
-    out[rank] = np.where(np.arange(BUCKETS) < OWN, np.arange(BUCKETS), OWN + rank % (OUTPUTS - OWN))
+    out = np.empty(len(counts), np.int32)
+    out[rank] = np.where(np.arange(len(counts)) < shape.own, np.arange(len(counts)), shape.own + rank % (shape.outputs - shape.own))
     return out
 
 
-def shares_of(counts: np.ndarray, outputs: np.ndarray) -> np.ndarray:
+def shares_of(counts: np.ndarray, outputs: np.ndarray, shape: Shape) -> np.ndarray:
     """The natural log of each term hash's share of its output, by the counts."""
     n = counts + 1.0  # a hash that the corpus lacks has a share too
-    return np.log(n / np.bincount(outputs, n, OUTPUTS)[outputs]).astype(np.float32)
+    return np.log(n / np.bincount(outputs, n, shape.outputs)[outputs]).astype(np.float32)
 
 
-def contexts(t: Tokens, outputs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(output, class rows (4, n), word rows (4, n)) of each token; ``OUTPUTS`` stands for what is before a text."""
-    y = outputs[(t.hash & np.uint64(BUCKETS - 1)).astype(np.int64)].astype(np.int64)
-    place = np.arange(len(y)) - t.off[t.doc]
-    before = [np.where(place >= k, y[np.maximum(np.arange(len(y)) - k, 0)], OUTPUTS).astype(np.uint64) for k in (1, 2, 3)]
-    m = np.uint64(OUTPUTS + 1)
-    keys = [before[0], before[1] + m, before[0] * m + before[1] + m * np.uint64(2), before[0] * m + before[2] + m * m * np.uint64(2)]
-    cls = (y // WIDTH).astype(np.uint64)
-    first, second = np.empty((_FEATURES, len(y)), np.int32), np.empty((_FEATURES, len(y)), np.int32)
-    for j, k in enumerate(keys):
-        h = mix64(k + np.uint64(j << 40))
-        first[j] = h & np.uint64(CLASS_ROWS - 1)
-        second[j] = CLASS_ROWS + (mix64(h + cls) & np.uint64(WORD_ROWS - 1)).astype(np.int32)
-    return y, first, second
+def prior_of(counts: np.ndarray, outputs: np.ndarray, shape: Shape) -> np.ndarray:
+    """The log of each slot's share of its node by the counts (nodes, 32): the feature that any context has.
 
+    So an untrained model is the unigram model of the corpus, and the other features learn what contexts change in it.
+    """
+    nodes, slots = shape.tree
+    n, total = np.bincount(outputs, counts + 1.0, shape.outputs), np.zeros(((_INNER**shape.depth - 1) // (_INNER - 1)) * WIDTH)
+    for level in range(shape.depth):
+        some = np.flatnonzero(nodes[level] >= 0)
+        total += np.bincount(nodes[level, some] * WIDTH + slots[level, some], n[some], len(total))
+    total = np.maximum(total.reshape(-1, WIDTH), 1e-9)
+    return np.log(total / total.sum(1, keepdims=True)).astype(np.float32)
 
-class Model:
-    """Two tables of weights in one array: class rows, then word rows."""
 
-    def __init__(self, weights: np.ndarray | None = None):
-        self.w = np.zeros((CLASS_ROWS + WORD_ROWS, WIDTH), np.float32) if weights is None else weights
+def contexts(t: Tokens) -> np.ndarray:
+    """The features of each token (4, n): hashes of the terms before it; 0 stands for what is before a text."""
+    place = np.arange(len(t.hash)) - t.off[t.doc]
+    a, b, c = (np.where(place >= k, t.hash[np.maximum(np.arange(len(t.hash)) - k, 0)], np.uint64(0)) for k in (1, 2, 3))
+    one, two, three = np.uint64(1), np.uint64(2), np.uint64(3)
+    return np.stack([mix64(a), mix64(b + one), mix64(a * _NODE + b + two), mix64(a * _NODE + mix64(c + three))])
+
 
-    def _sums(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(weights summed over the features (n, 32), their exponentials); ``rows`` (4, n) index ``w``."""
-        z = np.take(self.w, rows[0], axis=0)
-        for r in rows[1:]:
+class Model:
+    """The rows of weights: the root's, then those of deeper nodes."""
+
+    def __init__(self, shape: Shape, prior: np.ndarray, weights: np.ndarray | None = None):
+        self.shape, self.tree, self.prior = shape, shape.tree, prior
+        self.w = np.zeros((shape.rows, WIDTH), np.float32) if weights is None else weights
+
+    def steps(self, y: np.ndarray, features: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(tokens, nodes, rows (4, n), slots) of each level, for a batch of outputs."""
+        nodes, slots = self.tree
+        yield np.arange(len(y)), np.zeros(len(y), np.int64), self._rows(features, 0, self.shape.first), slots[0, y]
+        for level in range(1, self.shape.depth):
+            node = nodes[level, y]
+            some = np.flatnonzero(node >= 0)
+            if len(some):
+                h = mix64(features[:, some] + node[some].astype(np.uint64) * _NODE)
+                yield some, node[some], self._rows(h, self.shape.first, self.shape.deep), slots[level, y[some]]
+
+    @staticmethod
+    def _rows(h: np.ndarray, begin: int, n: int) -> np.ndarray:
+        """A quarter of the rows for each feature, so that the many pairs don't fill the rows of single terms."""
+        part = n // _FEATURES
+        return ((h & np.uint64(part - 1)).astype(np.int32) + (begin + part * np.arange(_FEATURES, dtype=np.int32))[:, None]).astype(np.int32)
+
+    def _sums(self, nodes: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(the prior and the weights summed over the features (n, 32), their exponentials); ``rows`` (4, n) index ``w``."""
+        z = np.take(self.prior, nodes, axis=0)
+        for r in rows:
             z += np.take(self.w, r, axis=0)
         np.clip(z, -_LIMIT, _LIMIT, out=z)
         return z, np.exp(z)
 
-    def score(self, y: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.ndarray:
-        """Natural log probability of each token."""
+    def score(self, y: np.ndarray, features: np.ndarray) -> np.ndarray:
+        """Natural log probability of each token's output."""
         out = np.zeros(len(y))
         for i in range(0, len(y), _BATCH):
             s = slice(i, i + _BATCH)
-            at = np.arange(len(y[s]))
-            for rows, target in ((first[:, s], y[s] // WIDTH), (second[:, s], y[s] % WIDTH)):
-                z, e = self._sums(rows)
-                out[s] += z[at, target] - np.log(e @ _ONES)
+            for some, nodes, rows, target in self.steps(y[s], features[:, s]):
+                z, e = self._sums(nodes, rows)
+                out[i + some] += z[np.arange(len(some)), target] - np.log(e @ _ONES)
         return out
 
-    def learn(self, y: np.ndarray, first: np.ndarray, second: np.ndarray, power: np.ndarray, seen: np.ndarray, rate: float = RATE) -> None:
+    def learn(self, y: np.ndarray, features: np.ndarray, power: np.ndarray, seen: np.ndarray, rate: float = RATE) -> None:
         """One pass of gradient steps; ``power`` is the Adagrad state and ``seen`` counts the uses of each row."""
         half = WIDTH // 2
         for i in range(0, len(y), _BATCH):
             s = slice(i, i + _BATCH)
-            at = np.arange(len(y[s]))
-            for rows, target in ((first[:, s], y[s] // WIDTH), (second[:, s], y[s] % WIDTH)):
-                _, g = self._sums(rows)
+            for some, nodes, rows, target in self.steps(y[s], features[:, s]):
+                _, g = self._sums(nodes, rows)
                 g /= (g @ _ONES)[:, None]
-                g[at, target] -= 1
+                g[np.arange(len(some)), target] -= 1
                 halves = np.ascontiguousarray(g[:, :half]), np.ascontiguousarray(g[:, half:])  # narrow rows are summed faster
                 for j in range(_FEATURES):
-                    order = np.argsort(rows[j].astype(np.uint16), kind="stable")  # a radix sort
+                    order = _sorted(rows[j])
                     r = rows[j][order]
                     begin = np.flatnonzero(np.diff(r, prepend=-1))
                     total = np.hstack([np.add.reduceat(np.take(h, order, axis=0), begin, axis=0) for h in halves])
@@ -143,48 +244,59 @@ class Model:
                     seen[r] += np.diff(np.append(begin, len(order)))
 
 
-def fit(docs: DataFrame, outputs: np.ndarray, rounds: int = ROUNDS, rate: float = RATE) -> np.ndarray:
+def _sorted(rows: np.ndarray) -> np.ndarray:
+    """The order of row numbers, by two radix sorts of 16 bits."""
+    order = np.argsort((rows & 0xFFFF).astype(np.uint16), kind="stable")
+    high = (rows >> 16).astype(np.uint16)
+    return order[np.argsort(high[order], kind="stable")] if high.any() else order
+
+
+def fit(docs: DataFrame, shape: Shape, outputs: np.ndarray, prior: np.ndarray, rounds: int = ROUNDS, rate: float = RATE) -> np.ndarray:
     """The weights, trained on all documents."""
     sc = docs.sparkSession.sparkContext
-    weights = Model().w
+    weights = Model(shape, prior).w
     power = np.zeros(len(weights), np.float32)
     share = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)), F.length("text")), F.lit(rounds))
+    n_slices = _n_slices(weights.nbytes)
     for k in range(rounds):
-        sent = sc.broadcast((weights, power, outputs))
+        sent = sc.broadcast((weights, power, outputs, prior))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            start, before, outputs = sent.value
-            model, power, seen = Model(start.copy()), before.copy(), np.zeros(len(start), np.float32)
+            start, before, outputs, prior = sent.value
+            model, power, seen = Model(shape, prior, start.copy()), before.copy(), np.zeros(len(start), np.float32)
             for b in batches:
                 for t in tokenize(b.column(0), TERMS):
                     if len(t.hash):
-                        model.learn(*contexts(t, outputs), power, seen, rate)
+                        model.learn(outputs[buckets_of(t, shape)], contexts(t), power, seen, rate)
             if seen.any():
                 update = (model.w - start) * seen[:, None]
-                yield slices(np.hstack([update, seen[:, None], ((power - before) * seen)[:, None]]).astype(np.float32), _SLICES)
+                yield slices(np.hstack([update, seen[:, None], ((power - before) * seen)[:, None]]).astype(np.float32), n_slices)
 
-        got = tree_sum(docs.where(share == k).select("text").mapInArrow(run, "slice int, part binary"), "float32", weights.size + 2 * len(weights)).reshape(len(weights), WIDTH + 2)
+        part = docs.where(share == k).select("text")
+        part = part.coalesce(min(shape.tasks, part.rdd.getNumPartitions()))
+        got = tree_sum(part.mapInArrow(run, "slice int, part binary"), "float32", weights.size + 2 * len(weights)).reshape(len(weights), WIDTH + 2)
         n = np.maximum(got[:, WIDTH], 1)
         weights = weights + got[:, :WIDTH] / n[:, None]
         power = power + got[:, WIDTH + 1] / n
     return weights
 
 
-def score(docs: DataFrame, outputs: np.ndarray, weights: np.ndarray, shares: np.ndarray | None = None) -> DataFrame:
+def score(docs: DataFrame, shape: Shape, outputs: np.ndarray, prior: np.ndarray, weights: np.ndarray, shares: np.ndarray | None = None) -> DataFrame:
     """(doc_id, n_terms, log2_probability, perplexity); the log is a mean over the terms, or over their outputs if there are no ``shares``."""
-    sent = docs.sparkSession.sparkContext.broadcast((weights, outputs, shares))
+    sent = docs.sparkSession.sparkContext.broadcast((weights, outputs, prior, shares))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, outputs, shares = sent.value
-        model = Model(weights)
+        weights, outputs, prior, shares = sent.value
+        model = Model(shape, prior, weights)
         for b in batches:
             for t in tokenize(b.column(1), TERMS):
                 n = np.diff(t.off)
                 total = np.zeros(t.n_docs)
                 if len(t.hash):
-                    logs = model.score(*contexts(t, outputs))
+                    bucket = buckets_of(t, shape)
+                    logs = model.score(outputs[bucket], contexts(t))
                     if shares is not None:
-                        logs += shares[(t.hash & np.uint64(BUCKETS - 1)).astype(np.int64)]
+                        logs += shares[bucket]
                     total = np.bincount(t.doc, logs, t.n_docs)
                 mean = total / np.maximum(n, 1) / np.log(2)
                 none = n == 0
@@ -193,11 +305,14 @@ def score(docs: DataFrame, outputs: np.ndarray, weights: np.ndarray, shares: np.
     return docs.select(F.col("doc_id").cast("bigint"), "text").where("doc_id is not null").mapInArrow(run, "doc_id bigint, n_terms int, log2_probability double, perplexity double")
 
 
-def perplexities(docs: DataFrame) -> DataFrame:
-    """Trains on ``docs`` and scores them."""
-    counts = term_counts(docs)
-    outputs = outputs_of(counts)
-    return score(docs, outputs, fit(docs, outputs), shares_of(counts, outputs)).withColumns({c: F.round(c, 6) for c in ("log2_probability", "perplexity")})
+def perplexities(docs: DataFrame, trained_on: DataFrame | None = None) -> DataFrame:
+    """The scores of ``docs`` by a model that is trained on them, or on other documents."""
+    corpus = docs if trained_on is None else trained_on
+    shape = shape_of(corpus)
+    counts = term_counts(corpus, shape)
+    outputs = outputs_of(counts, shape)
+    prior = prior_of(counts, outputs, shape)
+    return score(docs, shape, outputs, prior, fit(corpus, shape, outputs, prior), shares_of(counts, outputs, shape)).withColumns({c: F.round(c, 6) for c in ("log2_probability", "perplexity")})
 
 
 def query(spark, sf_dir: str) -> DataFrame:
