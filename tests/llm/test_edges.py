@@ -66,7 +66,7 @@ def same(a, b):
     return key(a) == key(b)
 
 
-@pytest.mark.parametrize("f", [licenses.detections, simhash.near_duplicates, digests.nearest, substrings.duplicate_spans, maxent.perplexities], ids=lambda f: f.__name__)
+@pytest.mark.parametrize("f", [licenses.detections, simhash.near_duplicates, digests.classes, substrings.duplicate_spans, maxent.perplexities], ids=lambda f: f.__name__)
 def test_document_operators(docs, clashing, empty, f):
     assert same(f(docs), f(clashing))
     assert f(empty).count() == 0
@@ -74,7 +74,7 @@ def test_document_operators(docs, clashing, empty, f):
 
 
 def test_simhash(docs):
-    assert {tuple(r) for r in simhash.near_duplicates(docs).collect()} == {(1, 1, True), (2, 1, False), (6, 6, True), (7, 6, False)}
+    assert sorted(tuple(r) for r in simhash.near_duplicates(docs).collect()) == [(1, 1, 0, True), (2, 1, 0, False), (6, 6, 1, True), (7, 6, 1, False)]
     kept = simhash.deduplicate(docs)
     assert kept.columns == docs.columns
     assert sorted((r[0] is None, r[0] or 0) for r in kept.select("doc_id").collect()) == [(False, i) for i in (1, 3, 4, 5, 6, 8, 9, 10, 11, 12)] + [(True, 0), (True, 0)]
@@ -85,11 +85,33 @@ def test_repeated_row_counts_once_in_dedup(spark):
     assert sorted(r[0] for r in simhash.deduplicate(twice).collect()) == [1, 2, 2]
 
 
+def test_simhash_of_two_texts_under_one_id(spark):
+    """Texts of one id are documents of their own: no group is joined through the id, and no text goes with another's."""
+    other = " ".join(f"v{k}" for k in range(90))
+    rows = [(1, SENTENCE), (2, SENTENCE), (2, other), (2, other), (3, other + " end"), (4, SENTENCE + " x"), (4, SENTENCE + " y"), (0, other + " end."), (0, "one more, alone")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = sorted(tuple(r) for r in simhash.near_duplicates(docs).select("doc_id", "group_id", "is_kept").collect())
+    assert found == [(0, 0, True), (1, 1, True), (2, 0, False), (2, 1, False), (3, 0, False), (4, 1, False), (4, 1, False)]
+    assert sorted(map(tuple, simhash.deduplicate(docs).collect())) == [(0, "one more, alone"), (0, other + " end."), (1, SENTENCE)]
+    alone = spark.createDataFrame([(2, other), (2, other), (2, SENTENCE), (1, SENTENCE)], "doc_id bigint, text string")
+    assert sorted(map(tuple, simhash.deduplicate(alone).collect())) == [(1, SENTENCE), (2, other)]
+
+
 def test_digests(docs):
-    found = {r["doc_id"]: r for r in digests.nearest(docs).where("doc_id <> 2").collect()}
-    assert found[1]["nearest_doc_id"] == 2 and found[1]["score"] == 0
-    assert found[6]["nearest_doc_id"] == 7
-    assert found[3]["digest"] is None and found[4]["digest"] is None and found[4]["nearest_doc_id"] is None
+    rows = digests.classes(docs).collect()
+    found = {r["doc_id"]: r for r in rows}
+    assert sum(r["doc_id"] == 2 for r in rows) == 2 and found[1]["class_id"] == found[2]["class_id"] == 1
+    assert found[6]["class_id"] == found[7]["class_id"] == 6
+    for k in (3, 4, 5):
+        assert found[k]["digest"] is None and found[k]["class_id"] is None and found[k]["nearest_class_id"] is None and found[k]["n_links"] == 0
+
+
+def test_digest_of_two_texts_under_one_id(spark):
+    """Two texts of one id are two classes; they may match each other, as their texts differ."""
+    base = " ".join(f"word{k * 7919 % 1000}" for k in range(400))
+    docs = spark.createDataFrame([(1, base), (1, base + " end"), (2, SENTENCE)], "doc_id bigint, text string")
+    rows = [(r["doc_id"], r["class_id"], r["n_links"]) for r in digests.classes(docs).collect()]
+    assert sorted(rows) == [(1, 1, 1), (1, 1, 1), (2, 2, 0)]
 
 
 def test_substrings(docs):
