@@ -119,14 +119,11 @@ class Spark(Dialect):
         return f"contains({s}, {self.text(word)})"
 
     def matches(self, s, p, i=True):
-        """Array of (line, text) of the matches: lines are counted along, piece by piece."""
+        """Array of (line, text) of the matches. Each is marked where it begins; a line then has as many matches as marks."""
         p = self.pattern(p, i)
-        nl = self.newlines
-        return (
-            f"aggregate(zip_with(split({s}, {p}, -1), regexp_extract_all({s}, {p}, 0), (a, b) -> named_struct('a', a, 'b', b)), "
-            f"named_struct('n', 1, 'out', cast(array() as array<struct<line: int, text: string>>)), "
-            f"(c, x) -> named_struct('n', c.n + {nl('x.a')} + coalesce({nl('x.b')}, 0), 'out', if(x.b is null, c.out, concat(c.out, array(named_struct('line', c.n + {nl('x.a')}, 'text', x.b))))), c -> c.out)"
-        )
+        marked = f"regexp_replace(translate({s}, chr(1), chr(2)), {p}, concat(chr(1), '$0'))"  # to a pattern, both control characters are alike
+        lines = f"flatten(transform(split({marked}, '\\n', -1), (l, k) -> array_repeat(k + 1, length(l) - length(replace(l, chr(1), '')))))"
+        return f"zip_with({lines}, regexp_extract_all({s}, {p}, 0), (n, t) -> named_struct('line', n, 'text', t))"
 
     def pairs(self, a, f):
         """Filter of an array by each element and the one before it."""

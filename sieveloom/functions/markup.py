@@ -8,6 +8,7 @@ full parsing algorithm, which no library here has.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import lru_cache
 from html.parser import HTMLParser
 
 PROSE = frozenset("a blockquote dd dt em figcaption h1 h2 h3 h4 h5 h6 li p span strong summary".split())
@@ -91,6 +92,7 @@ def text_of(node: Node) -> str:
     return "".join(out)
 
 
+@lru_cache(maxsize=2)  # the rules of one page ask for the same text one after the other
 def prose(html: str) -> list[tuple[str, int, str]]:
     """(tag, line, text) of each prose element with text, in document order; elements within others come too."""
     out, todo = [], [parse(html)]

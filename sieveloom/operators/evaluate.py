@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sieveloom.functions.dialect import SPARK, Dialect
-from sieveloom.operators.lint import lint
+from sieveloom.operators.lint import finding_arrays
 
 CONDITIONS = ("raw", "compiled")
 KEYS = ["model", "condition"]
@@ -17,31 +17,32 @@ def usable(d: Dialect, html: str) -> str:
     return f"(length({html}) >= 200 and {d.has(html, r'<(?:!doctype|html|head|body)')})"
 
 
-def dense_cells(samples: DataFrame) -> DataFrame:
-    """(model, condition): both conditions of every model, whether or not there are samples."""
-    return samples.select("model").distinct().crossJoin(F.broadcast(samples.sparkSession.createDataFrame([(c,) for c in CONDITIONS], "condition string")))
+def dense_cells(samples: DataFrame, models: DataFrame | None = None) -> DataFrame:
+    """(model, condition): both conditions of every model, whether or not there are samples; ``models`` (model) names those without any."""
+    named = samples.select("model") if models is None else samples.select("model").unionByName(models.select("model"))
+    return named.distinct().crossJoin(F.broadcast(samples.sparkSession.createDataFrame([(c,) for c in CONDITIONS], "condition string")))
 
 
-def accounting(samples: DataFrame) -> DataFrame:
+def accounting(samples: DataFrame, models: DataFrame | None = None) -> DataFrame:
     """(model, condition, attempted, errored, extraction_failed, scored); ``kind`` of a sample is html or error."""
     good = (F.col("kind") == "html") & F.expr(usable(SPARK, "coalesce(html, '')"))
     counts = samples.groupBy(*KEYS).agg(F.count("*").alias("attempted"), F.count_if(F.col("kind") == "error").alias("errored"), F.count_if((F.col("kind") == "html") & ~good).alias("extraction_failed"), F.count_if(good).alias("scored"))
     columns = ("attempted", "errored", "extraction_failed", "scored")
-    return dense_cells(samples).join(counts, KEYS, "left").select(*KEYS, *(F.coalesce(c, F.lit(0)).alias(c) for c in columns))
+    return dense_cells(samples, models).join(counts, KEYS, "left").select(*KEYS, *(F.coalesce(c, F.lit(0)).alias(c) for c in columns))
 
 
 def scored_samples(samples: DataFrame, overrides: DataFrame | None = None, rules: list | None = None) -> DataFrame:
     """(model, condition, sample_id, n_tells, n_violations, tells) of usable samples; a tell is a rule that fired."""
     good = samples.where((F.col("kind") == "html") & F.expr(usable(SPARK, "coalesce(html, '')")))
     ids = [*KEYS, "sample_id"]
-    found = lint(good.select(*ids, "html"), rules, overrides, ids).groupBy(*ids).agg(F.array_sort(F.collect_set("rule_id")).alias("tells"), F.count("*").alias("n_violations"))
-    return good.select(*ids).join(found, ids, "left").select(*ids, F.coalesce(F.size("tells"), F.lit(0)).alias("n_tells"), F.coalesce("n_violations", F.lit(0)).alias("n_violations"), F.coalesce("tells", F.array().cast("array<string>")).alias("tells"))
+    found = finding_arrays(good.select(*ids, "html"), rules, overrides, ids)
+    return found.select(*ids, F.expr("array_sort(array_distinct(transform(findings, x -> x.rule_id)))").alias("tells"), F.size("findings").cast("bigint").alias("n_violations")).select(*ids, F.size("tells").alias("n_tells"), "n_violations", "tells")
 
 
-def cells(samples: DataFrame, scored: DataFrame) -> DataFrame:
+def cells(samples: DataFrame, scored: DataFrame, models: DataFrame | None = None) -> DataFrame:
     """``accounting`` with ``mean_tells``."""
     sums = scored.groupBy(*KEYS).agg(F.sum("n_tells").alias("t"))
-    return accounting(samples).join(sums, KEYS, "left").withColumn("mean_tells", F.coalesce("t", F.lit(0)) / F.greatest(F.lit(1), "scored")).drop("t")
+    return accounting(samples, models).join(sums, KEYS, "left").withColumn("mean_tells", F.coalesce("t", F.lit(0)) / F.greatest(F.lit(1), "scored")).drop("t")
 
 
 def tell_frequency(scored: DataFrame) -> DataFrame:
@@ -72,6 +73,17 @@ def canonical(cells: DataFrame, manifest: DataFrame) -> DataFrame:
     return cells.join(first, cells["model"] == first["sanitized_id"], "left").withColumn("canonical_id", F.coalesce("canonical_id", "model")).drop("sanitized_id")
 
 
+def first_seen(rows: DataFrame, order: str, key: str = "model") -> DataFrame:
+    """(key, rank): each once, ranked from 1 by where it is first seen in ``order``."""
+    first = rows.groupBy(key).agg(F.min(order).alias("__at"))
+    return first.select(key, F.row_number().over(Window.orderBy("__at", key)).alias("rank"))  # models are few
+
+
+def request_ids(responses: DataFrame) -> DataFrame:
+    """(canonical_id, ids, conditions): the request ids of each model, in order, and the conditions that it was run under."""
+    return responses.groupBy("canonical_id").agg(F.array_sort(F.collect_list("request_id")).alias("ids"), F.array_sort(F.collect_set("condition")).alias("conditions"))
+
+
 def upsert_manifest(previous: DataFrame, new: DataFrame, key: str = "sanitized_id") -> DataFrame:
     """What ``previous`` has of models that weren't run again, and ``new``."""
     return previous.join(new.select(key).distinct(), key, "left_anti").select(*new.columns).unionByName(new)

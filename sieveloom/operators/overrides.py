@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sieveloom.functions.dialect import SPARK, Dialect
@@ -22,8 +22,12 @@ def applied(rules: list, overrides: DataFrame | dict[str, str] | None) -> list:
     if overrides is None:
         return list(rules)
     if not isinstance(overrides, dict):
-        wanted = [r.rule_id for r in rules]
-        overrides = dict(overrides.where(F.col("rule_id").isin(wanted)).select("rule_id", "severity").collect())
+        wanted = overrides.where(F.col("rule_id").isin([r.rule_id for r in rules]))
+        if "ord" in overrides.columns:
+            wanted = last_of_each(wanted, "ord")
+        elif wanted.groupBy("rule_id").count().where("count > 1").count():
+            raise ValueError("a rule is overridden twice: the order must be in a column ord")
+        overrides = dict(wanted.select("rule_id", "severity").collect())
     return [replace(r, severity=overrides.get(r.rule_id, r.severity)) for r in rules if overrides.get(r.rule_id) != "off"]
 
 
@@ -79,7 +83,3 @@ def effective_rules(rules: DataFrame, overrides: DataFrame, order: str = "ord")
     """The catalogue as overridden, with ``is_overridden``."""
     last = last_of_each(overrides, order).select(F.col("rule_id"), F.col("severity").alias("__severity"))
     return rules.join(last, "rule_id", "left").where("__severity is null or __severity <> 'off'").select("rule_id", F.coalesce("__severity", "severity").alias("severity"), F.col("__severity").isNotNull().alias("is_overridden"))
-
-
-def numbered(overrides: DataFrame, *order: str) -> DataFrame:
-    return overrides.withColumn("ord", F.row_number().over(Window.orderBy(*order)))

@@ -196,13 +196,13 @@ RULES = [
     Rule("no-default-spline", "warn", "A stock three-dimensional scene.", ("spline", "iridescent"), _all(*(_each("html", p, 80) for p in (r"spline\.design/[^\x22\x27]+default", r"prod\.spline\.design/\w+/scene\.splinecode", r"iridescent-?blob", r"orb\.splinecode")))),
     Rule("pricing-not-three", "info", "Three price tiers with a favourite.", ("pricing",), _each("html", _element(("section", "div"), r"[^>]*(?:class|id)\s*=\s*\x22[^\x22]*pricing[^\x22]*\x22[^>]*"), None, lambda d, m: f"{d.has(d.sub(m, '^<[^>]*>', ''), r'recommended|best[\s-]?value|most[\s-]?popular')} and {d.size(d.all(d.sub(m, '^<[^>]*>', ''), r'\bplan\b|\btier\b'))} >= 3")),
     Rule("footer-not-four-col", "info", "A footer of the usual four columns.", ("<footer",), _each("html", r"<footer\b[\s\S]*?</footer>", None, lambda d, m: f"{d.n_of(m, [rf'\b{w}\b' for w in ('Product', 'Company', 'Resources', 'Legal')])} >= 3")),
-    Rule("motion-has-intent", "warn", "Much motion without a declared reason.", ("animate", "data-aos", "motion"), _once(lambda d: f"{d.size(d.all('csh', r'\b(?:data-aos|framer-motion|(?:animate|motion)-(?:slide|fade)-up|(?:animate|initial)=\{)\b'))} >= 4 and not {d.has('csh', 'delayChildren|stagger-|data-(?:aos-delay|motion)')}")),
+    Rule("motion-has-intent", "warn", "Much motion without a declared reason.", ("animate", "data-aos", "motion", "initial"), _once(lambda d: f"{d.size(d.all('csh', r'\b(?:data-aos|framer-motion|(?:animate|motion)-(?:slide|fade)-up|(?:animate|initial)=\{)\b'))} >= 4 and not {d.has('csh', 'delayChildren|stagger-|data-(?:aos-delay|motion)')}")),
     Rule("no-fake-trust-bar", "info", "A strip of logos under a claim of trust.", ("trusted by", "backed by", "as seen in", "featured in"), _each("html", r"(?:as seen in|backed by|featured in|trusted by)[\s\S]{0,400}", None, lambda d, m: f"{d.size(d.all(m, r'<img\b|<svg\b'))} >= 3")),
     Rule("cta-not-canonical", "info", "A gradient button with an arrow.", ("bg-gradient-", "from-"), _each("html", _element(("a", "button"), rf"[^>]*{_CLASS}[^\x22]*(?:from-\w+-\d+|bg-gradient-)[^\x22]*\x22[^>]*", r"[\s\S]{0,300}?(?:\x{2192}|&rarr;|<svg[^>]*(?:chevron|arrow)[^>]*>)"), 120)),
-    Rule("tracking-per-size", "warn", "Large or all-caps type without its own tracking."),
+    Rule("tracking-per-size", "warn", "Large or all-caps type without its own tracking.", ("font-size", "text-transform")),
     Rule("radius-hierarchy", "warn", "One corner radius for all kinds of parts.", ("radius", "rounded"), _radius_hierarchy),
     Rule("no-inline-style-animation", "error", "Motion declared in a style attribute.", ("animation", "transition"), _each("html", r"\bstyle\s*=\s*(?:\x22[^\x22]*\b(?:animation|transition)\s*:[^\x22]*\x22|\x27[^\x27]*\b(?:animation|transition)\s*:[^\x27]*\x27)", 140)),
-    Rule("no-em-dashes-in-prose", "warn", "A long dash in running text."),
+    Rule("no-em-dashes-in-prose", "warn", "A long dash in running text.", ("—", "&")),
     Rule("a11y/img-without-alt", "error", "An image without alternative text.", ("<img",), _each("html", r"<img\b[^>]*>", 140, lambda d, m: "not " + d.has(m, r"\balt\s*="))),
     Rule("a11y/button-without-label", "error", "A button without a name.", ("<button",), _each("html", r"<button\b[^>]*>[\s\S]*?</button>", 140, _no_name)),
     Rule("a11y/link-without-text", "error", "A link without a name.", ("<a",), _each("html", r"<a\b[^>]*>[\s\S]*?</a>", 140, lambda d, m: f"{d.has(d.one(m, '^<[^>]*>'), r'\bhref\s*=')} and {_no_name(d, m)}")),
