@@ -49,6 +49,24 @@ def manifest_problems(manifest: DataFrame) -> DataFrame:
     return manifest.select(F.explode(F.array_compact(F.concat(top, F.flatten(inner)))).alias("problem")).distinct()
 
 
+def prose_column(intent, audience, surfaces, must_include, must_avoid):
+    """``as_prose`` as a column of the parts' columns; null and empty parts are left out."""
+    some = lambda c: F.size(F.coalesce(c, F.array().cast("array<string>"))) > 0
+    listed = lambda head, c: F.when(some(c), F.concat(F.lit(f"{head}\n- "), F.array_join(c, "\n- ")))
+    return F.concat_ws("\n", F.concat(F.lit("Design intent: "), F.trim(intent)), F.when(audience != "", F.concat(F.lit("Audience: "), F.trim(audience))), F.when(some(surfaces), F.concat(F.lit("Surfaces: "), F.array_join(surfaces, ", "))), listed("Must include:", must_include), listed("Must avoid:", must_avoid))
+
+
+def issue_groups(issues: DataFrame) -> DataFrame:
+    """(field, n): missing fields (path) of a submission, with the numbers of models left out, and how often each is missing."""
+    return issues.groupBy(F.regexp_replace("path", r"^models\.\d+\.", "models[].").alias("field")).agg(F.count("*").alias("n"))
+
+
+def critic_prompts(rules: DataFrame) -> DataFrame:
+    """(prompt): ``critic_prompt`` of a table of rules, by id. Rules are a small table."""
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rule_id", "description"))), lambda r: F.concat(F.lit("- "), r["rule_id"], F.lit(": "), r["description"])), "\n")
+    return rules.agg(F.concat(F.lit(_CRITIC + "\n"), lines).alias("prompt"))
+
+
 def as_prose(brief: dict) -> str:
     parts = [f"Design intent: {brief['intent'].strip()}"]
     parts += [f"Audience: {brief['audience'].strip()}"] if brief.get("audience") else []
@@ -82,6 +100,9 @@ def image_prompt(brief: dict, style: dict, most: int = 2000) -> dict[str, str]:
     return {"raw": as_prose(brief)[:most], "compiled": ". ".join(p for p in parts if p)[:most]}
 
 
+_CRITIC = 'Look at the image and say which of these apply. Answer with JSON: {"fired": [ids], "rationale": {id: reason}}.'
+
+
 def critic_prompt(rules: list[tuple[str, str]]) -> str:
     listed = "\n".join(f"- {i}: {d}" for i, d in rules)
-    return f'Look at the image and say which of these apply. Answer with JSON: {{"fired": [ids], "rationale": {{id: reason}}}}.\n{listed}'
+    return f"{_CRITIC}\n{listed}"

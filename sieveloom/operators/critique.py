@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -60,6 +62,23 @@ def image_cells(samples: DataFrame) -> DataFrame:
     return samples.groupBy("model", "condition").agg(F.count("*").alias("attempted"), F.count_if(F.col("status") == "error").alias("errored"), F.count_if(ok).alias("critiqued"), (F.coalesce(F.sum(F.when(ok, F.col("n_violations"))), F.lit(0)) / F.greatest(F.lit(1), F.count_if(ok))).alias("mean_tells"))
 
 
+def image_frequency(found: DataFrame, samples: DataFrame) -> DataFrame:
+    """(model, condition, rule_id, frequency): findings of a rule over a cell's critiqued samples. Every finding counts, so it can be beyond 1."""
+    n = samples.groupBy("model", "condition").agg(F.count_if(F.col("status") == "critiqued").alias("n"))
+    counts = found.groupBy("model", "condition", "rule_id").agg(F.count("*").alias("c"))
+    return counts.join(n, ["model", "condition"]).select("model", "condition", "rule_id", F.coalesce(F.try_divide("c", "n"), F.lit(0.0)).alias("frequency"))
+
+
+def critic_of(spec: str | None, critics: dict) -> Callable:
+    """The critic of a name, from those given (a critic is a function of a sample's fields that returns a text); without a name, the first."""
+    if not critics:
+        raise ValueError("no critics")
+    name = spec or next(iter(critics))
+    if name not in critics:
+        raise ValueError(f"unknown critic {name}; there are: {', '.join(critics)}")
+    return critics[name]
+
+
 def image_deltas(cells: DataFrame) -> DataFrame:
     """(model, raw_mean, compiled_mean, delta, reduction_pct, is_inconclusive). The percentage stands even if one side has no data; the flag says so."""
     side = lambda c, k: F.coalesce(F.max(F.when(F.col("condition") == c, F.col(k))), F.lit(0))

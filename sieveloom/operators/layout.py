@@ -5,6 +5,8 @@ Elements are in document order by ``node_id``; limits are part of the rules.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,6 +67,28 @@ def list_marks(elements: DataFrame, n: int = 6, most: float = 2) -> DataFrame:
     return _first(bad, n).select("page", "node_id", "spread")
 
 
+def audit(elements: DataFrame, corpus: DataFrame | None = None) -> DataFrame:
+    """(page, rule_id, severity, node_id, message): the findings of all layout rules as one table. ``corpus`` (page, html) adds the rule on the source.
+
+    A rule that can't be planned gives one finding, an error without a page, that says so; the others go on.
+    """
+    from sieveloom.operators.catalogue import MOBILE_RULES
+
+    spark = elements.sparkSession
+    rules = {"mobile/no-horizontal-overflow": lambda: overflow(elements), "mobile/tap-target-size": lambda: tap_targets(elements), "mobile/body-font-size": lambda: body_font(elements), "mobile/scrollable-no-affordance": lambda: hidden_scroll(elements), "mobile/list-mark-alignment": lambda: list_marks(elements)}
+    if corpus is not None:
+        rules["mobile/viewport-meta-present"] = lambda: no_viewport(corpus).select("page", F.lit(None).alias("node_id"))
+    parts = []
+    for rule_id, severity, _, description in MOBILE_RULES:
+        if rule_id in rules:
+            try:
+                found = rules[rule_id]().select("page", F.lit(rule_id).alias("rule_id"), F.lit(severity).alias("severity"), F.col("node_id").cast("bigint").alias("node_id"), F.lit(description).alias("message"))
+            except Exception as e:
+                found = spark.createDataFrame([(rule_id, "error", f"rule threw: {str(e).splitlines()[0][:200]}")], "rule_id string, severity string, message string").select(F.lit(None).cast(elements.schema["page"].dataType).alias("page"), "rule_id", "severity", F.lit(None).cast("bigint").alias("node_id"), "message")
+            parts.append(found)
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
 def no_viewport(corpus: DataFrame) -> DataFrame:
     """``corpus`` less the pages whose source has a viewport of the device's width: as far as source can tell."""
     meta = r"(?i)<meta(?=[^>]*\bname\s*=\s*[\"']?viewport)(?=[^>]*width\s*=\s*device-width)[^>]*>"

@@ -24,6 +24,19 @@ def without_record(reports: DataFrame, records: DataFrame) -> DataFrame:
     return reports.join(records.select(F.regexp_replace("path", r"\.replay\.json$", ".md").alias("path")), "path", "left_anti")
 
 
+def backfill(reports: DataFrame, records: DataFrame) -> DataFrame:
+    """(path, state) of each report (path, content): skipped if there is a record beside it, failed if its head can't be read, else written."""
+    known = records.select(F.regexp_replace("path", r"\.replay\.json$", ".md").alias("path"), F.lit(True).alias("known")).distinct()
+    read = headers(reports).join(known, "path", "left")
+    bad = F.col("kind").isNull() | F.col("style").isNull() | F.col("run_at").isNull()
+    return read.select("path", F.when(F.col("known"), "skipped").when(bad, "failed").otherwise("written").alias("state"))
+
+
+def backfill_counts(states: DataFrame) -> DataFrame:
+    """(scanned, written, skipped, failed) in one row."""
+    return states.agg(F.count("*").alias("scanned"), *(F.count_if(F.col("state") == s).alias(s) for s in ("written", "skipped", "failed")))
+
+
 def last_message(outputs: DataFrame, text: str = "stdout") -> DataFrame:
     """``outputs`` with ``message``: the last event of an agent that has text; without one, the whole output. Lines that aren't JSON are passed over."""
     said = F.filter(F.transform(F.filter(F.split(text, "\n"), lambda x: F.startswith(F.ltrim(x), F.lit("{"))), _event), lambda x: x != "")

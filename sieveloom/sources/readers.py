@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import json
 import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SKIPPED = ("node_modules", "dist-types", "coverage", "build-cache", "vendor", "out-tsc")
-OVERRIDES = "project string, overrides array<struct<rule_id: string, severity: string, reason: string>>"
+OVERRIDES = "project string, overrides array<struct<ruleId: string, severity: string, reason: string>>"
 MANIFEST = "token string, briefPath string, n int, maxTokens int, runAt string, models array<struct<spec: string, canonicalId: string, sanitizedId: string, provider: string, addedAt: string, note: string>>"
 RECORD = "schema_version int, kind string, invoked_at string, argv array<string>, token struct<path: string, hash: string>, brief struct<path: string, hash: string>, sampling struct<n: int, temperature: double, seed: int>, models array<struct<id: string, provider: string, provider_request_ids: array<string>>>, conditions struct<requested: array<string>, effective: array<string>>, backfilled boolean, _corrupt string"
 
@@ -65,9 +64,32 @@ def images(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", F.base64("content").alias("base64"), mime.alias("mime"))
 
 
+def models(spark: SparkSession, root: str) -> DataFrame:
+    """(model) of the folders under ``root``, those without samples too."""
+    names = sorted(n for n in os.listdir(root) if os.path.isdir(os.path.join(root, n))) if os.path.isdir(root) else []
+    return spark.createDataFrame([(n,) for n in names], "model string")
+
+
+def critique_samples(spark: SparkSession, root: str) -> DataFrame:
+    """The pages among ``samples``: what a critic is shown."""
+    return samples(spark, root).where("kind = 'html'")
+
+
 def overrides(spark: SparkSession, path: str) -> DataFrame:
-    """(rule_id, severity, reason, ord) of a JSON configuration, in its order."""
-    return spark.read.schema(OVERRIDES).json(path, multiLine=True).select(F.posexplode("overrides").alias("ord", "o")).select("o.*", "ord")
+    """(rule_id, severity, reason, ord) of a JSON configuration, in its order; one that isn't valid is refused as it is loaded.
+
+    ``ruleId`` in a file has a name space before the rule's own id, which is cut.
+    """
+    from sieveloom.operators.overrides import validated
+
+    read = spark.read.schema(OVERRIDES + ", _corrupt string").option("columnNameOfCorruptRecord", "_corrupt").json(path, multiLine=True)
+    if any(r["_corrupt"] is not None for r in read.select("project", "_corrupt").collect()):
+        raise ValueError(f"{path}: not a JSON object")
+    rows = read.select(F.posexplode("overrides").alias("ord", "o")).select(F.col("o.ruleId").alias("rule_id"), "o.severity", "o.reason", "ord")
+    bad = validated(rows).where("problem is not null or rule_id not like '_%/_%'").orderBy("ord").head()  # a configuration is a small file
+    if bad:
+        raise ValueError(f"{path}: overrides[{bad['ord']}]: {bad['problem'] or 'rule id without a name space'}")
+    return rows.withColumn("rule_id", F.regexp_replace("rule_id", "^[^/]+/", ""))
 
 
 def find_config(folder: str, names: tuple[str, ...] = ("lint.config.json", ".lintrc.json")) -> str | None:
@@ -112,7 +134,7 @@ def styles(folder: str) -> list[str]:
 
 
 def yaml_rows(files: DataFrame) -> DataFrame:
-    """(path, value, error): each file's content as JSON, or why it can't be read."""
+    """(path, value, error, ok): each file's content as JSON, or why it can't be read."""
     from collections.abc import Iterator
 
     import pyarrow as pa
@@ -134,9 +156,4 @@ def yaml_rows(files: DataFrame) -> DataFrame:
                     errors.append(str(e).splitlines()[0])
             yield pa.RecordBatch.from_arrays([b.column("path"), pa.array(values, pa.string()), pa.array(errors, pa.string())], ["path", "value", "error"])
 
-    return files.select("path", "content").mapInArrow(run, "path string, value string, error string")
-
-
-def load_json(path: str) -> dict:
-    with open(path, encoding="utf-8") as f:
-        return json.load(f)
+    return files.select("path", "content").mapInArrow(run, "path string, value string, error string").withColumn("ok", F.col("error").isNull())
