@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sieveloom.plans import analysis_queries, rule_queries
+from sieveloom.plans import analysis_queries, rule_queries, workflow_queries
 
-QUERIES = {**rule_queries.QUERIES, **analysis_queries.QUERIES}
-ORACLES = {**rule_queries.ORACLES, **analysis_queries.ORACLES}
+QUERIES = {**rule_queries.QUERIES, **analysis_queries.QUERIES, **workflow_queries.QUERIES}
+ORACLES = {**rule_queries.ORACLES, **analysis_queries.ORACLES, **workflow_queries.ORACLES}

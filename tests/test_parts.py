@@ -78,7 +78,7 @@ def test_manifest_and_overrides(spark, tmp_path):
     assert readers.manifest(spark, str(tmp_path / "none.json")).count() == 0
     (tmp_path / "m.json").write_text(json.dumps({"token": "t", "models": [{"spec": "s", "sanitizedId": "a", "canonicalId": "A"}]}))
     assert readers.manifest(spark, str(tmp_path / "m.json")).first()["canonicalId"] == "A"
-    (tmp_path / "lint.config.json").write_text(json.dumps({"overrides": [{"rule_id": "r", "severity": "off", "reason": "because of it"}]}))
+    (tmp_path / "lint.config.json").write_text(json.dumps({"overrides": [{"ruleId": "ns/r", "severity": "off", "reason": "because of it"}]}))
     assert readers.find_config(str(tmp_path)).endswith("lint.config.json")
     assert readers.overrides(spark, readers.find_config(str(tmp_path))).first()["severity"] == "off"
 
