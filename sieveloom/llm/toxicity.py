@@ -8,10 +8,12 @@ features. A text's score is a sum over its distinct terms, so whole texts of
 any length are scored from whole words, in NumPy.
 
 ``fit`` uses at most ``max_rows`` labelled documents (the ones whose ids hash
-lowest), the documented bound of the training sample. Scoring reads all rows.
+lowest), the documented bound of the training sample. Their features stay on the
+executors: each step sums the gradient by partition, so no task holds the sample,
+however long its texts are. Scoring reads all rows.
 
 A label row counts if it has a ``doc_id``, a 0 or 1 in ``toxic``, and a document
-with that id; repeated labels count once, as toxic if any of them says so. With no label of
+with that id; repeated labels count once, as toxic if any of them says so, and a labelled id with several texts counts with the one whose hash is least. With no label of
 one of the two classes there is nothing to learn: every score is 0 and nothing is rejected.
 Null, empty and termless texts score 0; a text that shares no n-gram with two labelled ones scores below 0.5, as the bias is held under ``BIAS_LIMIT``. A document is rejected if its score is
 at least ``threshold``.
@@ -23,15 +25,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sieveloom.llm.common import table
+from sieveloom.llm.common import drop_stash, slices, stash, table, tree_sum
 from sieveloom.llm.textarrays import TERMS, Tokens, mix64, tokenize
 
 DIMENSIONS = 1 << 18
 SIZES = (3, 4, 5, 6)
 MAX_ROWS = 8000
+FIT_TASKS = 8
+PASSES = 24
 THRESHOLD = 0.5
 BIAS_LIMIT = -0.1
 _Q = np.uint64(0x9E3779B97F4A7C15)
@@ -91,7 +96,7 @@ def features(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
     out = []
     for t in tokenize(column, TERMS):
         if not len(t.hash):
-            out += [(np.zeros(0, np.int32), np.zeros(0, np.uint16))] * t.n_docs
+            out += [(np.zeros(0, np.int32), np.zeros(0, np.int32))] * t.n_docs
             continue
         doc, word, at, n = _distinct_words(t)
         w, f = _ngrams(t, at)
@@ -105,92 +110,146 @@ def features(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
             total = np.cumsum(size)
             i = np.arange(total[-1] if len(total) else 0) - np.repeat(total - size, size) + np.repeat(begin[of], size)
             feature, value = np.unique(f[i], return_counts=True)
-            out.append((feature.astype(np.int32), np.minimum(value, 65535).astype(np.uint16)))
+            out.append((feature.astype(np.int32), value.astype(np.int32)))
     return out
 
 
-#: Rows are fitted in groups of about so many features, so that what is made on the way stays small.
-_CHUNK = 1 << 18
-
-
-def train(y: np.ndarray, f: np.ndarray, v: np.ndarray, size: np.ndarray, epochs: int = 60, alpha: float = 1.0, ridge: float = 1e-5, rate: float = 0.05) -> tuple[np.ndarray, float]:
-    """Weights (the naive Bayes ratios included) and bias from the rows' labels, and their features and values one after the other, ``size`` of them each."""
-    n = len(y)
-    if not n or y.min() == y.max():
-        return np.zeros(DIMENSIONS, np.float32), -40.0
-    stop = np.concatenate([[0], np.cumsum(size)])
-    parts, i = [], 0
-    while i < n:
-        j = max(i + 1, int(np.searchsorted(stop, stop[i] + _CHUNK, "right")) - 1)
-        parts.append((slice(i, j), slice(stop[i], stop[j]), np.repeat(np.arange(j - i, dtype=np.int32), size[i:j])))
-        i = j
-    p, q, rows = np.full(DIMENSIONS, alpha), np.full(DIMENSIONS, alpha), np.zeros(DIMENSIONS, np.int64)
-    for d, e, row in parts:
-        p += np.bincount(f[e], v[e] * y[d][row], DIMENSIONS)
-        q += np.bincount(f[e], v[e] * (1 - y[d][row]), DIMENSIONS)
-        rows += np.bincount(f[e], minlength=DIMENSIONS)
-    ratio = (np.log(p / p.sum()) - np.log(q / q.sum())).astype(np.float32)
-    ratio[rows < 2] = 0
-    x = v.astype(np.float32)
-    for _, e, _ in parts:
-        x[e] *= ratio[f[e]]
-    power = sum(float((np.bincount(row, x[e].astype(np.float64) ** 2)).sum()) for _, e, row in parts)
-    scale = 1 / max(1e-9, (power / n) ** 0.5)
-    x *= np.float32(scale)
-    w, b = np.zeros(DIMENSIONS, np.float32), 0.0
-    weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))  # both classes count alike
-    m, s, mb, sb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
-    for k in range(1, epochs + 1):  # full-batch Adam: the same sample gives the same weights
-        total, gb = np.zeros(DIMENSIONS), 0.0
-        for d, e, row in parts:
-            z = np.bincount(row, x[e] * w[f[e]], d.stop - d.start) + b
-            g = weight[d] * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y[d])
-            total += np.bincount(f[e], x[e] * g.astype(np.float32)[row], DIMENSIONS)
-            gb += float(g.sum()) / n
-        gw = (total / n + ridge * w).astype(np.float32)
-        m, s = 0.9 * m + 0.1 * gw, 0.99 * s + 0.01 * gw * gw
-        mb, sb = 0.9 * mb + 0.1 * gb, 0.99 * sb + 0.01 * gb * gb
-        step = rate * 10 if k < epochs * 2 // 3 else rate
-        w = w - step * (m / (1 - 0.9**k)) / (np.sqrt(s / (1 - 0.99**k)) + 1e-8)
-        # without evidence a text isn't toxic, however few the clean labels
-        b = min(BIAS_LIMIT, b - step * (mb / (1 - 0.9**k)) / (np.sqrt(sb / (1 - 0.99**k)) + 1e-8))
-    return w * ratio * np.float32(scale), b
-
-
 def sample(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
     """(doc_id, toxic, text) of the labelled documents to train on: at most ``max_rows``, the same at every run."""
     there = docs.select(F.col("doc_id").cast("bigint").alias("doc_id")).where("doc_id is not null")  # a label without its document takes no place in the sample
     known = labels.select(F.col("doc_id").cast("bigint"), F.col("toxic").cast("int")).where("doc_id is not null and toxic in (0, 1)").join(there, "doc_id", "left_semi").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     # the sample is bounded by max_rows whatever the tables hold: 12 bytes a row
-    return texts.join(F.broadcast(known) if max_rows <= 200_000 else known, "doc_id")
+    found = texts.join(F.broadcast(known) if max_rows <= 200_000 else known, "doc_id")
+    return found.groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> tuple[np.ndarray, float]:
-    """The model; features are taken on the executors and the fit runs in one task, so the driver only gets the weights."""
+#: Rows are worked on in groups of about so many features, so that what is made on the way stays small.
+_CHUNK = 1 << 18
+_SLICES = 8
+_MEMORY = 8  # steps that L-BFGS looks back
 
-    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def feature_rows(sampled: DataFrame, tasks: int = FIT_TASKS) -> DataFrame:
+    """(toxic, size, f binary, v binary) of groups of rows, stashed: their features and values one after the other, ``size`` of them each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = features(b.column("text"))
-            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "toxic": b.column("toxic"), "f": pa.array([x[0].tobytes() for x in found], pa.binary()), "v": pa.array([x[1].tobytes() for x in found], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"toxic": b.column("toxic"), "f": pa.array([x[0].tobytes() for x in found], pa.binary()), "v": pa.array([x[1].tobytes() for x in found], pa.binary())})
 
-    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, labels, f, v = [], [], [], []
+    rows = sampled.repartition(tasks, "doc_id").sortWithinPartitions("doc_id")
+    return stash(rows.select("toxic", "text").mapInArrow(run, "toxic int, f binary, v binary"))
+
+
+def _groups(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(labels, features, values, row of each) of some rows at a time."""
+    size = pc.binary_length(b.column("f")).to_numpy(zero_copy_only=False).astype(np.int64) // 4
+    stop = np.concatenate([[0], np.cumsum(size)])
+    i = 0
+    while i < b.num_rows:
+        j = max(i + 1, int(np.searchsorted(stop, stop[i] + _CHUNK, "right")) - 1)
+        f, v = (np.concatenate([np.frombuffer(x.as_buffer(), np.int32) for x in b.column(c)[i:j]]) for c in ("f", "v"))
+        yield b.column("toxic")[i:j].to_numpy(zero_copy_only=False).astype(np.float64), f, v, np.repeat(np.arange(j - i), size[i:j])
+        i = j
+
+
+def _summed(rows: DataFrame, size: int, add) -> np.ndarray:
+    """The sum over partitions of what ``add(total, group)`` gathers in a vector of ``size`` numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size)
         for b in batches:
-            ids += b.column("doc_id").to_pylist()
-            labels += b.column("toxic").to_pylist()
-            f += [np.frombuffer(x.as_buffer(), np.int32).copy() for x in b.column("f")]
-            v += [np.frombuffer(x.as_buffer(), np.uint16).copy() for x in b.column("v")]
-        at = sorted({i: k for k, i in sorted(enumerate(ids), key=lambda x: (labels[x[0]], v[x[0]].tobytes()))}.items())
-        order = [k for _, k in at][:max_rows]
-        y, size = np.array([labels[k] for k in order], np.float64), np.array([len(f[k]) for k in order], np.int64)
-        f, v = np.concatenate([np.zeros(0, np.int32), *(f[k] for k in order)]), np.concatenate([np.zeros(0, np.uint16), *(v[k] for k in order)])
-        w, bias = train(y, f, v, size)
-        yield pa.RecordBatch.from_pydict({"w": pa.array([w.tobytes()], pa.binary()), "bias": pa.array([float(bias)])})
-
-    found = sample(docs, labels, max_rows).select("doc_id", "toxic", "text").mapInArrow(extract, "doc_id bigint, toxic int, f binary, v binary")
-    got = found.repartition(1).mapInArrow(learn, "w binary, bias double").first()
-    return np.frombuffer(got["w"], np.float32), float(got["bias"])
+            for group in _groups(b):
+                add(total, *group)
+        yield slices(total, _SLICES)
+
+    return tree_sum(rows.mapInArrow(run, "slice int, part binary"), "float64", size)
+
+
+def train(rows: DataFrame, passes: int = PASSES, alpha: float = 1.0, ridge: float = 1e-5) -> tuple[np.ndarray, float]:
+    """Weights (the naive Bayes ratios included) and bias from ``feature_rows``, in ``passes`` passes over them.
+
+    The loss of a logistic regression in which both classes count alike is lowered
+    by L-BFGS (Liu and Nocedal, 1989), each step and each trial of a shorter one being a pass.
+    """
+    d = DIMENSIONS
+
+    def counts(total, y, f, v, row):
+        total[:d] += np.bincount(f, v * y[row], d)
+        total[d : 2 * d] += np.bincount(f, v * (1 - y[row]), d)
+        total[2 * d : 3 * d] += np.bincount(f, minlength=d)
+        total[3 * d :] += len(y), y.sum()
+
+    got = _summed(rows, 3 * d + 2, counts)
+    n, positive = got[3 * d :]
+    if positive in (0, n):
+        return np.zeros(d, np.float32), -40.0
+    p, q = got[:d] + alpha, got[d : 2 * d] + alpha
+    ratio = np.log(p / p.sum()) - np.log(q / q.sum())
+    ratio[got[2 * d : 3 * d] < 2] = 0
+    sc = rows.sparkSession.sparkContext
+
+    def squares(total, y, f, v, row, ratio=sc.broadcast(ratio)):
+        total[0] += ((v * ratio.value[f]) ** 2).sum()
+
+    ratio = ratio / max(1e-9, (_summed(rows, 1, squares)[0] / n) ** 0.5)
+    both = 0.5 / (1 - positive / n), 0.5 / (positive / n)
+
+    def bias(c: float) -> float:
+        """Without evidence a text isn't toxic, however few the clean labels."""
+        return BIAS_LIMIT - float(np.logaddexp(0, c))
+
+    def loss(x: np.ndarray) -> tuple[float, np.ndarray]:
+        w, c = x[:d], x[d]
+        sent = sc.broadcast(((w * ratio).astype(np.float32), bias(c)))
+
+        def add(total, y, f, v, row, sent=sent):
+            weights, bias = sent.value
+            z = np.clip(np.bincount(row, v * weights[f], len(y)) + bias, -500, 500)
+            count = np.where(y == 1, both[1], both[0])
+            g = count * (1 / (1 + np.exp(-z)) - y)
+            total[:d] += np.bincount(f, v * g[row], d)
+            total[d:] += g.sum(), (count * np.logaddexp(0, np.where(y == 1, -z, z))).sum()
+
+        got = _summed(rows, d + 2, add) / n
+        sent.unpersist()
+        slope = -got[d] / (1 + np.exp(-c))
+        return float(got[d + 1] + ridge / 2 * (w @ w)), np.append(ratio * got[:d] + ridge * w, slope)
+
+    x = np.append(np.zeros(d), -3.0)
+    value, g = loss(x)
+    left, pairs = passes - 1, []
+    while left:
+        q, factors = g.copy(), []
+        for s, y in reversed(pairs):
+            factors.append((s @ q) / (s @ y))
+            q -= factors[-1] * y
+        q *= (pairs[-1][0] @ pairs[-1][1]) / (pairs[-1][1] @ pairs[-1][1]) if pairs else 1 / max(1e-12, float(np.linalg.norm(g)))
+        for (s, y), a in zip(pairs, reversed(factors), strict=True):
+            q += s * (a - (y @ q) / (s @ y))
+        step, slope, new = 1.0, float(g @ q), None
+        while left:
+            left -= 1
+            new = loss(x - step * q)
+            if new[0] <= value - 1e-4 * step * slope:
+                break
+            step, new = step / 3, None
+        if new is None:
+            break
+        s, y = -step * q, new[1] - g
+        if s @ y > 1e-12:
+            pairs = [*pairs[1 - _MEMORY :], (s, y)]
+        x, (value, g) = x + s, new
+    return (x[:d] * ratio).astype(np.float32), bias(x[d])
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> tuple[np.ndarray, float]:
+    """The model; the driver gets sums of a fixed size only."""
+    rows = feature_rows(sample(docs, labels, max_rows))
+    model = train(rows)
+    drop_stash(rows)
+    return model
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], name: str = "toxicity") -> DataFrame:
