@@ -12,7 +12,9 @@ words by the most probable segmentation under a unigram model:
   goes first.
 
 Only the substrings of names are looked up among the counted words, by a join:
-neither the words nor the names are ever broadcast or collected.
+neither the words nor the names are ever broadcast or collected. Substrings of up to
+``PREFIX`` letters are looked up whole, the longer words by their first ``PREFIX``
+letters, so words of any length are found without a name's square of substrings.
 
 The classifier is trained on weak labels: a URL whose host has one of ``SEEDS``
 as a delimited part is unwanted, all others count as wanted. (A table of labels
@@ -24,7 +26,7 @@ Null URLs, and URLs without host, have null scores and aren't unwanted; so has
 every URL where the labels have one class only. Null pages have no text. Rows
 without ``page_id`` are left out of the result but count for the model; rows that repeat a
 ``page_id`` have a row for each distinct URL. Names of any length are split
-whole; words have at most ``MAX_WORD`` letters. An empty table gives no rows.
+whole, into words of any length. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -40,7 +42,7 @@ from pyspark.sql import functions as F
 from sieveloom.llm.common import stash, table
 from sieveloom.llm.textarrays import TERMS, tokenize
 
-MAX_WORD = 24
+PREFIX = 24
 ALPHA = 1.0
 SEEDS = ("adult", "ads", "bet", "bets", "betting", "bingo", "casino", "cheap", "cialis", "clickbait", "crack", "dating", "escort", "farm", "gambling", "hentai", "keygen", "loan", "loans", "lottery", "malware", "nude", "payday", "pharma", "phish", "pills", "poker", "porn", "replica", "seo", "sex", "slots", "spam", "torrent", "track", "tracker", "viagra", "warez", "xxx")
 _MARKUP = r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->|<[^>]*>"
@@ -52,7 +54,7 @@ def words_of(column: pa.Array) -> Iterator[pa.RecordBatch]:
         if not len(t.hash):
             continue
         plain = np.concatenate([[0], np.cumsum((t.data < 97) | (t.data > 122))])
-        ok = np.flatnonzero((plain[t.end] == plain[t.start]) & (t.end - t.start <= MAX_WORD))
+        ok = np.flatnonzero(plain[t.end] == plain[t.start])
         _, at, n = np.unique(t.hash[ok], return_index=True, return_counts=True)
         start, size = t.start[ok[at]], (t.end - t.start)[ok[at]]
         stop = np.cumsum(size)
@@ -88,15 +90,26 @@ def word_counts(pages: DataFrame, urls: DataFrame) -> DataFrame:
 
 def segment(name: str, counts: dict[str, int], total: int) -> list[str]:
     """The words of a name; ties go to the longest last word."""
-    logs = math.log(max(total, 1))
+    logs, ten = math.log(max(total, 1)), math.log(10)
+    of_size: dict[int, dict[str, float]] = {}
+    for word, n in counts.items():
+        of_size.setdefault(len(word), {})[word] = math.log(n) - logs
+    sizes = sorted(of_size, reverse=True)
     best, back = [0.0], [0]
+    # the best begin of an unknown piece that ends here: every letter more costs the same, so it only changes for a better one
+    unknown, begin = -math.inf, 0
     for j in range(1, len(name) + 1):
-        top, at = -math.inf, j - 1
-        for i in range(max(0, j - MAX_WORD), j):
-            n = counts.get(name[i:j], 0)
-            p = best[i] + (math.log(n) if n else -math.log(10) * (j - i - 1)) - logs
-            if p > top + 1e-9:
-                top, at = p, i
+        unknown -= ten
+        if best[j - 1] - logs > unknown + 1e-9:
+            unknown, begin = best[j - 1] - logs, j - 1
+        top, at = unknown, begin
+        for size in sizes:
+            if size <= j:
+                p = of_size[size].get(name[j - size : j])
+                if p is not None:
+                    p += best[j - size]
+                    if p > top + 1e-9 or p > top - 1e-9 and j - size < at:
+                        top, at = max(p, top), j - size
         best.append(top)
         back.append(at)
     out, j = [], len(name)
@@ -106,21 +119,37 @@ def segment(name: str, counts: dict[str, int], total: int) -> list[str]:
     return out[::-1]
 
 
+_ROWS = 1 << 16
+
+
 def segmented(names: DataFrame, counts: DataFrame, total: int) -> DataFrame:
     """(name, words) of a table of distinct names."""
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made(left, words):
+            return pa.RecordBatch.from_pydict({"name": pa.array(left, pa.string()), "word": pa.array(words, pa.string())})
+
         for b in batches:
+            left, words = [], []
             for name in b.column(0).to_pylist():
-                found = sorted({name[i:j] for i in range(len(name)) for j in range(i + 1, min(len(name), i + MAX_WORD) + 1)})
-                yield pa.RecordBatch.from_pydict({"name": pa.array([name] * len(found), pa.string()), "word": pa.array(found, pa.string())})
+                found = sorted({name[i:j] for i in range(len(name)) for j in range(i + 1, min(len(name), i + PREFIX) + 1)})
+                left += [name] * len(found)
+                words += found
+                if len(left) >= _ROWS:
+                    yield made(left, words)
+                    left, words = [], []
+            yield made(left, words)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)
             yield pa.RecordBatch.from_pydict({"name": b.column(0), "words": pa.array([segment(name, {k["word"]: k["n"] for k in known if k["word"] is not None}, total) for name, known in rows], pa.list_(pa.string()))})
 
-    known = names.mapInArrow(pieces, "name string, word string").join(counts, "word", "left").groupBy("name").agg(F.collect_list(F.when(F.col("n").isNotNull(), F.struct("word", "n"))).alias("known"))
+    short = names.mapInArrow(pieces, "name string, word string").join(counts.where(F.length("word") <= PREFIX), "word", "left").select("name", "word", "n")
+    starts = names.where(F.length("name") > PREFIX).select("name", F.explode(F.array_distinct(F.expr(f"transform(sequence(1, length(name) - {PREFIX}), i -> substring(name, i, {PREFIX}))"))).alias("start"))
+    words = counts.where(F.length("word") > PREFIX).withColumn("start", F.substring("word", 1, PREFIX))
+    long = starts.join(words, "start").where(F.contains("name", "word")).select("name", "word", "n")
+    known = short.unionByName(long).groupBy("name").agg(F.collect_list(F.when(F.col("n").isNotNull(), F.struct("word", "n"))).alias("known"))
     return known.select("name", "known").mapInArrow(split, "name string, words array<string>")
 
 
