@@ -291,6 +291,7 @@ class Rule:
     priority: int
     keyword: str
     regex: re.Pattern
+    group: int = 0  #: what is detected: the whole match, or a part of it
 
 
 def _compiled(pattern: str) -> re.Pattern:
@@ -301,7 +302,9 @@ def _compiled(pattern: str) -> re.Pattern:
 
 def rules() -> list[Rule]:
     """All rules, in order."""
-    found = [Rule(f"tag:{x}", x, 90, "spdx-license-identifier", _compiled(r"spdx-license-identifier: ?" + re.escape(x) + r"(?![\w.+-])")) for x in TAGS.split()]
+    found = [Rule(f"tag:{x}", x, 90, "spdx-license-identifier", _compiled(r"spdx-license-identifier: ?[(]* ?" + re.escape(x) + r"(?![\w.+-])")) for x in TAGS.split()]
+    # the further operands of a tag's expression, each detected where it stands
+    found += [Rule(f"operand:{x}", x, 90, "spdx-license-identifier", _compiled(r"spdx-license-identifier: ?(?:[(]* ?[\w.+-]+ ?[)]* ?\b(?:and|or|with)\b )+[(]* ?(" + re.escape(x) + r")(?![\w.+-])"), 1) for x in TAGS.split()]
     for k, line in enumerate(SIGNATURES.strip().splitlines()):
         licence, priority, keyword, pattern = (x.strip() for x in line.split("|", 3))
         found.append(Rule(f"{k:03d}:{licence}", licence, int(priority), keyword, _compiled(pattern)))

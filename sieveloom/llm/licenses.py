@@ -9,7 +9,8 @@ order. In that order, a detection is suppressed if its interval lies within the
 interval of one that stays, or overlaps one of higher priority; equal intervals
 of one priority thus go to the earlier rule. What stays is the result, a row each.
 
-Offsets count characters. Null and empty texts have no detections; a text of any
+A tag's expression (``Apache-2.0 OR MIT``, with brackets or without) gives a
+detection for each operand that the rules know. Offsets count characters. Null and empty texts have no detections; a text of any
 length is searched whole. Rows without ``doc_id`` are left out; repeated rows
 are scanned each. Other columns are ignored.
 """
@@ -62,7 +63,7 @@ class Scanner:
 
     def scan(self, text: str) -> list[tuple[int, int, int, int]]:
         on = sorted({k for _, ks in self.automaton.iter(text.lower()) for k in ks})
-        return resolve([(self.rules[k].priority, m.start(), m.end(), k) for k in on for m in self.rules[k].regex.finditer(text)])
+        return resolve([(self.rules[k].priority, *m.span(self.rules[k].group), k) for k in on for m in self.rules[k].regex.finditer(text)])
 
 
 def detections(docs: DataFrame) -> DataFrame:
