@@ -41,7 +41,7 @@ def test_keywords_are_in_every_match(part):
 
 
 def plain_detections(text: str):
-    found = [(r.priority, m.start(), m.end(), k) for k, r in enumerate(RULES) for m in r.regex.finditer(text)]
+    found = [(r.priority, *m.span(r.group), k) for k, r in enumerate(RULES) for m in r.regex.finditer(text)]
     stay = []
     for d in sorted(found, key=lambda d: (-d[0], d[1] - d[2], d[1], d[3])):
         inside = any(s[1] <= d[1] and d[2] <= s[2] for s in stay)
@@ -60,6 +60,21 @@ LICENSED = [
 ]
 
 
+@pytest.mark.parametrize(
+    "said, expected",
+    [
+        ("SPDX-License-Identifier: Apache-2.0 OR MIT", ["Apache-2.0", "MIT"]),
+        ("// SPDX-License-Identifier: (MIT OR Apache-2.0) AND BSD-3-Clause", ["MIT", "Apache-2.0", "BSD-3-Clause"]),
+        ("SPDX-License-Identifier: MIT", ["MIT"]),
+        ("SPDX-License-Identifier: LicenseRef-x OR (ISC)", ["ISC"]),
+        ("SPDX-License-Identifier: MITx OR unknown", []),
+    ],
+)
+def test_operands_of_tags(spark, said, expected):
+    docs = spark.createDataFrame([(1, "text\n" + said + "\nmore")], "doc_id bigint, text string")
+    assert [r["licence"] for r in licenses.detections(docs).orderBy("start").collect()] == expected
+
+
 def test_licenses(spark, sf):
     texts = LICENSED + [r["text"] for r in table(spark, sf, "documents").collect()]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
@@ -303,6 +318,19 @@ def test_toxicity_on_labels_left_out(spark):
     assert sum(1 for i, t in truth.items() if not t and i in found) <= 0.01 * len(truth)
 
 
+def test_toxicity_fit_does_not_depend_on_partitions(spark, sf):
+    """The fit sums over partitions: one or five give the same model, and its loss is that of a dense computation."""
+    rng = np.random.default_rng(0)
+    words = ["idiot", "moron", "clown", "garden", "river", "stone", "school", "bread"]
+    rows = [(k, k % 2, " ".join(rng.choice(words[:5] if k % 2 else words[3:], 12))) for k in range(60)]
+    sampled = spark.createDataFrame(rows, "doc_id bigint, toxic int, text string")
+    w1, b1 = toxicity.train(toxicity.feature_rows(sampled, 1), passes=6)
+    w5, b5 = toxicity.train(toxicity.feature_rows(sampled, 5), passes=6)
+    assert np.allclose(w1, w5, atol=1e-4) and b1 == pytest.approx(b5, abs=1e-4)
+    p = toxicity.scores(pa.array([r[2] for r in rows]), w1, b1)
+    assert all((x >= 0.5) == bool(r[1]) for x, r in zip(p, rows, strict=True)) and b1 <= toxicity.BIAS_LIMIT
+
+
 def test_toxicity_score_is_of_whole_texts():
     rng = np.random.default_rng(0)
     weights = rng.standard_normal(toxicity.DIMENSIONS).astype(np.float32)
@@ -362,6 +390,40 @@ def test_segmentation(name, counts):
     assert p(urls.segment(name, counts, total)) == pytest.approx(max(map(p, every_split(name))))
 
 
+def test_words_of_any_length(spark):
+    """A word longer than the looked-up prefix is found within a longer name, and an unknown name of any length is one piece."""
+    word = "donaudampfschifffahrtsgesellschaft"
+    rows = [(1, f"http://my{word}kapitan.example.org/", f"<p>my {word} kapitan</p>" * 60), (2, "http://" + "zq" * 150 + ".org/", "")]
+    found = {r["name"]: r["words"] for r in _segments(spark, rows)}
+    assert found[f"my{word}kapitan"] == ["my", word, "kapitan"] and found["zq" * 150] == ["zq" * 150]
+
+
+def _segments(spark, rows):
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    parsed = urls.parsed(pages)
+    counts = urls.word_counts(pages, parsed)
+    names = parsed.selectExpr("explode(names) as t").selectExpr("t.name").distinct()
+    return urls.segmented(names, counts, counts.agg({"n": "sum"}).first()[0]).collect()
+
+
+def test_urls_of_undelimited_hosts(spark):
+    """Hosts that write their words as one, so that no weak label marks them, are told apart by the words they share with marked ones."""
+    rng = np.random.default_rng(0)
+    bad, good, both = ["casino", "poker", "bonus", "jackpot", "slots"], ["garden", "history", "museum", "school", "library"], ["online", "best", "world", "club"]
+    text = "<p>" + " ".join([*bad, *good, *both] * 4) + "</p>"
+    rows, truth = [], {}
+    for i in range(400):
+        kind = bad if i % 4 == 0 else good
+        words = [str(rng.choice(kind)), str(rng.choice(both)), str(rng.choice(kind))]
+        sep = "" if i % 8 < 4 else "-"
+        rows.append((i, f"https://www.{sep.join(words)}.example.org/{rng.choice(both)}/{i}", text))
+        truth[i] = kind is bad and not sep
+    found = {r["page_id"]: r["is_unwanted"] for r in urls.scored(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    hidden = [i for i, t in truth.items() if t]
+    clean = [i for i in truth if i % 4]
+    assert sum(found[i] for i in hidden) >= 0.9 * len(hidden) and sum(found[i] for i in clean) <= 0.02 * len(clean)
+
+
 def test_urls_against_a_plain_model(spark, sf):
     pages = table(spark, sf, "pages")
     rows = pages.collect()
@@ -369,7 +431,7 @@ def test_urls_against_a_plain_model(spark, sf):
     for r in rows:
         text = re.sub(r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->|<[^>]*>", " ", r["html"])
         low = "".join(c.lower() if c.isascii() else c for c in text)
-        counts.update(w for w in re.findall(r"[0-9a-z\x80-\U0010ffff]+", low) if re.fullmatch("[a-z]{1,24}", w))
+        counts.update(w for w in re.findall(r"[0-9a-z\x80-\U0010ffff]+", low) if re.fullmatch("[a-z]+", w))
     parts = {r["page_id"]: re.match(r"https?://([^/:?#]*)[^/?#]*(.*)", r["url"].lower()).groups() for r in rows}
     for host, _ in parts.values():
         for label in host.split("."):

@@ -183,6 +183,41 @@ def test_chat(spark):
     assert chat.examples(turns.limit(0)).count() == 0
 
 
+def test_chat_of_a_long_conversation(spark):
+    """Every reply of a long conversation has all that was said before it, and clashing columns are out of the way."""
+    rows = [(1, k, "assistant" if k % 2 else "user", f"said {k}") for k in range(601)]
+    turns = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").select("*", *(F.lit("x").alias(c) for c in ("said", "context", "prompt", "target", "n_context", "train_start")))
+    found = {r["turn"]: r for r in chat.examples(turns).collect()}
+    assert set(found) == set(range(1, 601, 2)) and all(r["n_context"] == k for k, r in found.items())
+    last = found[599]
+    assert [x for x in range(599) if f"said {x}<" not in last["prompt"]] == [] and last["target"].startswith("said 599<")
+    assert last["train_start"] == len(last["prompt"]) and last["train_end"] == last["train_start"] + len(last["target"])
+
+
+def test_mixing_ties(spark):
+    """Sources of one size and weight get the same, in whatever order; a clamp that is met exactly is no clamp."""
+    docs = spark.createDataFrame([(k, "x" * 10, f"s{k % 4}") for k in range(80)], "doc_id bigint, text string, source string")
+    assert {r["epochs"] for r in mixing.shares(docs).collect()} == {1.0}
+    two = spark.createDataFrame([*((k, "x", "a") for k in range(10)), *((k, "x", "b") for k in range(10, 80))], "doc_id bigint, text string, source string")
+    assert {r["source"]: r["epochs"] for r in mixing.shares(two).collect()} == {"a": 4.0, "b": pytest.approx(40 / 70)}
+
+
+def test_nulls_and_long_texts_of_licences_and_scores(spark, docs):
+    long = "x " * 200_000 + "SPDX-License-Identifier: MIT"
+    said = spark.createDataFrame([(1, None), (2, ""), (3, long), (3, long), (None, long)], "doc_id bigint, text string")
+    assert sorted((r["doc_id"], r["licence"], r["end"]) for r in licenses.detections(said).collect()) == [(3, "MIT", len(long))] * 2
+    scored = sorted(((r["doc_id"], r["n_terms"], r["log2_probability"] is None, r["perplexity"] is None) for r in maxent.perplexities(said).collect()))
+    assert scored == [(1, 0, True, True), (2, 0, True, True), (3, 200_004, False, False), (3, 200_004, False, False)]
+
+
+@pytest.mark.parametrize("k", range(3))
+def test_stages_keep_both_texts_of_an_id(spark, sf, k):
+    """An id with two texts loses neither to the first three stages."""
+    rows = [(7, " ".join(f"v{k}" for k in range(90)), "en", "s", 1), (7, " ".join(f"u{k}" for k in range(70)), "en", "s", 1), (8, "short text", "en", "s", 1)]
+    out = corpus_pipeline.STAGES[k][1](spark, spark.createDataFrame(rows, SCHEMA), sf)
+    assert sorted((r["doc_id"], r["text"]) for r in out.collect()) == sorted(r[:2] for r in rows)
+
+
 def test_urls(spark):
     html = "<p>cheap pills and casino win</p><script>nothing</script>" * 3
     rows = [(1, "http://cheap-pills.example.com/a/1", html, 1), (2, "https://cheappills.example.org/b?x=9", html, 1), (3, "https://www.win.example.org/casinowin", None, 1), (4, None, html, 1), (5, "", html, 1), (None, "http://casino.example.com", html, 1), (1, "http://cheap-pills.example.com/a/1", html, 1), (6, "http://" + "a" * 300 + ".org/", "", 1)]
