@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 _own: dict[str, str] = {}
+_stashed: list[str] = []  #: the folders of this process' stashed tables, in order
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,20 +46,37 @@ def stash(df: DataFrame, partitions: int | None = None) -> DataFrame:
     """``df`` written to the shared folder and read again: its lineage is cut, and it is computed once."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/sieveloom-{uuid.uuid4().hex}"
+    _stashed.append(path)
     (df if partitions is None else df.coalesce(partitions)).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop_stash(*frames: DataFrame) -> None:
-    """Deletes stashed tables that nothing reads any more."""
+    """Deletes stashed tables that nothing reads any more; a table that wasn't stashed here stays."""
     for df in frames:
-        folders = {os.path.dirname(f) for f in df.inputFiles()}
-        spark = df.sparkSession
-        for folder in folders:
-            if "/sieveloom-" not in folder:
-                continue
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        folders = {os.path.basename(os.path.dirname(f)) for f in df.inputFiles()}
+        for path in [p for p in _stashed if os.path.basename(p) in folders]:
+            _delete(df.sparkSession, path)
+            _stashed.remove(path)
+
+
+def stash_mark() -> int:
+    """A point in time for ``drop_stashes``."""
+    return len(_stashed)
+
+
+def drop_stashes(spark: SparkSession, since: int = 0, keep: DataFrame | None = None) -> None:
+    """Deletes what was stashed after a mark, for when every result that reads it is written; ``keep`` stays."""
+    kept = {os.path.basename(os.path.dirname(f)) for f in keep.inputFiles()} if keep is not None else set()
+    for path in _stashed[since:]:
+        if os.path.basename(path) not in kept:
+            _delete(spark, path)
+    _stashed[since:] = [p for p in _stashed[since:] if os.path.basename(p) in kept]
 
 
 def documents(docs: DataFrame, *columns: str) -> DataFrame:

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sieveloom.llm import chat, decontaminate, digests, licenses, maxent, mixing, simhash, substrings, toxicity, urls
+from sieveloom.llm import chat, common, decontaminate, digests, licenses, maxent, mixing, simhash, substrings, toxicity, urls
 
 CLASH = ("id", "key", "code", "n", "h", "pos", "tile", "a", "b", "u", "v", "m", "w", "score", "toxic", "toxicity", "item", "item_id", "term", "source_", "size", "epochs", "weight", "node", "root", "group_id", "start", "first", "digest", "spans", "words", "host", "said", "context")
 WORDS = [f"w{k}" for k in range(400)]
@@ -210,6 +210,25 @@ def test_nulls_and_long_texts_of_licences_and_scores(spark, docs):
     assert scored == [(1, 0, True, True), (2, 0, True, True), (3, 200_004, False, False), (3, 200_004, False, False)]
 
 
+def test_stashes_are_deleted(spark, docs, tmp_path):
+    """Only what was stashed goes, whatever a folder is called; a mark keeps what is older."""
+    mine = str(tmp_path / "sieveloom-mine")
+    docs.write.parquet(mine)
+    own = spark.read.parquet(mine)
+    old = common.stash(docs)
+    mark = common.stash_mark()
+    new, kept = common.stash(docs), common.stash(docs)
+    common.drop_stashes(spark, mark, kept)
+    common.drop_stash(own)
+    assert own.count() == old.count() == kept.count() == docs.count()
+    with pytest.raises(Exception, match="(?i)exist"):
+        new.count()
+    common.drop_stashes(spark, mark)
+    common.drop_stash(old)
+    with pytest.raises(Exception, match="(?i)exist"):
+        old.count()
+
+
 @pytest.mark.parametrize("k", range(3))
 def test_stages_keep_both_texts_of_an_id(spark, sf, k):
     """An id with two texts loses neither to the first three stages."""
