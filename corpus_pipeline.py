@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sieveloom.llm import decontaminate, mixing, simhash, substrings, toxicity
-from sieveloom.llm.common import stash, table
+from sieveloom.llm.common import drop_stash, drop_stashes, stash, stash_mark, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +48,13 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-        if name != STAGES[-1][0]:
-            docs = stash(docs)
+        mark = stash_mark()
+        made = stage(spark, docs, sf_dir)
+        if name == STAGES[-1][0]:
+            return made
+        made = stash(made)
+        # what the stage was made from is read by nothing now
+        drop_stashes(spark, mark, made)
+        drop_stash(docs)
+        docs = made
     return docs
