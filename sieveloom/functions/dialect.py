@@ -60,6 +60,10 @@ class Dialect:
     def left(self, s: str, n: int) -> str:
         return f"left({s}, {n})"
 
+    def bodies(self, css: str) -> str:
+        """The bodies of a style sheet's innermost blocks."""
+        return self.all(css, r"[^}{]+\{([^}{]*)\}", 1)
+
     def style(self, html: str) -> str:
         return self.join(self.all(html, r"<style[^>]*>([\S\s]*?)</style>", 1), "chr(10)")
 

@@ -158,13 +158,10 @@ def first_style(spark, sf_dir):
     return overrides.first_style(corpus(spark, sf_dir), "page_id")
 
 
-_BLOCKS = r"([^}{]+)\{([^}{]*)\}"
-
-
-@query(f"select page_id, count(*) as n_blocks, sum(length(b)) as n_body from (select page_id, unnest(regexp_extract_all(style, '{_BLOCKS}', 2)) as b from (select page_id, {DUCK.style('html')} as style from {CORPUS_SQL})) group by page_id")
+@query(f"select page_id, count(*) as n_blocks, sum(length(b)) as n_body from (select page_id, unnest({DUCK.bodies('style')}) as b from (select page_id, {DUCK.style('html')} as style from {CORPUS_SQL})) group by page_id")
 def css_blocks(spark, sf_dir):
     style = corpus(spark, sf_dir).select("page_id", F.expr(SPARK.style("html")).alias("style"))
-    return style.select("page_id", F.explode(F.regexp_extract_all("style", F.lit(_BLOCKS), F.lit(2))).alias("b")).groupBy("page_id").agg(F.count("*").alias("n_blocks"), F.sum(F.length("b")).alias("n_body"))
+    return style.select("page_id", F.explode(F.expr(SPARK.bodies("style"))).alias("b")).groupBy("page_id").agg(F.count("*").alias("n_blocks"), F.sum(F.length("b")).alias("n_body"))
 
 
 @query(f"select page_id, {DUCK.newlines('html')} + 1 as n_lines, sha256(html) as digest, 'sha256:' || left(sha256(html), 12) as short from {CORPUS_SQL}")
@@ -436,7 +433,7 @@ def report_headers(spark, sf_dir):
 @query("select 'r/' || page_id || '.md' as path from pages where page_id % 3 <> 0")
 def reports_without_record(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("r/"), F.col("page_id").cast("string")).alias("p"))
-    return reports.without_record(pages.select(F.concat("p", F.lit(".md")).alias("path")), pages.where("page_id % 3 = 0").select(F.concat("p", F.lit(".replay.json")).alias("path")))
+    return reports.without_record(pages.select(F.concat("p", F.lit(".md")).alias("path")), pages.select(F.concat(F.when(F.col("page_id") % 3 == 0, F.col("p")).otherwise(F.concat(F.lit("other/"), "p")), F.lit(".replay.json")).alias("path")))
 
 
 @query("""select page_id % 10 as run, bool_and(case page_id % 5 when 0 then true when 1 then true when 2 then false when 3 then false else true end) as ok from pages group by 1""")
@@ -444,7 +441,8 @@ def verify_verdict(spark, sf_dir):
     i = F.col("page_id")
     path = F.concat(F.lit("f/"), i.cast("string"))
     content = F.concat(F.lit("b: "), i.cast("string"), F.lit("\na: [1, 2.0]\n"))
-    files = table(spark, sf_dir, "pages").where(i % 5 != 2).select(path.alias("path"), content.alias("content"))
+    # every fifth file is elsewhere
+    files = table(spark, sf_dir, "pages").select(F.when(i % 5 == 2, F.concat(F.lit("elsewhere/"), path)).otherwise(path).alias("path"), content.alias("content"))
     canonical = F.concat(F.lit("sha256:"), F.sha2(F.concat(F.lit('{"a":[1,2],"b":'), i.cast("string"), F.lit("}")), 256))
     plain = F.concat(F.lit("sha256:"), F.sha2(content, 256))
     # a style by canonical hash; a brief by bytes; no file; another hash; a brief by canonical hash

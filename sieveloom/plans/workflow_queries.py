@@ -181,7 +181,7 @@ def image_tell_frequency(spark, sf_dir):
 def backfill_counts(spark, sf_dir):
     pages = base._reports(spark, sf_dir).withColumn("p", F.concat(F.lit("r/"), F.col("page_id").cast("string")))
     texts = pages.select(F.concat("p", F.lit(".md")).alias("path"), F.when(F.col("page_id") % 4 == 0, "# notes").otherwise(F.col("content")).alias("content"))
-    return reports.backfill_counts(reports.backfill(texts, pages.where("page_id % 3 = 0").select(F.concat("p", F.lit(".replay.json")).alias("path"))))
+    return reports.backfill_counts(reports.backfill(texts, pages.select(F.concat(F.when(F.col("page_id") % 3 == 0, F.col("p")).otherwise(F.concat(F.lit("other/"), "p")), F.lit(".replay.json")).alias("path"))))
 
 
 @query("select model, cast(row_number() over (order by seen, model) as int) as rank from (select 'u' || user_id % 7 as model, min(event_id) as seen from events group by 1)")
