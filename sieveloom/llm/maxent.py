@@ -86,7 +86,7 @@ class Shape:
         depth = 2
         while _outputs(depth) < root / 5:
             depth += 1
-        return cls(_power_of_two(16 * root, LEAST_BUCKETS, MOST_BUCKETS), depth, rows // 4, rows, max(1, math.ceil(root / 900)))
+        return cls(_power_of_two(16 * root, LEAST_BUCKETS, MOST_BUCKETS), depth, rows // 4, rows, max(1, math.ceil(root / 1800)))
 
     @property
     def outputs(self) -> int:
