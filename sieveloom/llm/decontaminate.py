@@ -49,7 +49,7 @@ from sieveloom.llm.textarrays import TERMS, tokenize
 
 BLOCK = 16
 RANK, OVERSAMPLE = 64, 8
-COSINE = 0.4
+COSINE = 0.25
 INFORMATIVE = 0.02  # a term in a larger share of all passages has no weight
 OVERLAP = 0.4
 VERBATIM, PARAPHRASE, ANSWER = 0.8, 0.6, 0.6
