@@ -257,11 +257,13 @@ def leaks_in(places: DataFrame, items: Items, idf: np.ndarray, basis: np.ndarray
     v = len(informative)
     need = np.array([OVERLAP * informative[t].sum() for t in pieces])
     keys = np.unique(np.concatenate([k * v + t[informative[t]].astype(np.int64) for k, t in enumerate(pieces)]))
-    sent = places.sparkSession.sparkContext.broadcast((weights, latent, blind, items.terms, items.answers, items.item_of, items.start_of, keys, need))
+    sent = places.sparkSession.sparkContext.broadcast((weights, latent, blind, items.terms, items.answers, items.item_of, items.start_of, keys, need, informative))
 
     def candidates(at, term, first, sent):
         """(passage of the documents, passage of the items) of the candidates."""
-        weights, latent, _, _, _, _, _, keys, need = sent
+        weights, latent, _, _, _, _, _, keys, need, informative = sent
+        live = informative[term]  # other terms have no weight and are no key
+        at, term = at[live], term[live]
         sums = _block_sums(at, term, weights, int(first[-1]))
         passage = sums[:-1] + sums[1:]
         passage[first[1:-1] - 1] = 0
@@ -271,6 +273,8 @@ def leaks_in(places: DataFrame, items: Items, idf: np.ndarray, basis: np.ndarray
         for i in range(0, len(passage), step):
             hit, piece = np.nonzero(passage[i : i + step] @ latent.T >= length[i : i + step, None] * cosine)
             hit += i
+            enough = edge[hit + 2] - edge[hit] >= need[piece]  # a passage shares no more terms than it has
+            hit, piece = hit[enough], piece[enough]
             # the places of the two blocks of each candidate, to count the informative terms of the item's passage among them
             for some in np.array_split(np.arange(len(hit)), max(1, len(hit) >> 17)):
                 begin = edge[hit[some]]
@@ -284,7 +288,7 @@ def leaks_in(places: DataFrame, items: Items, idf: np.ndarray, basis: np.ndarray
                 yield hit[ok], piece[ok]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, _, blind, terms, answers, item_of, start_of, _, _ = sent.value
+        _, _, blind, terms, answers, item_of, start_of, _, _, _ = sent.value
         for b in batches:
             found = []
             for lo, hi in _rows(b):
