@@ -5,7 +5,9 @@ its MD5, and a bit is set if more than half of the terms set it. Two documents
 are near duplicates if their codes differ in at most ``radius`` bits; groups are
 the connected components of that relation. All pairs of distinct codes are
 compared, except pairs of tiles (and of blocks in them) whose population counts
-differ beyond the radius, so the search is exact. A pair of tiles sends no pairs
+differ beyond the radius, and, within large tiles, pairs of which none of eight
+parts is near enough, which can't be within the radius: so the search is exact.
+Tiles whose codes share their parts are compared in blocks. A pair of tiles sends no pairs
 of codes: each code's number of links, and one edge to the least code it is
 linked with, directly or through others of the two tiles. So the groups and all
 counts are whole, and m copies of a text cost m rows, not m squared.
@@ -37,6 +39,11 @@ RADIUS = 24
 TILE = 32768
 _BLOCK_A, _BLOCK_B = 32, 2048
 _HELD = 1 << 21  # so many links of two tiles are held at once
+PARTS = 8
+_PIECE = 1 << 16  # so many pairs are compared at once
+_FEW = 1 << 24  # so many pairs take as long in blocks as the search by parts takes for its masks
+_SHARE = 0.15  # of all pairs: with more candidates, blocks are faster
+_SAMPLED = 16
 
 
 def codes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -95,40 +102,110 @@ def spanning(x: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
         least = new
 
 
+def limits(radius: int) -> list[int]:
+    """How near the 16-bit parts of two codes must be: of codes within ``radius``, one part at least is within its limit, as all beyond them make ``radius`` + 1 bits."""
+    each, more = divmod(radius + 1, PARTS)
+    return [each - (k >= more) for k in range(PARTS)]
+
+
+def _masks(limit: int) -> np.ndarray:
+    """All differences of two parts within a limit."""
+    m = np.arange(1 << 16, dtype=np.uint16)
+    return m[np.bitwise_count(m) <= limit]
+
+
+def candidates(a: np.ndarray, b: np.ndarray, radius: int, step: int = _SAMPLED) -> int:
+    """About how many pairs of codes ``by_parts`` compares, from every ``step``-th code of ``a``."""
+    total, a, b = 0, a.view(np.uint16)[::step], b.view(np.uint16)
+    for k, limit in enumerate(limits(radius)):
+        count = np.bincount(b[:, k], minlength=1 << 16)
+        total += sum(int(count.take(a[:, k] ^ m).sum()) for m in _masks(limit))
+    return total * step
+
+
+def by_parts(a: np.ndarray, b: np.ndarray, same: bool, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(x, y) of the pairs of codes within the radius, each once: those are compared that are near enough in one part (multi-index hashing, Norouzi et al., 2012)."""
+    parts_a, parts_b, limit = a.view(np.uint16), b.view(np.uint16), limits(radius)
+    rows = np.arange(len(a))
+    for k in range(PARTS):
+        order_a = np.argsort(parts_a[:, k], kind="stable")
+        order_b = order_a if same else np.argsort(parts_b[:, k], kind="stable")
+        value, size = parts_a[order_a, k].astype(np.int64), np.bincount(parts_b[:, k], minlength=1 << 16)
+        start, half = np.cumsum(size) - size, k * 2 // PARTS
+        far_a, far_b, own_a, own_b = a[order_a, 1 - half], b[order_b, 1 - half], a[order_a, half], b[order_b, half]
+        for m in _masks(limit[k]).tolist():
+            of = value ^ m
+            n = size.take(of, mode="clip")  # no index is out of bounds: "clip" saves the check
+            if same and m:
+                n[of < value] = 0  # the other of the two has this pair
+            end = np.cumsum(n)
+            low = start.take(of, mode="clip") - end + n
+            i, done = 0, 0
+            while done < end[-1]:
+                j = max(i + 1, int(np.searchsorted(end, done + _PIECE, "right")))
+                x = np.repeat(rows[i:j], n[i:j])
+                y = np.arange(done, done + len(x)) + low.take(x, mode="clip")
+                i, done = j, int(end[j - 1])
+                d = np.bitwise_count(far_a.take(x, mode="clip") ^ far_b.take(y, mode="clip"))
+                hit = np.flatnonzero(d <= radius)
+                x, y = x.take(hit), y.take(hit)
+                ok = d.take(hit) + np.bitwise_count(own_a.take(x) ^ own_b.take(y)) <= radius
+                x, y = order_a[x[ok]], order_b[y[ok]]
+                ok = ~(np.bitwise_count(parts_a[x, :k] ^ parts_b[y, :k]) <= np.array(limit[:k], int)).any(axis=1)  # an earlier part has those
+                if same and not m:
+                    ok &= x < y
+                if ok.any():
+                    yield x[ok], y[ok]
+
+
+def by_blocks(a: np.ndarray, b: np.ndarray, ka: np.ndarray, kb: np.ndarray, same: bool, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(x, y) of the pairs of codes within the radius, each once: all are compared, but for blocks whose population counts differ too much."""
+    a0, a1, b0, b1 = (np.ascontiguousarray(x) for x in (a[:, 0], a[:, 1], b[:, 0], b[:, 1]))
+    for j in range(0, len(b), _BLOCK_B):
+        jj = slice(j, j + _BLOCK_B)
+        klo, khi = int(kb[jj].min()), int(kb[jj].max())
+        for i in range(0, min(len(a), j + _BLOCK_B) if same else len(a), _BLOCK_A):
+            ii = slice(i, i + _BLOCK_A)
+            if int(ka[ii].min()) - khi > radius or klo - int(ka[ii].max()) > radius:
+                continue
+            d = np.bitwise_count(a0[ii, None] ^ b0[None, jj])
+            d += np.bitwise_count(a1[ii, None] ^ b1[None, jj])
+            x, y = np.divmod(np.flatnonzero(d <= radius), d.shape[1])
+            x, y = x + i, y + j
+            if same:
+                ok = x < y
+                x, y = x[ok], y[ok]
+            if len(x):
+                yield x, y
+
+
 def _near(radius: int):
     def kernel(ia, ka, ca, ib, kb, cb, same):
         a, b = np.ascontiguousarray(ca).view(np.uint64), np.ascontiguousarray(cb).view(np.uint64)
-        a0, a1, b0, b1 = (np.ascontiguousarray(x) for x in (a[:, 0], a[:, 1], b[:, 0], b[:, 1]))
         shift = 0 if same else len(a)
         n = shift + len(b)
-        links, left, right, held = np.zeros(n, np.int64), [], [], 0
-        for j in range(0, len(b), _BLOCK_B):
-            jj = slice(j, j + _BLOCK_B)
-            klo, khi = int(kb[jj].min()), int(kb[jj].max())
-            for i in range(0, min(len(a), j + _BLOCK_B) if same else len(a), _BLOCK_A):
-                ii = slice(i, i + _BLOCK_A)
-                if int(ka[ii].min()) - khi > radius or klo - int(ka[ii].max()) > radius:
-                    continue
-                d = np.bitwise_count(a0[ii, None] ^ b0[None, jj])
-                hit = np.flatnonzero(d <= radius)  # few codes are that near in half of the bits
-                x, y = np.divmod(hit, d.shape[1])
-                ok = d.reshape(-1)[hit] + np.bitwise_count(a1[x + i] ^ b1[y + j]) <= radius
-                x, y = x[ok] + i, y[ok] + j
-                if same:
-                    ok = x < y
-                    x, y = x[ok], y[ok]
-                if len(x):
-                    y = y + shift
-                    links += np.bincount(x, minlength=n) + np.bincount(y, minlength=n)
-                    left.append(x)
-                    right.append(y)
-                    held += len(x)
-                    if held > _HELD:  # what has been found so far is held as one edge a node
-                        least = spanning(np.concatenate(left), np.concatenate(right), n)
-                        x = np.flatnonzero(least != np.arange(n))
-                        left, right, held = [x], [least[x]], 0
-        none = np.zeros(0, np.int64)
-        least = spanning(np.concatenate([none, *left]), np.concatenate([none, *right]), n)
+        # either way finds all pairs: few codes, a large radius, or codes that share their parts take fewer steps in blocks
+        crowded = len(a) * len(b) < _FEW or sum(len(_masks(t)) for t in limits(radius)) > _SHARE * (1 << 16) or candidates(a, b, radius) > _SHARE * len(a) * len(b)
+        found = by_blocks(a, b, ka, kb, same, radius) if crowded else by_parts(a, b, same, radius)
+        links, least, left, right, held = np.zeros(n, np.int64), np.arange(n), [], [], 0
+
+        def fold():
+            """What has been found so far is held as one edge a node."""
+            nonlocal links, least, left, right, held
+            if held:
+                x, y = np.concatenate(left), np.concatenate(right)
+                links += np.bincount(x, minlength=n) + np.bincount(y, minlength=n)
+                old = np.flatnonzero(least != np.arange(n))
+                least = spanning(np.concatenate([old, x]), np.concatenate([least[old], y]), n)
+                left, right, held = [], [], 0
+
+        for x, y in found:
+            left.append(x)
+            right.append(y + shift)
+            held += len(x)
+            if held > _HELD:
+                fold()
+        fold()
         both = ca if same else np.vstack([ca, cb])
         some = np.flatnonzero(links)
         code = lambda at: pa.array([r.tobytes() for r in both[at]], pa.binary())

@@ -127,6 +127,37 @@ def test_simhash_kernel_against_all_pairs(monkeypatch, held):
     assert root == {k: least for k, (_, least) in expected.items()}
 
 
+def test_simhash_by_parts(monkeypatch):
+    """Large tiles are searched without comparing most pairs, and find all; codes that share their parts are compared in blocks."""
+    rng = np.random.default_rng(1)
+    codes = rng.integers(0, 256, (9000, 16), dtype=np.uint8)
+    for rate, at in ((0.01, 2000), (0.1, 3000), (0.16, 4000), (0.19, 5000)):  # copies from near to just beyond the radius
+        codes[at : at + 1000] = codes[:1000] ^ np.packbits(rng.random((1000, 128)) < rate, axis=1)
+    codes[8800:] = codes[8800] ^ np.packbits(rng.random((200, 128)) < 0.04, axis=1)
+    codes = rng.permutation(np.unique(codes, axis=0))
+    a, b = codes[:4500], codes[4500:]
+    words = lambda x: np.ascontiguousarray(x).view(np.uint64)
+    for radius, piece in ((0, 1 << 16), (3, 1 << 16), (24, 1000), (24, 1 << 16), (30, 1 << 16)):
+        monkeypatch.setattr(simhash, "_PIECE", piece)
+        for x, y, same in ((a, b, False), (a, a, True)):
+            d = np.vstack([np.bitwise_count(words(x)[i : i + 100, None] ^ words(y)[None]).sum(2) for i in range(0, len(x), 100)]) <= radius
+            found = [(min(p, q), max(p, q)) if same else (p, q) for ps, qs in simhash.by_parts(words(x), words(y), same, radius) for p, q in zip(ps.tolist(), qs.tolist(), strict=True)]
+            assert sorted(map(list, found)) == np.argwhere(np.triu(d, 1) if same else d).tolist()  # each once
+    assert simhash.candidates(words(a), words(b), 24) < 0.1 * len(a) * len(b)
+    crowd = codes.copy()
+    crowd[:, :8] = codes[0, :8]  # half of the code is one for all
+    near = simhash._near(24)
+    for of, taken in ((codes, "by_parts"), (crowd, "by_blocks")):
+        keys, ran = np.unpackbits(of, axis=1).sum(1).astype(np.int32), []
+        for way in ("by_parts", "by_blocks"):
+            monkeypatch.setattr(simhash, way, lambda *args, f=getattr(simhash, way), way=way: ran.append(way) or f(*args))
+        got = near(None, keys[:4500], of[:4500], None, keys[4500:], of[4500:], False)
+        monkeypatch.undo()
+        assert ran == [taken]
+        hits = sum(int((np.bitwise_count(words(of[i : i + 100])[:, None] ^ words(of[4500:])[None]).sum(2) <= 24).sum()) for i in range(0, 4500, 100))
+        assert sum(got["links"].to_pylist()) == 2 * hits > 0
+
+
 def test_tiles_of_any_size_give_the_same(spark, sf):
     docs = table(spark, sf, "documents")
     key = lambda df: sorted(map(tuple, df.collect()))
