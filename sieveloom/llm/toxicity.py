@@ -93,24 +93,26 @@ def scores(column: pa.Array, weights: np.ndarray, bias: float) -> np.ndarray:
 
 def features(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
     """(feature, value) of each document."""
+    return [x for t in tokenize(column, TERMS) for x in _features(t)]
+
+
+def _features(t: Tokens) -> list[tuple[np.ndarray, np.ndarray]]:
+    if not len(t.hash):
+        return [(np.zeros(0, np.int32), np.zeros(0, np.int32))] * t.n_docs
     out = []
-    for t in tokenize(column, TERMS):
-        if not len(t.hash):
-            out += [(np.zeros(0, np.int32), np.zeros(0, np.int32))] * t.n_docs
-            continue
-        doc, word, at, n = _distinct_words(t)
-        w, f = _ngrams(t, at)
-        order = np.argsort(w, kind="stable")
-        f, count = f[order], np.bincount(w, minlength=n)
-        begin = np.cumsum(count) - count
-        edge = np.searchsorted(doc, np.arange(t.n_docs + 1))
-        for d in range(t.n_docs):
-            of = word[edge[d] : edge[d + 1]]
-            size = count[of]
-            total = np.cumsum(size)
-            i = np.arange(total[-1] if len(total) else 0) - np.repeat(total - size, size) + np.repeat(begin[of], size)
-            feature, value = np.unique(f[i], return_counts=True)
-            out.append((feature.astype(np.int32), value.astype(np.int32)))
+    doc, word, at, n = _distinct_words(t)
+    w, f = _ngrams(t, at)
+    order = np.argsort(w, kind="stable")
+    f, count = f[order], np.bincount(w, minlength=n)
+    begin = np.cumsum(count) - count
+    edge = np.searchsorted(doc, np.arange(t.n_docs + 1))
+    for d in range(t.n_docs):
+        of = word[edge[d] : edge[d + 1]]
+        size = count[of]
+        total = np.cumsum(size)
+        i = np.arange(total[-1] if len(total) else 0) - np.repeat(total - size, size) + np.repeat(begin[of], size)
+        feature, value = np.unique(f[i], return_counts=True)
+        out.append((feature.astype(np.int32), value.astype(np.int32)))
     return out
 
 
@@ -135,8 +137,9 @@ def feature_rows(sampled: DataFrame, tasks: int = FIT_TASKS) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = features(b.column("text"))
-            yield pa.RecordBatch.from_pydict({"toxic": b.column("toxic"), "f": pa.array([x[0].tobytes() for x in found], pa.binary()), "v": pa.array([x[1].tobytes() for x in found], pa.binary())})
+            for t in tokenize(b.column("text"), TERMS):  # sent on by chunks of texts: features take several times their room
+                found = _features(t)
+                yield pa.RecordBatch.from_pydict({"toxic": b.column("toxic").slice(t.first, t.n_docs), "f": pa.array([x[0].tobytes() for x in found], pa.binary()), "v": pa.array([x[1].tobytes() for x in found], pa.binary())})
 
     rows = sampled.repartition(tasks, "doc_id").sortWithinPartitions("doc_id")
     return stash(rows.select("toxic", "text").mapInArrow(run, "toxic int, f binary, v binary"))
@@ -252,24 +255,22 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> tuple[n
     return model
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, float], name: str = "toxicity") -> DataFrame:
-    """``docs`` with a column ``name``, a probability; a column of that name is replaced."""
-    weights = docs.sparkSession.sparkContext.broadcast(model[0])  # 1 MB, whatever the data
-    bias = model[1]
-
-    @F.pandas_udf("double")
-    def probability(text):
-        import pandas as pd
-
-        return pd.Series(scores(pa.Array.from_pandas(text, type=pa.large_string()), weights.value, bias))
+def toxic_documents(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, toxicity, is_toxic) of the documents that are rejected; each document is scored.
 
-    return docs.withColumn(name, probability(F.col("text")))
+    Texts are read as Arrow has them, and only what is rejected is sent back, so that a worker holds one copy of a batch.
+    """
+    model = fit(docs, labels, max_rows)
+    weights, bias = docs.sparkSession.sparkContext.broadcast(model[0]), model[1]  # 1 MB, whatever the data
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = scores(b.column("text"), weights.value, bias)
+            at = np.flatnonzero(found >= threshold)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(at)), pa.array(found[at])], ["doc_id", "toxicity"])
 
-def toxic_documents(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, toxicity, is_toxic) of the documents that are rejected; each document is scored."""
-    found = score(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), fit(docs, labels, max_rows))
-    return found.where(F.col("doc_id").isNotNull() & (F.col("toxicity") >= threshold)).select("doc_id", F.round("toxicity", 6).alias("toxicity"), F.lit(True).alias("is_toxic"))
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null")
+    return rows.mapInArrow(run, "doc_id bigint, toxicity double").select("doc_id", F.round("toxicity", 6).alias("toxicity"), F.lit(True).alias("is_toxic"))
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, threshold: float = THRESHOLD) -> DataFrame:

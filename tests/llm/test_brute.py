@@ -362,6 +362,25 @@ def test_toxicity_fit_does_not_depend_on_partitions(spark, sf):
     assert all((x >= 0.5) == bool(r[1]) for x, r in zip(p, rows, strict=True)) and b1 <= toxicity.BIAS_LIMIT
 
 
+def test_toxicity_in_small_memory(spark, monkeypatch):
+    """Texts aren't copied to pandas, only rejected rows come back, and features leave a worker chunk by chunk, the same however many there are."""
+    rows = [(i, "vile scum " * 5 if i % 2 else "good day " * 5, i % 2) for i in range(200)] + [(200, None, None), (201, "", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    found = toxicity.toxic_documents(docs, docs.where("doc_id < 100").select("doc_id", "toxic"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" not in plan and "MapInArrow" in plan
+    assert found.count() == 100 and all(r["doc_id"] % 2 and r["is_toxic"] and r["toxicity"] >= 0.5 for r in found.collect())
+    sizes = []
+    real = toxicity._features
+    monkeypatch.setattr(toxicity, "_features", lambda t: sizes.append(t.n_docs) or real(t))
+    texts = [f"{w} " * 40_000 for w in ("alpha", "beta", "gamma", "delta", "epsilon", "zeta")]
+    assert len(toxicity.features(pa.array(texts))) == sum(sizes) == 6 and len(sizes) > 1
+    monkeypatch.undo()
+    long = spark.createDataFrame([(i, i % 2, x) for i, x in enumerate(texts)], "doc_id long, toxic int, text string")
+    got = sorted((r["toxic"], bytes(r["f"]), bytes(r["v"])) for r in toxicity.feature_rows(long, 1).collect())
+    assert got == sorted((i % 2, *(y.tobytes() for y in toxicity.features(pa.array([x]))[0])) for i, x in enumerate(texts))
+
+
 def test_toxicity_score_is_of_whole_texts():
     rng = np.random.default_rng(0)
     weights = rng.standard_normal(toxicity.DIMENSIONS).astype(np.float32)
