@@ -54,7 +54,9 @@ LEAST_ROWS, MOST_ROWS = 1 << 14, 1 << 21
 ROUNDS = 2
 RATE = 0.08
 _FEATURES = 4
-_BATCH = 1 << 16
+_BATCH = 1 << 16  # tokens of a gradient step
+_BLOCK = 1 << 11  # tokens or rows whose weights are in the cache at once
+_PIECE = 8  # rows of a segment that are summed one after the other
 _LIMIT = 30.0  # a sum of weights is held within this, so that no exponential overflows
 _ONES = np.ones(WIDTH, np.float32)
 _NODE = np.uint64(0x9E3779B97F4A7C15)
@@ -219,29 +221,70 @@ class Model:
         for i in range(0, len(y), _BATCH):
             s = slice(i, i + _BATCH)
             for some, nodes, rows, target in self.steps(y[s], features[:, s]):
-                z, e = self._sums(nodes, rows)
-                out[i + some] += z[np.arange(len(some)), target] - np.log(e @ _ONES)
+                for b in _blocks(len(some)):
+                    z, e = self._sums(nodes[b], rows[:, b])
+                    out[i + some[b]] += z[np.arange(len(z)), target[b]] - np.log(e @ _ONES)
         return out
 
     def learn(self, y: np.ndarray, features: np.ndarray, power: np.ndarray, seen: np.ndarray, rate: float = RATE) -> None:
         """One pass of gradient steps; ``power`` is the Adagrad state and ``seen`` counts the uses of each row."""
-        half = WIDTH // 2
         for i in range(0, len(y), _BATCH):
             s = slice(i, i + _BATCH)
             for some, nodes, rows, target in self.steps(y[s], features[:, s]):
-                _, g = self._sums(nodes, rows)
-                g /= (g @ _ONES)[:, None]
-                g[np.arange(len(some)), target] -= 1
-                halves = np.ascontiguousarray(g[:, :half]), np.ascontiguousarray(g[:, half:])  # narrow rows are summed faster
+                g = np.empty((len(some), WIDTH), np.float32)
+                for b in _blocks(len(some)):
+                    _, e = self._sums(nodes[b], rows[:, b])
+                    e *= (1 / (e @ _ONES))[:, None]
+                    e[np.arange(len(e)), target[b]] -= 1
+                    g[b] = e
                 for j in range(_FEATURES):
                     order = _sorted(rows[j])
                     r = rows[j][order]
-                    begin = np.flatnonzero(np.diff(r, prepend=-1))
-                    total = np.hstack([np.add.reduceat(np.take(h, order, axis=0), begin, axis=0) for h in halves])
-                    r = r[begin]
+                    begin = np.flatnonzero(np.append(True, r[1:] != r[:-1]))
+                    length = np.diff(begin, append=len(order))
+                    total, of = segment_sums(g, order, begin, length)
+                    r = r[begin[of]]
                     power[r] += np.einsum("ij,ij->i", total, total) / WIDTH
-                    self.w[r] -= (rate / np.sqrt(power[r] + 1e-6))[:, None] * total
-                    seen[r] += np.diff(np.append(begin, len(order)))
+                    step = rate / np.sqrt(power[r] + 1e-6)
+                    for b in _blocks(len(r)):
+                        self.w[r[b]] = np.take(self.w, r[b], axis=0) - step[b, None] * total[b]
+                    seen[r] += length[of]
+
+
+def _blocks(n: int) -> Iterator[slice]:
+    return (slice(i, i + _BLOCK) for i in range(0, n, _BLOCK))
+
+
+def segment_sums(x: np.ndarray, order: np.ndarray, begin: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sums of the rows ``x[order]`` over segments, the segment of each sum); the sums come in an order of their own.
+
+    The first rows of all segments are added at once, then the second ones, and so on. So that long segments need no more
+    steps than short ones, they are summed in pieces of ``_PIECE`` rows, and then the pieces.
+    """
+    size = np.minimum(length, _PIECE + 1)
+    by = np.argsort(size.astype(np.uint8), kind="stable")[::-1].copy()
+    more = len(by) - np.cumsum(np.bincount(size, minlength=_PIECE + 2))  # segments of more than k rows
+    n = int(more[_PIECE])
+    total = np.empty((len(by), x.shape[1]), x.dtype)
+    if n:
+        long = by[:n]
+        pieces = -(-length[long] // _PIECE)
+        first = np.cumsum(pieces) - pieces
+        starts = np.repeat(begin[long] - first * _PIECE, pieces) + np.arange(pieces.sum()) * _PIECE
+        parts, of = segment_sums(x, order, starts, np.minimum(np.repeat(begin[long] + length[long], pieces) - starts, _PIECE))
+        place = np.empty_like(of)
+        place[of] = np.arange(len(of))
+        total[:n], of = segment_sums(parts, place, first, pieces)
+        by[:n] = long[of]
+    at, short = begin[by[n:]], total[n:]
+    if len(at):
+        np.take(x, order[at], axis=0, out=short, mode="clip")
+    for k in range(1, _PIECE):
+        m = int(more[k]) - n
+        if m <= 0:
+            break
+        short[:m] += np.take(x, order[at[:m] + k], axis=0)
+    return total, by
 
 
 def _sorted(rows: np.ndarray) -> np.ndarray:
