@@ -1,6 +1,7 @@
 """Rules on a page's layout, over a table of laid-out elements (a browser makes it; here it is an input).
 
-Elements are in document order by ``node_id``; limits are part of the rules.
+Elements are in document order by ``node_id``; limits are part of the rules. Where a ``node_id`` repeats
+within a page, a limit takes its rows by what is returned of them, the least first.
 """
 
 from __future__ import annotations
@@ -15,8 +16,9 @@ _SKIP = ("head", "link", "meta", "script", "style", "title")
 _LABELS = r"(?i)\b(byline|caption|eyebrow|footnote|kicker|label|meta|micro|muted|small)\b"
 
 
-def _first(df: DataFrame, n: int) -> DataFrame:
-    return df.withColumn("__n", F.row_number().over(Window.partitionBy("page").orderBy("node_id"))).where(F.col("__n") <= n).drop("__n")
+def _first(df: DataFrame, n: int, *ties: str) -> DataFrame:
+    """The first ``n`` rows of each page. ``ties`` are what else is returned: rows of one ``node_id`` then come in the same order, however they are stored."""
+    return df.withColumn("__n", F.row_number().over(Window.partitionBy("page").orderBy("node_id", *ties))).where(F.col("__n") <= n).drop("__n")
 
 
 def squeezed(text):
@@ -44,13 +46,13 @@ def tap_targets(elements: DataFrame, n: int = 8, least: float = 32) -> DataFrame
     shown = squeezed(F.substring("text", 1, 40))
     low = elements.where(F.col("is_target") & (F.col("width") >= 2) & (F.col("height") >= 2) & (F.col("height") < least)).withColumn("text", shown).where("text <> ''")
     first = low.withColumn("__k", F.row_number().over(Window.partitionBy("page", "tag", "text").orderBy("node_id"))).where("__k = 1").drop("__k")
-    return _first(first, n).select("page", "node_id", "tag", "text")
+    return _first(first, n, "tag", "text").select("page", "node_id", "tag", "text")
 
 
 def body_font(elements: DataFrame, n: int = 5, least: float = 14) -> DataFrame:
     """(page, node_id, font_px): of the first ``n`` long paragraphs, those in small type. The limit comes before the test."""
     text = elements.where((F.col("tag") == "p") & ~F.coalesce(F.col("class"), F.lit("")).rlike(_LABELS) & (F.length(F.trim("text")) >= 80))
-    return _first(text, n).where(F.col("font_px") < least).select("page", "node_id", "font_px")
+    return _first(text, n, "font_px").where(F.col("font_px") < least).select("page", "node_id", "font_px")
 
 
 def hidden_scroll(elements: DataFrame, n: int = 6) -> DataFrame:

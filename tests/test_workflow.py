@@ -144,6 +144,19 @@ def test_layout_audit_survives_a_rule(spark):
     assert "1 findings" in sinks.layout_text(layout.audit(elements)) and json.loads(sinks.audit_json("u", layout.audit(elements), "now"))["violations"][0]["rule_id"] == "mobile/tap-target-size"
 
 
+def test_layout_limits_at_repeated_node_ids(spark):
+    """What a limit takes of rows with one ``node_id`` doesn't hang on their order in the table."""
+    rows = [("p", 1, "p" if k < 8 else "a", "", f"{k:02} " + "long text " * 8, k >= 8, 10.0, 30.0, 10.0 + k) for k in range(20)]
+    columns = "page string, node_id bigint, tag string, class string, text string, is_target boolean, height double, width double, font_px double"
+    fonts, targets = set(), set()
+    for seed in range(4):
+        random.Random(seed).shuffle(rows)
+        elements = spark.createDataFrame(rows, columns).coalesce(1)
+        fonts.add(tuple(sorted(r["font_px"] for r in layout.body_font(elements).collect())))
+        targets.add(tuple(sorted(r["text"][:2] for r in layout.tap_targets(elements).collect())))
+    assert fonts == {(10.0, 11.0, 12.0, 13.0)} and targets == {tuple(f"{k:02}" for k in range(8, 16))}
+
+
 STYLE = "id: plain\nname: Plain\nversion: '1'\ntype: {scale: 1.2}\ncolour: {space: oklch, contrast-tier: WCAG-AA, palette: {ink: '#111'}, roles: {text: ink}}\ngrid: {}\nspace: {}\nsurface: {}\nforbidden: [a, b, c, d, e, f, g, h]\nrequired-quirks: [q]\nprompt-fragments: {system: Be plain., negative: No glitter.}\n"
 
 
