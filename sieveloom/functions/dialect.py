@@ -35,6 +35,13 @@ def _spaces(pattern: str) -> str:
     return "".join(out)
 
 
+def _boundaries(pattern: str) -> str:
+    """``\\b`` spelled out. Beside a word character that stands for itself, one look to the other side says the same in far less time."""
+    pattern = re.sub(rf"\\b(?={_WORD}(?![*?{{]))", lambda _: f"(?<!{_WORD})", pattern)
+    pattern = re.sub(rf"(?<!\\)(?<!\\x)(?<!\\x[0-9A-F])({_WORD})\\b", lambda m: f"{m[1]}(?!{_WORD})", pattern)
+    return pattern.replace(r"\b", _BOUNDARY)
+
+
 class Dialect:
     """SQL text of one engine. ``i`` patterns are read without case."""
 
@@ -70,7 +77,7 @@ class Dialect:
 
 class Spark(Dialect):
     def pattern(self, p: str, i: bool = True) -> str:
-        p = _spaces(p).replace(r"\b", _BOUNDARY)
+        p = _boundaries(_spaces(p))
         return "r'" + ("(?i)" if i else "") + p + "'"
 
     def text(self, s: str) -> str:

@@ -52,11 +52,11 @@ def internal_links(corpus: DataFrame, keys: list[str]) -> DataFrame:
 def broken_links(corpus: DataFrame, keys: list[str], file: str = "file", site: str | None = None) -> DataFrame:
     """(keys, line, href) of internal links to nowhere. ``site`` names a column that keeps sites apart.
 
-    Each distinct target is looked up once, by equality in its four forms; the links then lose those that are found.
+    A path serves itself and what is left of it without a closing slash, ``.html`` or ``/index.html``; what is so served is one table, and the links,
+    read from the pages once, lose those whose target is in it.
     """
     apart = [site] if site else []
     links = internal_links(corpus, list(dict.fromkeys([*keys, *apart])))
-    known = known_paths(corpus, file, site)
-    forms = F.explode(F.array("target", F.concat("target", F.lit("/")), F.concat("target", F.lit(".html")), F.concat("target", F.lit("/index.html"))))
-    served = links.select(*apart, "target").distinct().withColumn("path", forms).join(known, [*apart, "path"], "left_semi").select(*apart, "target").distinct()
+    less = [F.when(F.endswith("path", F.lit(end)), F.expr(f"left(path, length(path) - {len(end)})")) for end in ("/", ".html", "/index.html")]
+    served = known_paths(corpus, file, site).select(*apart, F.explode(F.array("path", *less)).alias("target")).distinct()
     return links.join(served, [*apart, "target"], "left_anti").select(*keys, "line", "href")

@@ -144,6 +144,42 @@ def test_layout_audit_survives_a_rule(spark):
     assert "1 findings" in sinks.layout_text(layout.audit(elements)) and json.loads(sinks.audit_json("u", layout.audit(elements), "now"))["violations"][0]["rule_id"] == "mobile/tap-target-size"
 
 
+def optimized(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rules_run_once(spark):
+    """No filter below the explosion has the rules again."""
+    rule = Rule("own", "warn", "", find=lambda d: f"case when {d.has('html', 'zzq')} then {d.row('null', 'null')} else {d.none()} end")
+    corpus = spark.createDataFrame([(1, "zzq"), (2, ""), (3, None)], "page_id int, html string")
+    found = lint(corpus, [rule])
+    assert optimized(found.groupBy("severity").count()).count("zzq") == 1 and [r["page_id"] for r in found.collect()] == [1]
+
+
+def test_links_are_read_once(spark):
+    from sieveloom.operators.links import broken_links
+
+    files = ["index.html", "a/index.html", "b.html", "c/.html", "d.txt", "/e/"]
+    hrefs = ["/", "/a", "/a/", "/a/index.html", "/a.html", "/b", "/b/", "/b.html", "/b.html/", "/c/", "/c/.html", "/d", "/e", "//", "/index", "/nowhere?x#y"]
+    page = "\n".join(f'<a href="{h}">x</a>' for h in hrefs)
+    broken = broken_links(spark.createDataFrame([(f, page if f == "b.html" else "x") for f in files], "file string, html string"), ["file"])
+    assert optimized(broken).count("array_repeat") == 1
+    known = {"/index.html", "/", "/index", "/a/index.html", "/a", "/a/", "/a/index", "/b.html", "/b", "/b.html/", "/c/.html", "/c/", "/c/.html/"}
+    bare = {h: "/" if h.split("?")[0] == "/" else h.split("?")[0].removesuffix("/") for h in hrefs}
+    expected = sorted(h for h in hrefs if not any(bare[h] + end in known for end in ("", "/", ".html", "/index.html")))
+    assert sorted(r["href"] for r in broken.collect()) == expected and "/d" in expected and "/b" not in expected
+
+
+def test_boundaries(spark):
+    """A boundary beside a word character is spelled shorter, and means the same."""
+    import re
+
+    texts = ["href", "xhref", "-href", "_href", "href1", "h1", "<h1>", "<h1a", "a", "ab", "\u00e9href\u00e9", "x a", "", "9px", "px9", '"b', '"bc']
+    for p in (r"\bhref", r"href\b", r"\bhref\b", r"<h1\b", r"\ba?b", r"\x22\bb", r"\d\bx?", r"\b\d", r"\b(?:px|a)\b"):
+        df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").where(SPARK.has("t", p))
+        assert sorted(r["i"] for r in df.collect()) == [i for i, t in enumerate(texts) if re.search(p, t, re.I | re.A)], p
+
+
 def test_layout_limits_at_repeated_node_ids(spark):
     """What a limit takes of rows with one ``node_id`` doesn't hang on their order in the table."""
     rows = [("p", 1, "p" if k < 8 else "a", "", f"{k:02} " + "long text " * 8, k >= 8, 10.0, 30.0, 10.0 + k) for k in range(20)]
