@@ -48,7 +48,7 @@ def cells(samples: DataFrame, scored: DataFrame, models: DataFrame | None = None
 def tell_frequency(scored: DataFrame) -> DataFrame:
     """(model, condition, tell, frequency): the share of a cell's scored samples that have the tell."""
     n = scored.groupBy(*KEYS).agg(F.count("*").alias("n"))
-    return scored.select(*KEYS, F.explode("tells").alias("tell")).groupBy(*KEYS, "tell").agg(F.count("*").alias("c")).join(n, KEYS).select(*KEYS, "tell", (F.col("c") / F.col("n")).alias("frequency"))
+    return scored.select(*KEYS, F.explode_outer("tells").alias("tell")).where("tell is not null").groupBy(*KEYS, "tell").agg(F.count("*").alias("c")).join(n, KEYS).select(*KEYS, "tell", (F.col("c") / F.col("n")).alias("frequency"))
 
 
 def deltas(cells: DataFrame) -> DataFrame:

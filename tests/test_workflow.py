@@ -180,6 +180,14 @@ def test_boundaries(spark):
         assert sorted(r["i"] for r in df.collect()) == [i for i, t in enumerate(texts) if re.search(p, t, re.I | re.A)], p
 
 
+def test_tells_are_counted_in_one_pass(spark):
+    rule = Rule("own", "warn", "", find=lambda d: f"case when {d.has('html', 'zzq')} then {d.row('null', 'null')} else {d.none()} end")
+    pages = ["<html>" + "x" * 300, "<html>zzq" + "x" * 300]
+    samples = spark.createDataFrame([("m", "raw", k, "html", p) for k, p in enumerate(pages)], "model string, condition string, sample_id int, kind string, html string")
+    shares = evaluate.tell_frequency(evaluate.scored_samples(samples, rules=[rule]))
+    assert optimized(shares).count("zzq") == 1 and [tuple(r) for r in shares.collect()] == [("m", "raw", "own", 0.5)]
+
+
 def test_layout_limits_at_repeated_node_ids(spark):
     """What a limit takes of rows with one ``node_id`` doesn't hang on their order in the table."""
     rows = [("p", 1, "p" if k < 8 else "a", "", f"{k:02} " + "long text " * 8, k >= 8, 10.0, 30.0, 10.0 + k) for k in range(20)]
